@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dugout.llm import graph, matching, spellings
+from dugout.llm import canonical, graph, matching, percentiles, spellings
 from dugout.session import cut
 from dugout.sources.tables import table
 
@@ -68,6 +68,31 @@ def p1_institutions(spark: SparkSession, d: str) -> DataFrame:
     return _institutions(spark, d)
 
 
+# ------------------------------------------------------------------ 2: mapping to a canonical list
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    """(source_field, value, entry, cost) of every distinct value of the two entry fields."""
+    drafts, stats = table(spark, d, "all_drafts"), table(spark, d, "ncaabb_dataset")
+    entered = drafts.select(F.lit("all_drafts.Drafted From").alias("source_field"), F.col("Drafted From").alias("value")).unionByName(
+        stats.select(F.lit("ncaabb_dataset.team").alias("source_field"), F.col("team").alias("value")))
+    entered = cut(entered.where(F.col("value").isNotNull()).distinct())
+    ref = table(spark, d, "unique_teams").select(F.col("Full Name").alias("name"), F.col("Acronym").alias("acronym"))
+    return entered.join(canonical.map_values(entered, ref), "value").select("source_field", "value", "entry", "cost")
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    m = _mapped(spark, d).where("cost is null or cost > 0")
+    return m.select("source_field", F.col("value").alias("entered"), F.coalesce("entry", F.lit("UNMATCHED")).alias("full_name"))
+
+
+@query
+def p2_mapping_report(spark: SparkSession, d: str) -> DataFrame:
+    how = F.when(F.col("cost").isNull(), "unmatched").when(F.col("cost") == 0, "exact").when(F.col("cost") < 1, "acronym").otherwise("near")
+    return _mapped(spark, d).groupBy("source_field", how.alias("how")).agg(F.count(F.lit(1)).alias("n_values"))
+
+
 # ------------------------------------------------------------------ 3: matching without keys
 
 
@@ -96,3 +121,69 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_confidences(spark: SparkSession, d: str) -> DataFrame:
     return _pitcher_matches(spark, d).select(F.col("left_id").alias("playerid"), F.col("ord").alias("draft_ord"), "relation", F.round("confidence", 6).alias("confidence"))
+
+
+# ------------------------------------------------------------------ 5: percentiles
+
+QS = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+
+
+def _era(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "pitching_combined_all")
+    return percentiles.usable(t, F.col("year").cast("string"), F.col("era")).where("v >= 0")
+
+
+def _wpct(spark: SparkSession, d: str) -> DataFrame:
+    """WPCT per league; values above 1 are in per cent or per mille and are brought to a share."""
+    t = table(spark, d, "ncaabb_dataset")
+    w = F.col("WPCT")
+    unit = F.when(w <= 1, w).when(w <= 100, w / 100).when(w <= 1000, w / 1000)
+    league = F.upper(F.regexp_replace("league", r"(?U)^\s+|\s+$", ""))
+    return percentiles.usable(t, F.when(league != "", league), unit).where("v >= 0")
+
+
+def _report(df: DataFrame, group: str) -> DataFrame:
+    return df.select(F.col("g").alias(group), "q", F.col("total").alias("n"), F.round("value", 9).alias("value"), F.round("error", 9).alias("error"))
+
+
+@query
+def p5_era_by_year(spark: SparkSession, d: str) -> DataFrame:
+    return _report(percentiles.percentiles([_era(spark, d)], QS), "year")
+
+
+@query
+def p5_wpct_by_league(spark: SparkSession, d: str) -> DataFrame:
+    return _report(percentiles.percentiles([_wpct(spark, d)], QS), "league")
+
+
+@query
+def p5_era_of_merged_slices(spark: SparkSession, d: str) -> DataFrame:
+    """The same percentiles from three slices counted apart."""
+    t = table(spark, d, "pitching_combined_all")
+    part = F.pmod(F.xxhash64("row_id"), F.lit(3))
+    slices = [percentiles.usable(t.where(part == i), F.col("year").cast("string"), F.col("era")).where("v >= 0") for i in range(3)]
+    return _report(percentiles.percentiles(slices, QS), "year")
+
+
+@query
+def p5_era_bounded_error(spark: SparkSession, d: str) -> DataFrame:
+    """One level of digits only: every value within the stated error, from one pass over the data."""
+    return _report(percentiles.percentiles([_era(spark, d)], QS, depth=1), "year")
+
+
+def _percentile_sql(g: str, v: str, tab: str, where: str, name: str) -> str:
+    return f"""
+WITH u AS (SELECT {g} AS g, {v} AS v FROM {tab}),
+r AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) AS k, count(*) OVER (PARTITION BY g) AS n FROM u
+      WHERE g IS NOT NULL AND v IS NOT NULL AND isfinite(v) AND {where}),
+q AS (SELECT unnest({QS}::DOUBLE[]) AS q)
+SELECT g AS {name}, q, n, round(v, 9) AS value, CAST(0 AS DOUBLE) AS error FROM r, q
+WHERE k = greatest(1, least(n, CAST(ceil(round(q * n, 9)) AS BIGINT)))"""
+
+
+ORACLE["p5_era_by_year"] = _percentile_sql("CAST(year AS VARCHAR)", "era", "pitching_combined_all", "v >= 0", "year")
+ORACLE["p5_era_of_merged_slices"] = ORACLE["p5_era_by_year"]
+ORACLE["p5_wpct_by_league"] = _percentile_sql(
+    "nullif(upper(regexp_replace(league, '^\\s+|\\s+$', '', 'g')), '')",
+    'CASE WHEN "WPCT" <= 1 THEN "WPCT" WHEN "WPCT" <= 100 THEN "WPCT" / 100 WHEN "WPCT" <= 1000 THEN "WPCT" / 1000 END',
+    "ncaabb_dataset", "v >= 0", "league")

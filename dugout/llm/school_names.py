@@ -327,7 +327,7 @@ def agree(k: Parsed, h: Parsed, m: Morphology | None = None) -> float | None:
     if not k.places or not h.places:
         return None
 
-    def near(a: tuple[str, ...], b: tuple[str, ...]) -> int | None:
+    def near(a: tuple[str, ...], b: tuple[str, ...]) -> float | None:
         d = same_places(a, b)
         if d > 3:
             return None
@@ -335,7 +335,7 @@ def agree(k: Parsed, h: Parsed, m: Morphology | None = None) -> float | None:
             odd = set(a) - set(b)
             if any(m.well_formed(x) for x in odd):
                 return None
-        return d
+        return d + (0.25 if {x[0] for x in a} != {x[0] for x in b} else 0.0)  # a first letter is seldom mistyped
 
     if k.initial:
         if h.form != "campus" or len(h.places) != 2:
