@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dugout.llm import canonical, graph, matching, percentiles, spellings
+from dugout.llm import canonical, graph, leakage, matching, percentiles, spellings
 from dugout.session import cut
 from dugout.sources.tables import table
 
@@ -187,3 +187,20 @@ ORACLE["p5_wpct_by_league"] = _percentile_sql(
     "nullif(upper(regexp_replace(league, '^\\s+|\\s+$', '', 'g')), '')",
     'CASE WHEN "WPCT" <= 1 THEN "WPCT" WHEN "WPCT" <= 100 THEN "WPCT" / 100 WHEN "WPCT" <= 1000 THEN "WPCT" / 1000 END',
     "ncaabb_dataset", "v >= 0", "league")
+
+
+# ------------------------------------------------------------------ 7: evaluation texts in training text
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", "text"))
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+@query
+def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("longest"))
