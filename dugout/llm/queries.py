@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dugout.llm import canonical, graph, leakage, matching, percentiles, spellings
+from dugout.llm import canonical, graph, leakage, matching, mixing, percentiles, spellings
 from dugout.session import cut
 from dugout.sources.tables import table
 
@@ -204,3 +204,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("longest"))
+
+
+# ------------------------------------------------------------------ 8: mixing sources
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = cut(mixing.with_tokens(table(spark, d, "documents")))
+    planned = cut(mixing.plan(sized, table(spark, d, "mix_targets")))
+    return mixing.mixture(sized, planned), planned
+
+
+@query
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*_mix(spark, d))
