@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dugout.llm import canonical, graph, leakage, matching, mixing, percentiles, spellings
+from dugout.llm import canonical, graph, language, leakage, matching, mixing, percentiles, spellings
 from dugout.session import cut
 from dugout.sources.tables import table
 
@@ -223,3 +223,21 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(*_mix(spark, d))
+
+
+# ------------------------------------------------------------------ 9: document languages
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    return language.label_documents(docs, language.train(docs))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.mislabelled(_languages(spark, d)).select("doc_id", "segment_no", "language")
+
+
+@query
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).select("doc_id", "segment_no", "language", F.round("confidence", 4).alias("confidence"), "ambiguous", "n_chars")
