@@ -40,7 +40,7 @@ def _drafts(spark: SparkSession, d: str, inst: DataFrame) -> DataFrame:
         F.col("_ord").alias("ord"), F.col("Player Name").alias("name"), F.col("Drafted From").alias("spelling"),
         F.col("Year").alias("year"), F.col("Round").alias("round"), F.col("Pick").alias("pick"))
     # spellings are few against rows: where they are not small enough to broadcast, AQE splits a hot spelling
-    return t.join(inst, "spelling", "left").drop("spelling")
+    return t.join(inst.select("spelling", "institution"), "spelling", "left").drop("spelling")
 
 
 def _player_links(spark: SparkSession, d: str, inst: DataFrame) -> DataFrame:
@@ -52,7 +52,8 @@ def _player_links(spark: SparkSession, d: str, inst: DataFrame) -> DataFrame:
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     inst = _institutions(spark, d)
-    x, y = inst.select("institution", F.col("spelling").alias("key_a")), inst.select("institution", F.col("spelling").alias("key_b"))
+    entered = inst.where("entered")
+    x, y = entered.select("institution", F.col("spelling").alias("key_a")), entered.select("institution", F.col("spelling").alias("key_b"))
     schools = x.join(y, "institution").where("key_a < key_b").select(F.lit("school").alias("kind"), "key_a", "key_b")
     drafts, links = _player_links(spark, d, inst)
     comp = graph.components(links).join(drafts.select(F.col("ord").alias("node"), "name"), "node")
@@ -65,7 +66,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p1_institutions(spark: SparkSession, d: str) -> DataFrame:
-    return _institutions(spark, d)
+    return _institutions(spark, d).where("entered").select("spelling", "institution")
 
 
 # ------------------------------------------------------------------ 2: mapping to a canonical list

@@ -96,7 +96,7 @@ def legal_word(t: str) -> str | None:
         return None
     best, least = None, 99
     for v, k in _LONG:
-        most = 1 if len(v) < 5 or (len(v) < 7 and (t[0] != v[0] or len(t) < 5)) else 2
+        most = 1 if len(v) < 7 and (t[0] != v[0] or len(t) < (5 if v != "univ" else 4)) else 2
         if len(v) < 6 and len(t) < 4 and not (len(v) == 4 and t[0] == v[0]):
             continue
         d = osa(t, v, most)

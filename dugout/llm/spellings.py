@@ -60,7 +60,8 @@ def _judge(morph: S.Morphology):
 
 
 def institutions(spellings: DataFrame, listed: DataFrame, acronyms: DataFrame) -> DataFrame:
-    """(spelling, institution) for every spelling that names an institution.
+    """(spelling, institution, entered) for every spelling that names an institution; ``entered`` is false for names of
+    the list that are no spelling themselves.
 
     ``spellings``: (spelling, n); ``listed``: names (spelling) known to be right; ``acronyms``: (acronym, spelling)."""
     known = listed.select("spelling").where(F.col("spelling").isNotNull()).distinct()
@@ -105,7 +106,7 @@ def institutions(spellings: DataFrame, listed: DataFrame, acronyms: DataFrame) -
         if not moved:
             break
     full = read.join(roots, "key").select(F.col("spelling").alias("read"), F.col("root").alias("institution"))
-    return both.join(full, "read").select("spelling", "institution").distinct()
+    return both.join(full, "read").groupBy("spelling", "institution").agg((~F.every("listed")).alias("entered"))
 
 
 def _rewrite_of_keys(morph: S.Morphology):
