@@ -6,6 +6,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
+from dugout.llm.school_names import osa
+
 #: Short forms of given names, by the formal name.
 NICKNAMES: dict[str, str] = {
     "alejandro": "ale jandro alex", "alexander": "alex xander al sandy lex", "andrew": "andy drew", "anthony": "tony ant",
@@ -73,9 +75,14 @@ def parse(name: str | None) -> tuple[str, str, str, str, bool] | None:
     return (first, mid, surname.lower(), suffix, sure)
 
 
-def formals(first: str) -> list[str]:
-    """Formal names that a typed first name may stand for, itself included."""
-    return [first, *_FORMAL.get(first, [])]
+@lru_cache(maxsize=100_000)
+def formals(first: str) -> tuple[str, ...]:
+    """Formal names that a typed first name may stand for, itself included; a mistyped formal name stands for it too."""
+    known = _FORMAL.get(first, [])
+    if first in NICKNAMES or known or len(first) < 5:
+        return (first, *known)
+    near = [k for k in NICKNAMES if len(k) >= 5 and abs(len(k) - len(first)) <= 1 and osa(first, k, 1) <= 1]
+    return (first, *near)
 
 
 def readings(name: str | None) -> list[tuple[str, str, str, str, float]]:
@@ -93,7 +100,7 @@ def readings(name: str | None) -> list[tuple[str, str, str, str, float]]:
 def forms(name: str | None) -> list[tuple[str, str, str, str, str, str]]:
     """(form, level, first, middle, surname, suffix): every canonical rewriting of a name that others are met on.
     Level E: formal first name and surname; I: initial and surname; T: formal first name and the surname with at most
-    one letter deleted, which all single typing errors share."""
+    one letter deleted, which all single typing errors share; K: the same with the initial."""
     out: dict[str, tuple[str, str, str, str, str, str]] = {}
     for first, mid, last, suffix, cost in readings(name):
         names = formals(first) if len(first) > 1 else []
@@ -107,4 +114,7 @@ def forms(name: str | None) -> list[tuple[str, str, str, str, str, str]]:
                     form = f"T|{f}|{last[:k] + last[k + 1:]}"
                     out.setdefault(form, (form, "T", first, mid, last, suffix))
                 out.setdefault(f"T|{f}|{last}", (f"T|{f}|{last}", "T", first, mid, last, suffix))
+            for i in sorted({f[0] for f in names or [first or "?"]}):
+                for x in {last, *(last[:k] + last[k + 1:] for k in range(len(last)))}:
+                    out.setdefault(f"K|{i}|{x}", (f"K|{i}|{x}", "K", first, mid, last, suffix))
     return list(out.values())

@@ -101,10 +101,10 @@ def _pitcher_matches(spark: SparkSession, d: str) -> DataFrame:
     inst = _institutions(spark, d)
     drafts = _drafts(spark, d, inst)
     drafts = cut(drafts.select(
-        "ord", "name", "year", "institution", F.split("institution", r"\|")[0].isin(list(spellings.SCHOOL_FORMS)).alias("school"),
+        "ord", "name", "year", "institution",
         F.coalesce(F.concat_ws("-", "year", F.when(F.col("round").isNotNull() & F.col("pick").isNotNull(), F.concat_ws("-", "round", "pick"))),
                    F.lit("")).alias("p")).select(
-        "ord", "name", "year", "institution", "school",
+        "ord", "name", "year", "institution",
         F.when(F.size(F.split("p", "-")) == 3, F.col("p")).otherwise(F.concat(F.lit("row "), F.col("ord"))).alias("pick_id")))
     teams = _listed(spark, d).join(inst, "spelling").groupBy(F.lower(F.trim("acronym")).alias("code")).agg(F.min("institution").alias("institution"))
     p = table(spark, d, "pitching_combined_all").select(

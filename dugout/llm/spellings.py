@@ -80,7 +80,8 @@ def institutions(spellings: DataFrame, listed: DataFrame, acronyms: DataFrame) -
     )
     keys = read.groupBy("key").agg(
         F.sum("n").alias("n"), F.max("listed").alias("listed"), F.count(F.lit(1)).alias("spellings"), F.min("spelling").alias("sample"))
-    forms = cut(keys.mapInPandas(
+    # rewriting is CPU-bound and its input small: a count of partitions that AQE leaves alone
+    forms = cut(keys.repartition(keys.sparkSession.sparkContext.defaultParallelism).mapInPandas(
         _rewrite_of_keys(morph),
         "key string, form string, own boolean, sample string, listed boolean, sound boolean, spellings bigint, n bigint"))
     rank = F.struct("listed", "sound", "spellings", "n", "key")
@@ -127,12 +128,16 @@ def _rewrite_of_keys(morph: S.Morphology):
 # ---------------------------------------------------------------------------------------------- persons
 
 #: Share of drafts that one and the same person follows up, by what else agrees and the years between; measured on the
-#: smaller test tables (pairs of equal full names, net of chance). Years not named have no prior and never link; nor does
-#: another institution of the same stage, where equal names are namesakes.
+#: smaller test tables (pairs of equal full names, net of chance). Years not named have no prior and never link.
 PRIORS = {
     ("same", 1): 0.07, ("same", 2): 0.003, ("same", 3): 0.0005, ("same", 4): 0.0002, ("same", 5): 0.0002,
     ("school", 3): 0.06, ("unknown", 1): 0.03, ("unknown", 2): 0.001, ("unknown", 3): 0.01,
+    ("other", 1): 0.002, ("other", 2): 0.0002,
 }
+#: By the strongest level on which two names agree (see ``person_names.forms``): its rank, the share of true pairs that
+#: agree on it, and namesakes per pair that independent first names and surnames would give; the last was measured by
+#: matching against shifted years (full names hardly ever coincide, alike ones do).
+LEVELS = {"E": (4, 0.75, 0.01), "T": (3, 0.15, 0.2), "I": (2, 0.1, 0.2), "K": (1, 0.02, 0.2)}
 #: Legal forms of schools that come before college.
 SCHOOL_FORMS = ("high", "prep", "catholic")
 
@@ -149,6 +154,11 @@ def name_forms(name: str) -> Column:
     return F.pandas_udf(_forms_of, _FORMS)(F.col(name))
 
 
+def level_maps() -> list[Column]:
+    """Rank, share and chance of a level as map columns."""
+    return [F.create_map(*[F.lit(x) for k, v in LEVELS.items() for x in (k, v[i])]) for i in range(3)]
+
+
 def names_agree(a: str, b: str) -> Column:
     """Whether two readings met on a shared form can be one person: no conflict of middle initial or suffix, and first
     names that are equal, related through the form, an initial, or within two typing errors."""
@@ -156,7 +166,7 @@ def names_agree(a: str, b: str) -> Column:
     clash = lambda k: (c(a, k) != "") & (c(b, k) != "") & (c(a, k) != c(b, k))
     initial = (F.length(c(a, "first")) == 1) | (F.length(c(b, "first")) == 1)
     slack = F.when(F.least(F.length(c(a, "first")), F.length(c(b, "first"))) >= 5, 2).otherwise(1)
-    first = (c(a, "level") != "I") | initial | (F.levenshtein(c(a, "first"), c(b, "first")) <= slack)
+    first = ~c(a, "level").isin("I", "K") | initial | (F.levenshtein(c(a, "first"), c(b, "first")) <= slack)
     return ~clash("mid") & ~clash("suffix") & first & (F.levenshtein(c(a, "last"), c(b, "last")) <= 2)
 
 
@@ -169,8 +179,8 @@ def draft_evidence(drafts: DataFrame) -> DataFrame:
     n, years = max(total[0], 1), max(total[1], 1)
     part = lambda k: F.split("form", r"\|")[k]
     seen = rows.select("ord", "level", part(1).alias("head"), part(2).alias("tail"))
-    heads = seen.where("level <> 'T'").select("ord", "level", "head").distinct().groupBy("level", "head").agg(F.count(F.lit(1)).alias("n_head"))
-    heads = heads.withColumn("level", F.explode(F.when(F.col("level") == "E", F.array(F.lit("E"), F.lit("T"))).otherwise(F.array("level"))))
+    heads = seen.where("level in ('E', 'I')").select("ord", "level", "head").distinct().groupBy("level", "head").agg(F.count(F.lit(1)).alias("n_head"))
+    heads = heads.withColumn("level", F.explode(F.when(F.col("level") == "E", F.array(F.lit("E"), F.lit("T"))).otherwise(F.array(F.lit("I"), F.lit("K")))))
     tails = seen.select("ord", "level", "tail").distinct().groupBy("level", "tail").agg(F.count(F.lit(1)).alias("n_tail"))
     share = drafts.where(F.col("institution").isNotNull()).groupBy("institution").agg((F.count(F.lit(1)) / n).alias("share"))
     side = lambda p: F.struct("ord", "year", "institution", "school", "level", "first", "mid", "last", "suffix").alias(p)
@@ -178,18 +188,19 @@ def draft_evidence(drafts: DataFrame) -> DataFrame:
     right = rows.select("form", F.col("institution").alias("at"), F.col("year").alias("y"), side("r"))
     same = left.where("at is not null").join(right, ["form", "at"]).where("r.year between l.year + 1 and l.year + 5").select(
         "form", "l", "r", F.lit("same").alias("relation"))
-    sure = lambda df: df.where(F.col(f"{'l' if 'l' in df.columns else 'r'}.level") != "I").drop("at")
+    sure = lambda df: df.where(F.col(f"{'l' if 'l' in df.columns else 'r'}.level").isin("E", "T")).drop("at")
     shifted = sure(left).withColumn("y", F.explode(F.array(*[F.col("y") + k for k in (1, 2, 3)])))
     gap = F.col("r.year") - F.col("l.year")
     both = F.col("l.institution").isNotNull() & F.col("r.institution").isNotNull()
     moved = (
         shifted.join(sure(right), ["form", "y"])
         .withColumn("relation", F.when(~both, "unknown").when(F.col("l.institution") == F.col("r.institution"), F.lit(None))
-                    .when(F.col("l.school") & ~F.col("r.school"), "school").otherwise("other"))
-        .where(F.col("relation").isin("school", "unknown"))
+                    .when(F.col("l.school") & ~F.col("r.school") & (gap == 3), "school").otherwise("other"))
+        .where("relation is not null")
         .select("form", "l", "r", "relation")
     )
     prior = F.create_map(*[F.lit(x) for (rel, g), p in PRIORS.items() for x in (f"{rel}{g}", p)])
+    rank_of, share_of, chance_of = level_maps()
     met = same.unionByName(moved).where((F.col("l.ord") != F.col("r.ord")) & names_agree("l", "r"))
     scored = (
         met.withColumn("level", F.col("l.level")).withColumn("head", part(1)).withColumn("tail", part(2))
@@ -197,11 +208,12 @@ def draft_evidence(drafts: DataFrame) -> DataFrame:
         .join(share.withColumnRenamed("institution", "inst"), F.col("r.institution") == F.col("inst"), "left")
         .withColumn("gap", gap)
         .withColumn("prior", F.try_element_at(prior, F.concat("relation", F.col("gap").cast("string"))))
-        .withColumn("expected", F.col("n_head") * F.col("n_tail") / F.lit(float(n) * years) * F.when(F.col("relation") == "same", F.col("share")).otherwise(F.lit(1.0)))
+        .withColumn("prior", F.col("prior") * share_of[F.col("level")])
+        .withColumn("expected", chance_of[F.col("level")] * F.col("n_head") * F.col("n_tail") / F.lit(float(n) * years) * F.when(F.col("relation") == "same", F.col("share")).otherwise(F.lit(1.0)))
         .withColumn("confidence", F.col("prior") / (F.col("prior") + F.col("expected")))
     )
     return scored.where(F.col("confidence").isNotNull()).groupBy(F.col("l.ord").alias("a"), F.col("r.ord").alias("b")).agg(
-        F.max_by(F.struct("relation", "gap", "level", "expected", "confidence"), F.struct(F.col("level") == "E", F.col("level") == "T", "confidence")).alias("e")).select("a", "b", "e.*")
+        F.max_by(F.struct("relation", "gap", "level", "expected", "confidence"), F.struct(rank_of[F.col("level")], "confidence")).alias("e")).select("a", "b", "e.*")
 
 
 def same_pick(drafts: DataFrame) -> DataFrame:
