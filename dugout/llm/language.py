@@ -40,9 +40,11 @@ _LABEL = {v: k for k, vs in LABELS.items() for v in vs.split()}
 #: Labelled documents a language in the training sample, and characters of a document that may be in it.
 TRAIN_DOCS, TRAIN_CHARS = 100, 20_000
 #: Bits of the codewords, hash buckets (a power of two), n-gram orders, rounds of gradient descent.
-CODE_BITS, BUCKETS, ORDERS, ROUNDS = 15, 1 << 16, (1, 2, 3, 4), 30
+CODE_BITS, BUCKETS, ORDERS, ROUNDS = 15, 1 << 16, (1, 2, 3), 30
+#: Texts of the sample in which a bucket has to occur to get a weight.
+LEAST_TEXTS = 3
 #: Words below which a piece is no segment; confidence below which a piece is ambiguous, and below which a single piece
-#: among sentences of one other language is.
+#: beside or among sentences of one other language is.
 LEAST_WORDS, AMBIGUOUS, AMBIGUOUS_WITHIN = 5, 0.75, 0.95
 SLICE = 200_000
 
@@ -185,6 +187,8 @@ def fit(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Model | No
     own, h = flat // BUCKETS, flat % BUCKETS
     total = np.bincount(own, cnt, minlength=len(texts))
     x = cnt / np.maximum(total, 1)[own]
+    often = np.bincount(h, minlength=BUCKETS)[h] >= min(LEAST_TEXTS, len(texts))
+    own, h, x = own[often], h[often], x[often]
     keep = np.ones(len(texts), dtype=bool)
     x = x.astype(np.float32)
     for attempt in range(2):
@@ -202,11 +206,11 @@ def fit(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Model | No
         xu = xu[:, None]
         target = code[y].astype(np.float32)
         w, w0 = np.zeros((BUCKETS, CODE_BITS), dtype=np.float32), np.zeros(CODE_BITS, dtype=np.float32)
-        for _ in range(rounds):
+        for _ in range(rounds if attempt else rounds // 2):
             m = np.zeros((len(texts), CODE_BITS), dtype=np.float32)
             m[ou[text_at]] = np.add.reduceat(xu * w[hu], text_at, axis=0)
             g = -target * wt / (1 + np.exp(np.clip(target * (m + w0), -30, 30)))
-            w[hb[bucket_at]] -= 0.6 * np.add.reduceat(xb * g[ob], bucket_at, axis=0) / scale[hb[bucket_at]]
+            w[hb[bucket_at]] -= 0.9 * np.add.reduceat(xb * g[ob], bucket_at, axis=0) / scale[hb[bucket_at]]
             w0 -= 0.05 * g.sum(axis=0)
         model = Model(w, w0.astype(np.float64), code, languages)
         if attempt == 0:
@@ -256,8 +260,10 @@ def segments(texts: list[str], model: Model) -> list[list[tuple[str, float, str]
             out.append([])
             continue
         sure = [k for k, t in enumerate(tags) if t and t[0] >= 0]
-        for a, k, b in zip(sure, sure[1:], sure[2:], strict=False):
-            if tags[a][0] == tags[b][0] != tags[k][0] and tags[k][1] < AMBIGUOUS_WITHIN:
+        told_by = [None, *sure, None]
+        for a, k, b in zip(told_by, sure, told_by[2:], strict=False):
+            near = {tags[x][0] for x in (a, b) if x is not None}
+            if len(near) == 1 and tags[k][0] not in near and tags[k][1] < AMBIGUOUS_WITHIN and len(sure) > 2:
                 tags[k] = (-1 - tags[k][0], tags[k][1])
         if not sure:
             tags = [(-1 - t[0], t[1]) if t else None for t in tags]
