@@ -97,24 +97,33 @@ def readings(name: str | None) -> list[tuple[str, str, str, str, float]]:
     return out
 
 
-def forms(name: str | None) -> list[tuple[str, str, str, str, str, str]]:
-    """(form, level, first, middle, surname, suffix): every canonical rewriting of a name that others are met on.
+def rewritings(name: str | None) -> tuple[list[tuple[str, str, str, str]], list[tuple[str, str, int]], list[str], list[str]]:
+    """Readings (first, middle, surname, suffix) of a name, its canonical rewritings (form, level, number of the reading),
+    and the heads and tails that these forms are made of, each once.
+
     Level E: formal first name and surname; I: initial and surname; T: formal first name and the surname with at most
-    one letter deleted, which all single typing errors share; K: the same with the initial."""
-    out: dict[str, tuple[str, str, str, str, str, str]] = {}
+    one letter deleted, which all single typing errors share; K: the same with the initial. A form is level, head and
+    tail; heads are ``E`` (formal names) or ``I`` (initials), tails ``E`` (surnames) or ``T`` (surnames less a letter)."""
+    found: list[tuple[str, str, str, str]] = []
+    out: dict[str, tuple[str, str, int]] = {}
+    heads: dict[str, None] = {}
+    tails: dict[str, None] = {}
     for first, mid, last, suffix, cost in readings(name):
-        names = formals(first) if len(first) > 1 else []
-        for f in names:
-            out.setdefault(f"E|{f}|{last}", (f"E|{f}|{last}", "E", first, mid, last, suffix))
-        for i in sorted({f[0] for f in names or [first or "?"]}):
-            out.setdefault(f"I|{i}|{last}", (f"I|{i}|{last}", "I", first, mid, last, suffix))
-        if cost == 0 and len(last) >= 5:
-            for f in names:
-                for k in range(len(last)):
-                    form = f"T|{f}|{last[:k] + last[k + 1:]}"
-                    out.setdefault(form, (form, "T", first, mid, last, suffix))
-                out.setdefault(f"T|{f}|{last}", (f"T|{f}|{last}", "T", first, mid, last, suffix))
-            for i in sorted({f[0] for f in names or [first or "?"]}):
-                for x in {last, *(last[:k] + last[k + 1:] for k in range(len(last)))}:
-                    out.setdefault(f"K|{i}|{x}", (f"K|{i}|{x}", "K", first, mid, last, suffix))
-    return list(out.values())
+        k = len(found)
+        found.append((first, mid, last, suffix))
+        names = formals(first) if len(first) > 1 else ()
+        initials = sorted({f[0] for f in names or (first or "?",)})
+        less = {last, *(last[:i] + last[i + 1:] for i in range(len(last)))} if cost == 0 and len(last) >= 5 else set()
+        for level, tops, ends in (("E", names, (last,)), ("I", initials, (last,)), ("T", names, sorted(less)), ("K", initials, sorted(less))):
+            for t in tops:
+                heads[f"{'E' if level in 'ET' else 'I'}|{t}"] = None
+                for x in ends:
+                    tails[f"{'E' if level in 'EI' else 'T'}|{x}"] = None
+                    out.setdefault(f"{level}|{t}|{x}", (f"{level}|{t}|{x}", level, k))
+    return found, list(out.values()), list(heads), list(tails)
+
+
+def forms(name: str | None) -> list[tuple[str, str, str, str, str, str]]:
+    """(form, level, first, middle, surname, suffix) of every rewriting."""
+    found, out, _, _ = rewritings(name)
+    return [(form, level, *found[k]) for form, level, k in out]

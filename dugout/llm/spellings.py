@@ -141,17 +141,41 @@ LEVELS = {"E": (4, 0.75, 0.01), "T": (3, 0.15, 0.2), "I": (2, 0.1, 0.2), "K": (1
 #: Legal forms of schools that come before college.
 SCHOOL_FORMS = ("high", "prep", "catholic")
 
-_FORMS = "array<struct<form:string,level:string,first:string,mid:string,last:string,suffix:string>>"
+_NAME = ("struct<readings:array<struct<first:string,mid:string,last:string,suffix:string>>,"
+         "forms:array<struct<form:string,level:string,k:int>>,heads:array<string>,tails:array<string>>")
 
 
-def _forms_of(names: pd.Series) -> pd.Series:
-    keys = ("form", "level", "first", "mid", "last", "suffix")
-    return names.map(lambda n: [dict(zip(keys, x, strict=True)) for x in P.forms(n)] if isinstance(n, str) else [])
+def _rewritten(names: pd.Series) -> pd.DataFrame:
+    rows = []
+    for n in names:
+        found, out, heads, tails = P.rewritings(n if isinstance(n, str) else None)
+        rows.append((
+            [dict(zip(("first", "mid", "last", "suffix"), x, strict=True)) for x in found],
+            [dict(zip(("form", "level", "k"), x, strict=True)) for x in out], heads, tails))
+    return pd.DataFrame(rows, columns=["readings", "forms", "heads", "tails"])
 
 
-def name_forms(name: str) -> Column:
-    """Array of a name's rewritings; empty for null."""
-    return F.pandas_udf(_forms_of, _FORMS)(F.col(name))
+def rewritten(name: str) -> Column:
+    """A name's readings, rewritings, heads and tails (see ``person_names.rewritings``); empty for null."""
+    return F.pandas_udf(_rewritten, _NAME)(F.col(name))
+
+
+def rarity(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How many rows of ``names`` (n: ``rewritten``) have each head and each tail: (head, n_head), (tail, n_tail)."""
+    def count(c: str) -> DataFrame:
+        return names.select(F.explode(f"n.{c}s").alias(c)).groupBy(c).agg(F.count(F.lit(1)).alias(f"n_{c}"))
+
+    return count("head"), count("tail")
+
+
+def with_rarity(met: DataFrame, heads: DataFrame, tails: DataFrame) -> DataFrame:
+    """``met`` (form, level, ...) with n_head and n_tail of its form."""
+    part = F.split("form", r"\|")
+    return (
+        met.withColumn("head", F.concat(F.when(F.col("level").isin("E", "T"), "E|").otherwise("I|"), part[1]))
+        .withColumn("tail", F.concat(F.when(F.col("level").isin("E", "I"), "E|").otherwise("T|"), part[2]))
+        .join(heads, "head").join(tails, "tail")
+    )
 
 
 def level_maps() -> list[Column]:
@@ -160,59 +184,53 @@ def level_maps() -> list[Column]:
 
 
 def names_agree(a: str, b: str) -> Column:
-    """Whether two readings met on a shared form can be one person: no conflict of middle initial or suffix, and first
+    """Whether two readings met on a form of ``level`` can be one person: no conflict of middle initial or suffix, and first
     names that are equal, related through the form, an initial, or within two typing errors."""
     c = lambda s, k: F.col(f"{s}.{k}")
     clash = lambda k: (c(a, k) != "") & (c(b, k) != "") & (c(a, k) != c(b, k))
     initial = (F.length(c(a, "first")) == 1) | (F.length(c(b, "first")) == 1)
     slack = F.when(F.least(F.length(c(a, "first")), F.length(c(b, "first"))) >= 5, 2).otherwise(1)
-    first = ~c(a, "level").isin("I", "K") | initial | (F.levenshtein(c(a, "first"), c(b, "first")) <= slack)
+    first = ~F.col("level").isin("I", "K") | initial | (F.levenshtein(c(a, "first"), c(b, "first")) <= slack)
     return ~clash("mid") & ~clash("suffix") & first & (F.levenshtein(c(a, "last"), c(b, "last")) <= 2)
 
 
 def draft_evidence(drafts: DataFrame) -> DataFrame:
-    """Candidate links (a, b, relation, gap, level, expected, confidence) between rows (ord, name, year, institution)."""
-    rows = cut(drafts.select(
-        "ord", "year", "institution", F.split("institution", r"\|")[0].isin(list(SCHOOL_FORMS)).alias("school"),
-        F.explode(name_forms("name")).alias("f")).select("ord", "year", "institution", "school", "f.*"))
+    """Candidate links (a, b, relation, gap, level, expected, confidence) between rows (ord, name, year, institution).
+
+    Rows meet on the hash of a rewriting (with the institution where that has to agree); a meeting carries row numbers
+    only, and readings are fetched for the pairs that met."""
+    base = cut(drafts.select("ord", "year", "institution", F.split("institution", r"\|")[0].isin(list(SCHOOL_FORMS)).alias("school"), rewritten("name").alias("n")))
     total = drafts.agg(F.count(F.lit(1)), F.countDistinct("year")).first()
     n, years = max(total[0], 1), max(total[1], 1)
-    part = lambda k: F.split("form", r"\|")[k]
-    seen = rows.select("ord", "level", part(1).alias("head"), part(2).alias("tail"))
-    heads = seen.where("level in ('E', 'I')").select("ord", "level", "head").distinct().groupBy("level", "head").agg(F.count(F.lit(1)).alias("n_head"))
-    heads = heads.withColumn("level", F.explode(F.when(F.col("level") == "E", F.array(F.lit("E"), F.lit("T"))).otherwise(F.array(F.lit("I"), F.lit("K")))))
-    tails = seen.select("ord", "level", "tail").distinct().groupBy("level", "tail").agg(F.count(F.lit(1)).alias("n_tail"))
+    heads, tails = rarity(base)
     share = drafts.where(F.col("institution").isNotNull()).groupBy("institution").agg((F.count(F.lit(1)) / n).alias("share"))
-    side = lambda p: F.struct("ord", "year", "institution", "school", "level", "first", "mid", "last", "suffix").alias(p)
-    left = rows.select("form", F.col("institution").alias("at"), F.col("year").alias("y"), side("l"))
-    right = rows.select("form", F.col("institution").alias("at"), F.col("year").alias("y"), side("r"))
-    same = left.where("at is not null").join(right, ["form", "at"]).where("r.year between l.year + 1 and l.year + 5").select(
-        "form", "l", "r", F.lit("same").alias("relation"))
-    sure = lambda df: df.where(F.col(f"{'l' if 'l' in df.columns else 'r'}.level").isin("E", "T")).drop("at")
-    shifted = sure(left).withColumn("y", F.explode(F.array(*[F.col("y") + k for k in (1, 2, 3)])))
-    gap = F.col("r.year") - F.col("l.year")
-    both = F.col("l.institution").isNotNull() & F.col("r.institution").isNotNull()
-    moved = (
-        shifted.join(sure(right), ["form", "y"])
-        .withColumn("relation", F.when(~both, "unknown").when(F.col("l.institution") == F.col("r.institution"), F.lit(None))
-                    .when(F.col("l.school") & ~F.col("r.school") & (gap == 3), "school").otherwise("other"))
-        .where("relation is not null")
-        .select("form", "l", "r", "relation")
-    )
+    rows = base.where("year is not null").select("ord", "year", "institution", F.explode("n.forms").alias("f")).select("ord", "year", "institution", "f.*")
+    a = lambda h: rows.select(h.alias("h"), "form", "level", F.col("ord").alias("a"), F.col("k").alias("ka"), F.col("year").alias("ya"))
+    b = lambda h: rows.select(h.alias("h"), F.col("form").alias("form_b"), F.col("ord").alias("b"), F.col("k").alias("kb"), F.col("year").alias("yb"))
+    at_same = F.when(F.col("institution").isNotNull(), F.xxhash64("form", "institution"))
+    anywhere = F.when(F.col("level").isin("E", "T"), F.xxhash64("form"))
+    pick = ["form", "level", "a", "ka", "b", "kb", (F.col("yb") - F.col("ya")).alias("gap")]
+    same = a(at_same).where("h is not null").join(b(at_same), "h").where("form = form_b and yb between ya + 1 and ya + 5").select(*pick)
+    moved = a(anywhere).where("h is not null").join(b(anywhere), "h").where("form = form_b and yb between ya + 1 and ya + 3").select(*pick)
+    met = cut(same.unionByName(moved).distinct())
+    side = lambda x: base.select(F.col("ord").alias(x), F.col("n.readings").alias(f"r{x}"), F.col("institution").alias(f"i{x}"), F.col("school").alias(f"s{x}"))
+    both = F.col("ia").isNotNull() & F.col("ib").isNotNull()
+    relation = F.when(~both, "unknown").when(F.col("ia") == F.col("ib"), "same").when(F.col("sa") & ~F.col("sb") & (F.col("gap") == 3), "school").otherwise("other")
     prior = F.create_map(*[F.lit(x) for (rel, g), p in PRIORS.items() for x in (f"{rel}{g}", p)])
     rank_of, share_of, chance_of = level_maps()
-    met = same.unionByName(moved).where((F.col("l.ord") != F.col("r.ord")) & names_agree("l", "r"))
+    known = (
+        met.join(side("a"), "a").join(side("b"), "b")
+        .withColumns({"l": F.get("ra", F.col("ka")), "r": F.get("rb", F.col("kb")), "relation": relation}).where(names_agree("l", "r"))
+        .where("level in ('E', 'T') or relation = 'same'")
+    )
     scored = (
-        met.withColumn("level", F.col("l.level")).withColumn("head", part(1)).withColumn("tail", part(2))
-        .join(heads, ["level", "head"]).join(tails, ["level", "tail"])
-        .join(share.withColumnRenamed("institution", "inst"), F.col("r.institution") == F.col("inst"), "left")
-        .withColumn("gap", gap)
-        .withColumn("prior", F.try_element_at(prior, F.concat("relation", F.col("gap").cast("string"))))
-        .withColumn("prior", F.col("prior") * share_of[F.col("level")])
-        .withColumn("expected", chance_of[F.col("level")] * F.col("n_head") * F.col("n_tail") / F.lit(float(n) * years) * F.when(F.col("relation") == "same", F.col("share")).otherwise(F.lit(1.0)))
+        with_rarity(known, heads, tails).join(share.withColumnRenamed("institution", "ib"), "ib", "left")
+        .withColumn("prior", F.try_element_at(prior, F.concat("relation", F.col("gap").cast("string"))) * share_of[F.col("level")])
+        .withColumn("expected", chance_of[F.col("level")] * F.col("n_head") * F.col("n_tail") / F.lit(float(n) * years)
+                    * F.when(F.col("relation") == "same", F.col("share")).otherwise(F.lit(1.0)))
         .withColumn("confidence", F.col("prior") / (F.col("prior") + F.col("expected")))
     )
-    return scored.where(F.col("confidence").isNotNull()).groupBy(F.col("l.ord").alias("a"), F.col("r.ord").alias("b")).agg(
+    return scored.where(F.col("confidence").isNotNull()).groupBy("a", "b").agg(
         F.max_by(F.struct("relation", "gap", "level", "expected", "confidence"), F.struct(rank_of[F.col("level")], "confidence")).alias("e")).select("a", "b", "e.*")
 
 
