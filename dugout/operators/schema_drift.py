@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Spellings of null in the files.
@@ -350,17 +350,33 @@ def unified_positions(lines: DataFrame) -> DataFrame:
     )
 
 
+def lenient(raw: Column, kind: str) -> Column:
+    """A raw value as ``kind`` whatever type its file gave it: ``double`` reads per cent as a share, ``int`` reads whole
+    decimals, ``season`` reads also ``2024-25`` (the year it ends), ``id`` gives bare numbers the prefix ``sa`` and ignores case."""
+    v = F.trim(raw)
+    v = F.when(~F.lower(v).isin(NULL_MARKERS), v)
+    number = F.when(v.rlike(r"^[+-]?[0-9.]+%$"), F.rtrim(F.replace(v, F.lit("%"), F.lit(""))).try_cast("double") / 100).otherwise(v.try_cast("double"))
+    whole = F.when(number == F.floor(number), number.cast("int"))
+    if kind == "double":
+        return F.when(~F.isnan(number), number)
+    if kind == "int":
+        return whole
+    if kind == "season":
+        return F.when(v.rlike(r"^[0-9]{4}-[0-9]{2}$"), F.substring(v, 1, 4).try_cast("int") + 1).otherwise(whole)
+    if kind == "id":
+        return F.when(v.rlike("^[0-9]+$"), F.concat(F.lit("sa"), v)).otherwise(F.lower(v))
+    return v
+
+
 def unified_table(lines: DataFrame, columns: list[str], types: dict[str, str]) -> DataFrame:
-    """All lines in one consistent table: (file_id, line_no, feed, kind, season) and ``columns``, cast by ``types``
-    (null where a value does not cast or a file lacks the column)."""
+    """All lines in one consistent table: (file_id, line_no, feed, kind, season) and ``columns``, read by ``types``
+    (see ``lenient``; null where a value cannot be read or a file lacks the column)."""
     pos = unified_positions(lines).where(F.col("column").isin(columns)).groupBy("file_id").agg(
         F.map_from_entries(F.collect_list(F.struct("column", "pos"))).alias("at"))
     body = lines.where((F.col("line_no") > 0) & F.col("line").isNotNull()).join(pos, "file_id").select(
         "file_id", "line_no", "feed", "kind", "season", "at", split_line(F.col("line")).alias("v"))
 
     def pick(name: str):
-        raw = F.trim(F.get(F.col("v"), F.col("at")[name]))
-        clean = F.when(~F.lower(raw).isin(NULL_MARKERS), raw)
-        return (clean.try_cast(types[name]) if types.get(name, "string") != "string" else clean).alias(name)
+        return lenient(F.get(F.col("v"), F.try_element_at("at", F.lit(name))), types.get(name, "string")).alias(name)
 
     return body.select("file_id", "line_no", "feed", "kind", "season", *[pick(c) for c in columns])

@@ -58,7 +58,7 @@ def p6_change_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 UNIFIED = {
-    "name": "string", "team": "string", "age": "int", "playerid": "string", "year": "int",
+    "name": "string", "team": "string", "age": "int", "playerid": "id", "year": "season",
     **{c: "int" for c in "g ab pa h 2b 3b hr r rbi bb so hbp sf sh gdp sb cs wrc+".split()},
     **{c: "double" for c in "avg bb% k% bb/k obp slg ops iso spd babip wsb wrc wraa woba".split()},
 }

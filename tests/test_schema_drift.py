@@ -59,9 +59,19 @@ def test_changes_and_unified(spark):
     got = sorted((r["file_id"], r["column_name"], r["change"]) for r in D.schema_changes(df).collect())
     assert got == sorted([
         (1, "pid", "renamed"), (1, "pid", "retyped"), (1, "yr", "renamed"), (1, "bats", "added"), (1, "hr", "retyped"), (9, "bats", "removed")])
-    table = D.unified_table(df, ["name", "playerid", "year", "hr"], {"year": "int", "hr": "double"})
+    table = D.unified_table(df, ["name", "playerid", "year", "hr"], {"year": "season", "hr": "double"})
     rows = sorted(tuple(r) for r in table.select("file_id", "name", "playerid", "year", "hr").where("file_id <> 7").collect())
     assert rows[0] == (1, "C", "x1", 2021, 2.5)
     assert (2, 'Doe, "J" A', "1", 2020, 3.0) in rows
     assert rows.count((2, "B", None, 2020, None)) == 2
     assert D.schema_changes(df.limit(0)).count() == 0
+
+
+def test_lenient(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("36.6%",), ("31.0",), ("2024-25",), ("2020",), ("10001",), ("SA7",), ("NA",), (None,), ("x",), ("1.5",)], "v string")
+    got = [tuple(r) for r in df.select(*[D.lenient(F.col("v"), k) for k in ("double", "int", "season", "id")]).collect()]
+    assert got[0] == (0.366, None, None, "36.6%") and got[1][:3] == (31.0, 31, 31)
+    assert got[2][2] == 2025 and got[3][:3] == (2020.0, 2020, 2020) and got[4][3] == "sa10001" and got[5][3] == "sa7"
+    assert got[6] == got[7] == (None, None, None, None) and got[8][:3] == (None, None, None) and got[9][:2] == (1.5, None)
