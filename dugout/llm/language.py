@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dugout.session import spread
+
 LANGUAGES = ["en", "es", "fr", "de", "pt", "it", "ja"]
 
 #: Ways to write a language's label, lower case, region and script cut off.
@@ -305,7 +307,7 @@ def label_documents(docs: DataFrame, model: Model | None) -> DataFrame:
                     rows += [(doc, name, i, len(segs), lang, c, c < AMBIGUOUS, len(s)) for i, (lang, c, s) in enumerate(segs)]
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").mapInPandas(run, schema)
+    return spread(docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull())).mapInPandas(run, schema)
 
 
 def mislabelled(labelled: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dugout.session import spread
+
 
 #: Words of a gram, grams of a window, words that make a case, changed words that a passage may hold between two runs.
 K, WINDOW, WORDS, GAP = 3, 2, 12, 2
@@ -143,7 +145,7 @@ def _verify_pairs(form: set[tuple[str, str]]):
 def leaks(docs: DataFrame, items: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_id, item_id, n_words) of documents (doc_id, text) that hold a passage of items (item_id, text)."""
     schema = "doc_id bigint, item_id bigint, n_words int"
-    d = docs.where(F.col("text").isNotNull()).select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= MATCHED)
+    d = spread(docs.select("doc_id", "text").where(F.col("text").isNotNull())).select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= MATCHED)
     t = items.where(F.col("text").isNotNull()).select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= WORDS)
     size = t.agg(F.sum(F.size("w"))).first()[0] or 0
     small = size <= broadcast_words

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dugout.session import cut
+from dugout.session import cut, spread
 
 #: Buckets of a level and levels: 3 x 12 bits of the hash.
 BITS, LEVELS = 12, 3
@@ -58,7 +58,7 @@ def with_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             yield pdf[["doc_id", "source"]].assign(tokens=count(texts))
 
-    return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, tokens bigint")
+    return spread(docs.select("doc_id", "source", "text")).mapInPandas(run, "doc_id bigint, source string, tokens bigint")
 
 
 def place(key: str) -> Column:

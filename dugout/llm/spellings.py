@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from dugout.llm import person_names as P
 from dugout.llm import school_names as S
-from dugout.session import cut
+from dugout.session import cut, spread
 
 
 def spell_support(values: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def _rewrite_of_keys(morph: S.Morphology):
 # ---------------------------------------------------------------------------------------------- persons
 
 #: Share of drafts that one and the same person follows up, by what else agrees and the years between; measured on the
-#: smaller test tables (pairs of equal full names, net of chance). Years not named have no prior and never link.
+#: test tables sf0.1 and check_l (pairs of equal full names, net of chance). Years not named have no prior and never link.
 PRIORS = {
     ("same", 1): 0.07, ("same", 2): 0.003, ("same", 3): 0.0005, ("same", 4): 0.0002, ("same", 5): 0.0002,
     ("school", 3): 0.06, ("unknown", 1): 0.03, ("unknown", 2): 0.001, ("unknown", 3): 0.01,
@@ -199,7 +199,7 @@ def draft_evidence(drafts: DataFrame) -> DataFrame:
 
     Rows meet on the hash of a rewriting (with the institution where that has to agree); a meeting carries row numbers
     only, and readings are fetched for the pairs that met."""
-    base = cut(drafts.select("ord", "year", "institution", F.split("institution", r"\|")[0].isin(list(SCHOOL_FORMS)).alias("school"), rewritten("name").alias("n")))
+    base = cut(spread(drafts).select("ord", "year", "institution", F.split("institution", r"\|")[0].isin(list(SCHOOL_FORMS)).alias("school"), rewritten("name").alias("n")))
     total = drafts.agg(F.count(F.lit(1)), F.countDistinct("year")).first()
     n, years = max(total[0], 1), max(total[1], 1)
     heads, tails = rarity(base)
