@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dugout.session import cut
+
 #: Spellings of null in the files.
 NULL_MARKERS = ["", "na", "n/a", "nan", "null", "-", "--"]
 
@@ -82,6 +84,9 @@ CONCEPTS: dict[str, list[str]] = {
 }
 _CONCEPT_OF = {alias: k for k, aliases in CONCEPTS.items() for alias in aliases}
 
+#: File ids of a stretch (see ``previous_files``).
+BUCKET = 4096
+
 _COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 _INT = r"^[+-]?[0-9]+$"
 _DEC = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -302,17 +307,30 @@ def _nodes(fields: Iterable) -> list[Node]:
     return top
 
 
+def previous_files(schemas: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(file_id, prev_file_id) in the order (season, file_id) of each feed and kind.
+
+    A window sees the files of one feed, kind, season and stretch of ``bucket`` ids; the last file of the stretch before
+    comes from the stretches' own sequence, so no task holds a whole feed however large it is."""
+    f = schemas.select("file_id", "feed", "kind", "season", F.floor(F.col("file_id") / bucket).alias("stretch"))
+    keys = ["feed", "kind", "season", "stretch"]
+    within = f.withColumn("inner", F.lag("file_id").over(Window.partitionBy(*keys).orderBy("file_id")))
+    last = f.groupBy(*keys).agg(F.max("file_id").alias("last")).withColumn(
+        "border", F.lag("last").over(Window.partitionBy("feed", "kind").orderBy("season", "stretch"))).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], "border")
+    on = [within[k].eqNullSafe(last[f"_{k}"]) for k in keys]
+    first = within.where("inner is null").join(last, on).select("file_id", F.col("border").alias("prev_file_id"))
+    return within.where("inner is not null").select("file_id", F.col("inner").alias("prev_file_id")).unionByName(first).where("prev_file_id is not null")
+
+
 def schema_changes(lines: DataFrame) -> DataFrame:
     """(file_id, prev_file_id, feed, kind, season, column_name, old_name, change) between each file and the one
     before it of the same feed and kind in the order (season, file_id)."""
-    w = Window.partitionBy("feed", "kind").orderBy("season", "file_id")
-    pairs = (
-        file_schemas(lines)
-        .withColumn("prev", F.lag(F.struct("file_id", "fields")).over(w))
-        .where(F.col("prev").isNotNull())
-        .select("file_id", F.col("prev.file_id").alias("prev_file_id"), "feed", "kind", "season", "fields",
-                F.col("prev.fields").alias("prev_fields"))
-    )
+    schemas = cut(file_schemas(lines))
+    order = previous_files(schemas)
+    before = schemas.select(F.col("file_id").alias("prev_file_id"), F.col("fields").alias("prev_fields"))
+    pairs = schemas.join(order, "file_id").join(before, "prev_file_id").select(
+        "file_id", "prev_file_id", "feed", "kind", "season", "fields", "prev_fields")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

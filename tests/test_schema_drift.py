@@ -75,3 +75,14 @@ def test_lenient(spark):
     assert got[0] == (0.366, None, None, "36.6%") and got[1][:3] == (31.0, 31, 31)
     assert got[2][2] == 2025 and got[3][:3] == (2020.0, 2020, 2020) and got[4][3] == "sa10001" and got[5][3] == "sa7"
     assert got[6] == got[7] == (None, None, None, None) and got[8][:3] == (None, None, None) and got[9][:2] == (1.5, None)
+
+
+def test_previous_files_in_stretches(spark):
+    rows = [(i, "f" if i % 3 else "g", "k", 2020 + (i * 7) % 3 if i != 5 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "file_id long, feed string, kind string, season int")
+    want = {}
+    for feed in ("f", "g"):
+        ids = [r[0] for r in sorted((r for r in rows if r[1] == feed), key=lambda r: (r[3] if r[3] is not None else -1, r[0]))]
+        want.update(zip(ids[1:], ids))
+    for bucket in (1, 4, 4096):
+        assert {r["file_id"]: r["prev_file_id"] for r in D.previous_files(df, bucket).collect()} == want
