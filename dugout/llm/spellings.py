@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dugout.llm import person_names as P
@@ -236,8 +236,7 @@ def draft_evidence(drafts: DataFrame) -> DataFrame:
 
 def same_pick(drafts: DataFrame) -> DataFrame:
     """Links of rows with the same year, round and pick to the first of them; a null in any of the three links nothing."""
-    w = Window.partitionBy("year", "round", "pick")
-    return (
-        drafts.where(F.col("year").isNotNull() & F.col("round").isNotNull() & F.col("pick").isNotNull())
-        .withColumn("a", F.min("ord").over(w)).where("a <> ord").select("a", F.col("ord").alias("b"))
-    )
+    keys = ["year", "round", "pick"]
+    rows = drafts.select("ord", *keys).where(" and ".join(f"{k} is not null" for k in keys))
+    first = rows.groupBy(*keys).agg(F.min("ord").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(first, keys).where("a <> ord").select("a", F.col("ord").alias("b"))
