@@ -368,7 +368,7 @@ def acronym_lookup(spark, d):
 WHERE "Old name" IS NOT NULL AND trim("Old name") <> '') WHERE k = 1)
 SELECT _ord, coalesce(m.n, "Drafted From") AS school FROM all_drafts LEFT JOIN m ON "Drafted From" = m.o""")
 def lookup_last_wins(spark, d):
-    t = table(spark, d, "missing_schools").where(F.col("New name").isNotNull() | F.lit(True))
+    t = table(spark, d, "missing_schools")
     m = t.where(F.col("Old name").isNotNull() & (F.trim("Old name") != "")).groupBy(q("Old name").alias("o")).agg(F.max_by("New name", "row_id").alias("n"))
     return relational.lookup(table(spark, d, "all_drafts").select("_ord", q("Drafted From").alias("school")), "school", m, "o", "n")
 
