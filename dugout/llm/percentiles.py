@@ -33,8 +33,8 @@ def usable(df: DataFrame, group: Column, value: Column) -> DataFrame:
 
 def order_key(v: Column) -> Column:
     """A long whose signed order is the order of the double: the bits of the number, negative ones flipped."""
-    # Spark has no cast from double to its bits, but its big-endian binary form is a SQL function of the string form of
-    # hex; doubles are therefore built from sign, exponent and mantissa, all exact in floating point.
+    # Spark has no cast from a double to its bits; sign, exponent and mantissa are taken apart by arithmetic that is exact
+    # in floating point, and stays in generated code.
     a = F.abs(v + F.lit(0.0))
     e = F.greatest(F.floor(F.log2(a)), F.lit(-1022)).cast("int")
     e = F.when(a >= F.pow(F.lit(2.0), e + 1), e + 1).when((a < F.pow(F.lit(2.0), e)) & (e > -1022), e - 1).otherwise(e)

@@ -1,7 +1,6 @@
 import itertools
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from dugout.llm import canonical, graph, matching, spellings
 from dugout.llm import school_names as S
