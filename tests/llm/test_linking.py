@@ -126,3 +126,16 @@ def test_match_drafts(spark):
     assert {k for k, v in got.items() if v > 0.5 and k[1] < 100} >= {("p1", 1), ("p1", 2)}
     assert ("p1", 4) not in got and not any(k[0] in ("p3", "p4") for k in got)
     assert matching.match_drafts(seasons.limit(0), d).count() == 0
+
+
+def test_match_drafts_with_initial_and_mistyped_surname(spark):
+    seasons = spark.createDataFrame(
+        [("p1", "Caleb Tahppaski", 2005, "university|c"), ("p2", "Darius Stutmatti", 2007, "university|d"), ("p3", "Emmett Bastassen", 2009, None)],
+        "left_id string, name string, year int, institution string")
+    filler = [(100 + i, f"v{100 + i}", f"First{chr(97 + i % 20)} Last{chr(97 + i % 23)}{chr(97 + i % 19)}", 2000 + i % 20, f"university|p{i % 50}") for i in range(600)]
+    d = spark.createDataFrame(
+        [(1, "a", "C. Thappaski", 2005, "university|c"), (2, "b", "Daius Sturmatti", 2007, "university|d"), (3, "c", "Emett Bastassen", 2009, "college|x")] + filler,
+        "ord long, pick_id string, name string, year int, institution string")
+    got = {(r["left_id"], r["ord"], r["level"]) for r in matching.match_drafts(seasons, d).collect() if r["confidence"] > 0.5}
+    assert got >= {("p1", 1, "K"), ("p2", 2, "K")}
+    assert any(r["level"] == "I" and r["left_id"] == "p3" and r["ord"] == 3 for r in matching.candidates(seasons, d).collect())
