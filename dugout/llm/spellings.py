@@ -128,10 +128,11 @@ def _rewrite_of_keys(morph: S.Morphology):
 # ---------------------------------------------------------------------------------------------- persons
 
 #: Share of drafts that one and the same person follows up, by what else agrees and the years between; measured on the
-#: test tables sf0.1 and check_l (pairs of equal full names, net of chance). Years not named have no prior and never link.
+#: test tables sf0.1 and check_l (pairs of equal full names, net of chance). Years not named have no prior and never link:
+#: on sf0.1 rows elsewhere at gaps 3 to 5 (from school: 1, 2, 4, 5) coincide no more often than at gaps 6 to 9, on any level.
 PRIORS = {
     ("same", 1): 0.07, ("same", 2): 0.003, ("same", 3): 0.0005, ("same", 4): 0.0002, ("same", 5): 0.0002,
-    ("school", 3): 0.06, ("unknown", 1): 0.03, ("unknown", 2): 0.001, ("unknown", 3): 0.01,
+    ("school", 3): 0.2, ("unknown", 1): 0.03, ("unknown", 2): 0.001, ("unknown", 3): 0.01,
     ("other", 1): 0.002, ("other", 2): 0.0002,
 }
 #: By the strongest level on which two names agree (see ``person_names.forms``): its rank, the share of true pairs that
@@ -204,24 +205,31 @@ def draft_evidence(drafts: DataFrame) -> DataFrame:
     n, years = max(total[0], 1), max(total[1], 1)
     heads, tails = rarity(base)
     share = drafts.where(F.col("institution").isNotNull()).groupBy("institution").agg((F.count(F.lit(1)) / n).alias("share"))
+    rank_of, share_of, chance_of = level_maps()
     rows = base.where("year is not null").select("ord", "year", "institution", F.explode("n.forms").alias("f")).select("ord", "year", "institution", "f.*")
-    a = lambda h: rows.select(h.alias("h"), "form", "level", F.col("ord").alias("a"), F.col("k").alias("ka"), F.col("year").alias("ya"))
-    b = lambda h: rows.select(h.alias("h"), F.col("form").alias("form_b"), F.col("ord").alias("b"), F.col("k").alias("kb"), F.col("year").alias("yb"))
-    at_same = F.when(F.col("institution").isNotNull(), F.xxhash64("form", "institution"))
-    anywhere = F.when(F.col("level").isin("E", "T"), F.xxhash64("form"))
+    a = lambda h, t=rows: t.select(h.alias("h"), "form", "level", F.col("ord").alias("a"), F.col("k").alias("ka"), F.col("year").alias("ya"))
+    b = lambda h, t=rows: t.select(h.alias("h"), F.col("form").alias("form_b"), F.col("ord").alias("b"), F.col("k").alias("kb"), F.col("year").alias("yb"))
     pick = ["form", "level", "a", "ka", "b", "kb", (F.col("yb") - F.col("ya")).alias("gap")]
-    same = a(at_same).where("h is not null").join(b(at_same), "h").where("form = form_b and yb between ya + 1 and ya + 5").select(*pick)
-    moved = a(anywhere).where("h is not null").join(b(anywhere), "h").where("form = form_b and yb between ya + 1 and ya + 3").select(*pick)
+    near = lambda reach: f"form = form_b and yb between ya + 1 and ya + {reach}"
+    reach, far = max(g for _, g in PRIORS), max(g for rel, g in PRIORS if rel != "same")
+    at_same = F.when(F.col("institution").isNotNull(), F.xxhash64("form", "institution"))
+    same = a(at_same).where("h is not null").join(b(at_same), "h").where(near(reach)).select(*pick)
+    # elsewhere rows meet within stretches of ``far`` years, of which a reach touches two; a form of c rows has heads and
+    # tails of c rows at least, so from some c on no prior lifts its links to one half and its rows need not meet
+    stretch = F.floor(F.col("year") / far)
+    most = F.sqrt(max(PRIORS.values()) * share_of[F.col("level")] / chance_of[F.col("level")] * F.lit(float(n) * years))
+    hot = F.broadcast(rows.groupBy("form", "level").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("form"))
+    kept = rows.join(hot, "form", "left_anti")
+    left = kept.withColumn("at", F.explode(F.array(stretch, stretch + 1)))
+    moved = a(F.xxhash64("form", "at"), left).join(b(F.xxhash64("form", stretch), kept), "h").where(near(far)).select(*pick)
     met = cut(same.unionByName(moved).distinct())
     side = lambda x: base.select(F.col("ord").alias(x), F.col("n.readings").alias(f"r{x}"), F.col("institution").alias(f"i{x}"), F.col("school").alias(f"s{x}"))
     both = F.col("ia").isNotNull() & F.col("ib").isNotNull()
     relation = F.when(~both, "unknown").when(F.col("ia") == F.col("ib"), "same").when(F.col("sa") & ~F.col("sb") & (F.col("gap") == 3), "school").otherwise("other")
     prior = F.create_map(*[F.lit(x) for (rel, g), p in PRIORS.items() for x in (f"{rel}{g}", p)])
-    rank_of, share_of, chance_of = level_maps()
     known = (
         met.join(side("a"), "a").join(side("b"), "b")
         .withColumns({"l": F.get("ra", F.col("ka")), "r": F.get("rb", F.col("kb")), "relation": relation}).where(names_agree("l", "r"))
-        .where("level in ('E', 'T') or relation = 'same'")
     )
     scored = (
         with_rarity(known, heads, tails).join(share.withColumnRenamed("institution", "ib"), "ib", "left")

@@ -48,6 +48,19 @@ def test_draft_evidence(spark):
     assert got == {(1, 2), (4, 5), (5, 6)}  # (5, 6): a full name so rare outweighs the other school
 
 
+def test_draft_evidence_from_school_with_mistyped_first_name_or_initial(spark):
+    filler = [(100 + i, f"First{chr(97 + i % 20)} Last{chr(97 + i % 23)}{chr(97 + i % 19)}", 2000 + i % 20, f"university|p{i % 50}") for i in range(600)]
+    rows = [(1, "Malik Crustagren", 2003, "high|rosk"), (2, "Mslik Crustagren", 2006, "college|ruddmere"),
+            (3, "Sayer Flalvutti", 2004, "high|rosk"), (4, "S. Flalvutti", 2007, "college|calvenia"),
+            (5, "Hunter Kaushiden", 2004, "high|rosk"), (6, "Bruno Kaushiden", 2007, "college|calvenia")]
+    # a form of so many rows that chance explains every link: none of them is linked, and none is met
+    crowd = [(1000 + i, f"{c}. Tomsett", 2003 + 3 * (i % 2), f"{'college' if i % 2 else 'high'}|q{i}") for i, c in enumerate("J" * 200)]
+    links = spellings.draft_evidence(drafts(spark, rows + filler + crowd))
+    got = {(r["a"], r["b"], r["level"]) for r in links.where("a < 100").collect() if r["confidence"] >= 0.5}
+    assert got == {(1, 2, "I"), (3, 4, "I")}
+    assert links.where("a >= 1000 and confidence >= 0.5").count() == 0
+
+
 def test_same_pick(spark):
     d = spark.createDataFrame([(3, 2000, 1, 1), (1, 2000, 1, 1), (2, 2000, 1, 1), (4, 2000, None, 1), (5, 2000, None, 1)], "ord long, year int, round int, pick int")
     assert sorted(tuple(r) for r in spellings.same_pick(d).collect()) == [(1, 2), (1, 3)]
