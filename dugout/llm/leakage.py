@@ -7,7 +7,8 @@ equi-join; each pair of texts that meets is extended: runs of equal words are ch
 texts, across at most ``GAP`` changed words, and once across other text that stands between the two halves.
 A pair counts from ``WORDS`` words of the test text, of which one in six may be changed. Such a
 passage always has four unchanged words in a row, hence a fingerprint. Word pairs that stand in many
-test texts are their common form ("season archive lists") and alone make no case: so many other pairs must agree.
+test texts are their common form ("season archive lists") and alone make no case: so many other pairs must agree, unless the
+stretch is long or the whole text. Equal texts and near copies count once there, so a repeated text is never its own common form.
 
 Test texts are the bounded side (``BROADCAST_WORDS`` words are checked for); larger sets are joined
 by shuffle instead and each pair carries its test text.
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dugout.session import spread
+from dugout.session import cut, spread
 
 
 #: Words of a gram, grams of a window, words that make a case, changed words that a passage may hold between two runs.
@@ -33,6 +34,8 @@ K, WINDOW, WORDS, GAP = 3, 2, 12, 2
 MATCHED, DENSITY = 10, 0.79
 #: A word pair in this share of the test texts (and in FORM_LEAST of them) is common form; pairs beyond it that a case needs.
 FORM_SHARE, FORM_LEAST, OWN_PAIRS = 0.02, 3, 5
+#: Words from which a stretch counts whatever its pairs are; share of a text's fingerprints in one other from which it is a near copy.
+LONG, NEAR = 30, 0.3
 #: Least unchanged words of each half where other text stands between two halves.
 HALF = 4
 #: Words of all test texts up to which they are broadcast (about 100 MB).
@@ -54,9 +57,23 @@ def fingerprints(df: DataFrame, key: str) -> DataFrame:
     return g.select(key, F.explode(F.array_distinct(least)).alias("h"))
 
 
+def originals(items: DataFrame) -> DataFrame:
+    """The texts of (item_id, w), equal ones and near copies once: each fingerprint stands for the first text that has
+    it, and a text that shares NEAR of its fingerprints with one such text is its copy. A fingerprint makes one link a
+    text, never a pair of texts."""
+    once = items.groupBy("w").agg(F.min("item_id").alias("item_id"))
+    prints = fingerprints(once, "item_id")
+    first = prints.groupBy("h").agg(F.min("item_id").alias("first"))
+    size = prints.groupBy("item_id").agg(F.count(F.lit(1)).alias("size"))
+    shared = prints.join(first, "h").where("first < item_id").groupBy("item_id", "first").agg(F.count(F.lit(1)).alias("n"))
+    copies = shared.join(size, "item_id").where(F.col("n") >= NEAR * F.col("size")).select("item_id").distinct()
+    return once.join(copies, "item_id", "left_anti")
+
+
 def form_pairs(items: DataFrame) -> set[tuple[str, str]]:
-    """The word pairs of common form of (item_id, w). A pair counts once a text, so there are at most
+    """The word pairs of common form of (item_id, w). A pair counts once a text and its copies, so there are at most
     pairs-a-text / FORM_SHARE of them."""
+    items = cut(originals(items))
     n = items.count()
     pairs = items.select(F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b"))))).alias("p"))
@@ -91,7 +108,7 @@ def shared_passage(item: list[str], doc: list[str], form: set[tuple[str, str]] =
     best = 0
 
     def good(span: int, matched: int, own: int) -> bool:
-        return span >= WORDS and matched >= MATCHED and own >= OWN_PAIRS and matched >= DENSITY * span
+        return span >= WORDS and matched >= MATCHED and (own >= OWN_PAIRS or span >= min(LONG, len(item))) and matched >= DENSITY * span
 
     for i, j, n in runs:
         here = own_pairs[i + n - 1] - own_pairs[i]

@@ -57,3 +57,21 @@ def test_leaks(spark):
     for limit in (L.BROADCAST_WORDS, 0):  # broadcast test texts, and by shuffle
         assert sorted((r["doc_id"], r["item_id"]) for r in L.leaks(d, t, limit).collect()) == [(1, 9), (2, 9), (6, 9), (7, 9)]
     assert L.leaks(d.limit(0), t).count() == 0 and L.leaks(d, t.limit(0)).count() == 0
+
+
+def test_copies_of_an_item_are_no_common_form(spark):
+    text, near = " ".join(ITEM), [" ".join(w + "y" * k if i % 9 == k else w for i, w in enumerate(ITEM)) for k in range(1, 5)]
+    other = [" ".join(RNG.sample([w + "z" for w in VOCAB], 40)) for _ in range(10)]
+    part = " ".join(doc(ITEM[10:26]))
+    for texts in ([text] * 5, [text, *near]):
+        items = spark.createDataFrame(list(enumerate(texts + other)), "item_id long, text string")
+        docs = spark.createDataFrame([(1, "x y z " + text + " w"), (2, part), (3, " ".join(doc([])))], "doc_id long, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in L.leaks(docs, items).collect()}
+        assert {(1, i) for i in range(5)} <= got and (2, 0) in got and not any(d == 3 for d, _ in got)
+
+
+def test_long_stretch_counts_whatever_its_pairs():
+    form = set(zip(ITEM, ITEM[1:]))
+    assert L.shared_passage(ITEM, doc(ITEM[5:45]), form) == 40
+    assert L.shared_passage(ITEM[:15], doc(ITEM[:15]), form) == 15  # the whole text
+    assert L.shared_passage(ITEM, doc(ITEM[5:25]), form) == 0
