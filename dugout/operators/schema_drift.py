@@ -89,6 +89,7 @@ BUCKET = 4096
 
 _COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 _INT = r"^[+-]?[0-9]+$"
+_PCT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)%$"
 _DEC = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -249,7 +250,8 @@ def split_line(c):
 
 def file_schemas(lines: DataFrame) -> DataFrame:
     """One row a file: its place in the stream and its fields with type and profile of values, from raw CSV lines
-    (file_id, line_no, line, feed, kind, season). Types are integer, decimal and text."""
+    (file_id, line_no, line, feed, kind, season). Types are integer, decimal and text; ``reads`` is the column kind that
+    reads every value (see ``lenient``): long, double (per cent included) or string, empty if there is no value."""
     head = (
         lines.where((F.col("line_no") == 0) & F.col("line").isNotNull())
         .groupBy("file_id")
@@ -268,6 +270,8 @@ def file_schemas(lines: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n"),
             F.count_if(v.rlike(_INT)).alias("n_int"),
             F.count_if(v.rlike(_DEC)).alias("n_dec"),
+            F.count_if(v.rlike(_PCT)).alias("n_pct"),
+            F.count_if(v.rlike(_INT) & v.try_cast("bigint").isNull()).alias("n_wide"),
             F.avg(num).alias("mean"),
             F.stddev_pop(num).alias("spread"),
         )
@@ -278,11 +282,17 @@ def file_schemas(lines: DataFrame) -> DataFrame:
         .when(F.col("n_int") + F.col("n_dec") == F.col("n"), F.lit("decimal"))
         .otherwise(F.lit("text"))
     )
+    reads = (
+        F.when(F.col("n").isNull(), F.lit(""))
+        .when((F.col("n_int") == F.col("n")) & (F.col("n_wide") == 0), F.lit("long"))
+        .when((F.col("n_int") + F.col("n_dec") + F.col("n_pct") == F.col("n")) & (F.col("n_wide") == 0), F.lit("double"))
+        .otherwise(F.lit("string"))
+    )
     return (
         head.join(stats, ["file_id", "pos"], "left")
-        .select("file_id", "feed", "kind", "season", "pos", "name", kind.alias("type"), "mean", "spread")
+        .select("file_id", "feed", "kind", "season", "pos", "name", kind.alias("type"), "mean", "spread", reads.alias("reads"))
         .groupBy("file_id", "feed", "kind", "season")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "name", "type", "mean", "spread"))).alias("fields"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "name", "type", "mean", "spread", "reads"))).alias("fields"))
     )
 
 
@@ -379,6 +389,8 @@ def lenient(raw: Column, kind: str) -> Column:
         return F.when(~F.isnan(number), number)
     if kind == "int":
         return whole
+    if kind == "long":
+        return v.try_cast("bigint")
     if kind == "season":
         return F.when(v.rlike(r"^[0-9]{4}-[0-9]{2}$"), F.substring(v, 1, 4).try_cast("int") + 1).otherwise(whole)
     if kind == "id":
@@ -386,6 +398,15 @@ def lenient(raw: Column, kind: str) -> Column:
     return v
 
 
+def unified_columns(lines: DataFrame) -> dict[str, str]:
+    """Every column that some file has, by name, with the kind that reads all its values in all files: tens of names."""
+    fields = file_schemas(lines).select("file_id", F.explode("fields").alias("f")).select("file_id", "f.pos", "f.reads")
+    kinds = unified_positions(lines).join(fields, ["file_id", "pos"]).groupBy("column").agg(F.collect_set("reads").alias("k"))
+    has = lambda k: F.array_contains("k", k)
+    kind = F.when(has("string") | ~(has("long") | has("double")), "string").when(has("double"), "double").otherwise("long")
+    return {r["column"]: r["kind"] for r in kinds.select("column", kind.alias("kind")).where("column <> ''").orderBy("column").collect()}
+
+
 def unified_table(lines: DataFrame, columns: list[str], types: dict[str, str]) -> DataFrame:
     """All lines in one consistent table: (file_id, line_no, feed, kind, season) and ``columns``, read by ``types``
     (see ``lenient``; null where a value cannot be read or a file lacks the column)."""
@@ -394,7 +415,9 @@ def unified_table(lines: DataFrame, columns: list[str], types: dict[str, str]) -
     body = lines.where((F.col("line_no") > 0) & F.col("line").isNotNull()).join(pos, "file_id").select(
         "file_id", "line_no", "feed", "kind", "season", "at", split_line(F.col("line")).alias("v"))
 
+    keys = ["file_id", "line_no", "feed", "kind", "season"]  # a column of such a name gets an underscore
+
     def pick(name: str):
-        return lenient(F.get(F.col("v"), F.try_element_at("at", F.lit(name))), types.get(name, "string")).alias(name)
+        return lenient(F.get(F.col("v"), F.try_element_at("at", F.lit(name))), types.get(name, "string")).alias(name + "_" * (name in keys))
 
-    return body.select("file_id", "line_no", "feed", "kind", "season", *[pick(c) for c in columns])
+    return body.select(*keys, *[pick(c) for c in columns])

@@ -57,6 +57,7 @@ def p6_change_report(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
+#: Kinds of the columns that every season has; all further ones come from the files.
 UNIFIED = {
     "name": "string", "team": "string", "age": "int", "playerid": "id", "year": "season",
     **{c: "int" for c in "g ab pa h 2b 3b hr r rbi bb so hbp sf sh gdp sb cs wrc+".split()},
@@ -65,7 +66,9 @@ UNIFIED = {
 
 
 def p6_unified(spark: SparkSession, d: str) -> DataFrame:
-    return D.unified_table(table(spark, d, "batting_files"), list(UNIFIED), UNIFIED)
+    lines = table(spark, d, "batting_files")
+    kinds = {**D.unified_columns(lines), **UNIFIED}
+    return D.unified_table(lines, [*UNIFIED, *(c for c in kinds if c not in UNIFIED)], kinds)
 
 
 _N = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"

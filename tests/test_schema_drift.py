@@ -86,3 +86,16 @@ def test_previous_files_in_stretches(spark):
         want.update(zip(ids[1:], ids))
     for bucket in (1, 4, 4096):
         assert {r["file_id"]: r["prev_file_id"] for r in D.previous_files(df, bucket).collect()} == want
+
+
+def test_every_added_column_is_in_the_unified_table(spark, monkeypatch):
+    from dugout.plans import data_queries as Q
+
+    df = lines(spark, rows_of(1, 2020, ["name,hr", "A,1"])
+               + rows_of(2, 2021, ["name,hr,pull_pct,ibb,bats,mood,feed", "B,2,36.6%,4,L,7,x", "C,3,NA,,R,8,y"])
+               + rows_of(3, 2022, ["name,hr,pull%,ibb,bats,mood", "D,4,0.5,5.5,3,99999999999,"]))
+    assert D.unified_columns(df) == {"name": "string", "hr": "long", "pull%": "double", "ibb": "double", "bats": "string", "mood": "long", "feed": "string"}
+    monkeypatch.setattr(Q, "table", lambda spark, d, name: df)
+    got = Q.p6_unified(spark, "")
+    rows = {tuple(r) for r in got.select("name", "hr", "`pull%`", "ibb", "bats", "mood", "feed_").collect()}
+    assert rows == {("A", 1, None, None, None, None, None), ("B", 2, 0.366, 4.0, "L", 7, "x"), ("C", 3, None, None, "R", 8, "y"), ("D", 4, 0.5, 5.5, "3", 99999999999, None)}
