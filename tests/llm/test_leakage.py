@@ -1,4 +1,7 @@
 import random
+import time
+
+import numpy as np
 
 from dugout.llm import leakage as L
 
@@ -30,22 +33,63 @@ def brute_runs(a, b, n):
     return any(a[i:i + n] == b[j:j + n] for i in range(len(a) - n + 1) for j in range(len(b) - n + 1))
 
 
-def test_every_shared_run_has_a_fingerprint(spark):
-    docs = [(i, " ".join(doc(ITEM[RNG.randrange(50):][: RNG.randrange(0, 9)], 30))) for i in range(60)]
-    d = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", L.words(spark_col("text")).alias("w"))
-    t = spark.createDataFrame([(1, " ".join(ITEM))], "item_id long, text string").select("item_id", L.words(spark_col("text")).alias("w"))
-    met = {r["doc_id"] for r in L.fingerprints(d, "doc_id").join(L.fingerprints(t, "item_id"), "h").select("doc_id").distinct().collect()}
-    for i, text in docs:
-        if brute_runs(text.split(), ITEM, L.K + L.WINDOW - 1):
-            assert i in met
-        if not brute_runs(text.split(), ITEM, L.K):
-            assert i not in met
+def index_of(texts, form=()):
+    w, at = L.hashed(texts)
+    return L.Index(np.arange(len(texts)), w, at, np.array(form, dtype=np.uint64))
+
+
+def test_every_shared_run_has_a_fingerprint():
+    item = " ".join(ITEM)
+    prints = set(index_of([item]).prints.tolist())
+    for _ in range(200):
+        text = doc(ITEM[RNG.randrange(50):][: RNG.randrange(0, 9)], RNG.choice([2, 4, 30]))
+        w, at = L.hashed([" ".join(text), ""])
+        met = bool(prints & set(L.winnowed(w, at)[0].tolist()))
+        if brute_runs(text, ITEM, L.K + L.WINDOW - 1):
+            assert met
+        if not brute_runs(text, ITEM, L.K):
+            assert not met
+
+
+def test_a_passage_with_one_word_in_six_changed_has_a_fingerprint():
+    prints = set(index_of([" ".join(ITEM)]).prints.tolist())
+    for a in range(L.WORDS):
+        for b in range(a, L.WORDS):  # every way to change two of twelve words
+            part = ITEM[20:20 + L.WORDS]
+            part[a], part[b] = "changed", "altered"
+            w, at = L.hashed(["x y " + " ".join(part) + " z"])
+            assert prints & set(L.winnowed(w, at)[0].tolist())
+
+
+def test_texts_of_a_batch_are_told_apart():
+    texts = [" ".join(doc(ITEM[10:30])), "", " ".join(ITEM[:2]), " ".join(doc([])), " ".join(ITEM)]
+    got = {(d, i) for d, i, _ in index_of([" ".join(ITEM), " ".join(doc([]))]).leaks(texts)}
+    assert got == {(0, 0), (4, 0)}
+    assert index_of([]).leaks(texts) == [] and index_of(texts).leaks([]) == []
+
+
+def test_words():
+    assert L.words("Don\u2019t <b>STOP</b> the in-\nning &amp; caf\u00e9 cafe\u0301 \u65e5\u672c 12-3") == [
+        "don", "t", "stop", "the", "inning", "caf\u00e9", "caf\u00e9", "\u65e5", "\u672c", "12", "3"]
+    long = "ab cd " * 500_000
+    assert len(L.words(long)) == 1_000_000 and L.words("") == []
+
 
+def test_a_long_document_of_repeated_runs_is_quick():
+    text = " ".join(ITEM[:6] + ["other"] * 3 + ITEM[20:24] + ["more"]) + " "
+    began = time.time()
+    assert index_of([" ".join(ITEM)]).leaks([text * 20_000]) == []
+    assert time.time() - began < 20
 
-def spark_col(name):
-    from pyspark.sql import functions as F
 
-    return F.col(name)
+def test_the_corpus_is_neither_shuffled_nor_broadcast(spark):
+    d = spark.createDataFrame([(1, " ".join(doc(ITEM)))], "doc_id long, text string").repartition(4)
+    t = spark.createDataFrame([(9, " ".join(ITEM))], "item_id long, text string")
+    # one exchange is the repartition above; nothing is joined
+    plan = L.leaks(d, t)._jdf.queryExecution().toString()
+    assert "Join" not in plan
+    big = L.leaks(d, t, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in big and "BroadcastExchange" not in big
 
 
 def test_leaks(spark):
