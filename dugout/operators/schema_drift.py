@@ -1,10 +1,18 @@
 """Schemas that drift between files: read everything into one table and report each change.
 
-Every file's schema is a tree of fields. Two consecutive schemas of one stream are compared by a
-tree edit distance: children of matched nodes are assigned to each other at the least total cost
-of ``add``, ``delete``, ``rename`` and ``move`` (a subtree that keeps its name under another
-parent); order does not count. The scripts are then composed along the stream into projections
-that bring every file to one set of columns.
+Every file's schema is a tree of fields. Two consecutive schemas of one stream are compared by a tree edit distance.
+A field that keeps its name under a parent that stays is the same field; of all scripts of ``add``, ``delete``,
+``rename`` and ``move`` (of whole subtrees) for the rest the one of least total cost is taken, by an optimal assignment of the
+fields that went to the fields that came. The order of fields does not count.
+
+What a rename costs is learned from the files themselves, there is no list of known names. Two names are likely one
+fact if their values are distributed alike, if they never stand in one file together, if the one comes where and whenever
+the other goes, and if one is spelled like or shortened from the other (see ``rename_odds``). The statistics are counts over all files, kept for
+each pair of names of which one went while the other came; they grow with the vocabulary of columns, not with the files.
+
+The scripts are composed along each stream: a column is followed back, rename by rename and file by file, to the first
+file that has it (pointer doubling), and compiled into projections that bring every file to one set of columns. Streams
+whose columns start under different names of one fact are brought together by the renames seen in other streams.
 
 The lines are split, classified and counted inside the JVM by (file, position), with map-side
 combination, so no file and no stream is ever gathered into one task; only schemas (tens of
@@ -13,7 +21,8 @@ fields a file) reach Python.
 Defined results: a file without header line has no schema and is passed over; columns compare in
 lower case without surrounding blanks; a column all of whose values are null markers has no type
 and is never ``retyped``; repeated lines count once for nothing but the profile; an empty table
-gives an empty result; of two columns with one name in a file the first counts.
+gives an empty result; of two columns with one name in a file the first counts for the changes, and in the
+unified table the second gets a number behind its name; a line with an odd number of quotes is split at every comma.
 """
 
 from __future__ import annotations
@@ -26,72 +35,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dugout.operators.pointers import roots
 from dugout.session import cut
 
 #: Spellings of null in the files.
 NULL_MARKERS = ["", "na", "n/a", "nan", "null", "-", "--"]
 
-#: Names under which the same fact is commonly published. Names in different rows are different facts.
-CONCEPTS: dict[str, list[str]] = {
-    "name": ["name", "player", "player_name", "full_name", "playername"],
-    "team": ["team", "tm", "club", "school", "team_name"],
-    "age": ["age", "player_age"],
-    "playerid": ["playerid", "player_id", "pid", "id_player", "id"],
-    "year": ["year", "yr", "season"],
-    "g": ["g", "games", "gp"],
-    "ab": ["ab", "at_bats", "atbats"],
-    "pa": ["pa", "plate_appearances"],
-    "h": ["h", "hits"],
-    "1b": ["1b", "singles"],
-    "2b": ["2b", "dbl", "doubles"],
-    "3b": ["3b", "triples", "tpl"],
-    "hr": ["hr", "home_runs", "homers", "homeruns"],
-    "r": ["r", "runs", "runs_scored"],
-    "rbi": ["rbi", "runs_batted_in"],
-    "bb": ["bb", "walks", "base_on_balls"],
-    "so": ["so", "k", "strikeouts", "strike_outs"],
-    "hbp": ["hbp", "hit_by_pitch"],
-    "sf": ["sf", "sac_flies", "sacrifice_flies"],
-    "sh": ["sh", "sac_hits", "sacrifice_hits"],
-    "gdp": ["gdp", "gidp", "double_plays"],
-    "sb": ["sb", "steals", "stolen_bases"],
-    "cs": ["cs", "caught_stealing"],
-    "avg": ["avg", "ba", "bat_avg", "batting_average"],
-    "bb%": ["bb%", "bb_pct", "walk_rate", "bb_rate"],
-    "k%": ["k%", "k_pct", "so_rate", "k_rate", "so_pct"],
-    "bb/k": ["bb/k", "bb_per_k", "bb_k"],
-    "obp": ["obp", "ob_pct", "on_base", "on_base_pct"],
-    "slg": ["slg", "slugging", "slug_pct"],
-    "ops": ["ops", "on_base_plus_slugging"],
-    "iso": ["iso", "iso_power", "isolated_power"],
-    "spd": ["spd", "speed_score"],
-    "babip": ["babip", "bip_avg"],
-    "wsb": ["wsb", "weighted_sb"],
-    "wrc": ["wrc", "weighted_rc"],
-    "wraa": ["wraa", "weighted_raa"],
-    "woba": ["woba", "weighted_oba"],
-    "wrc+": ["wrc+", "wrc_plus", "wrcplus"],
-    "ibb": ["ibb", "intentional_walks"],
-    "clutch": ["clutch"],
-    "height_cm": ["height_cm", "height"],
-    "pull%": ["pull%", "pull_pct"],
-    "exit_velo": ["exit_velo", "exit_velocity"],
-    "bats": ["bats"],
-    "hometown": ["hometown"],
-    "errors": ["errors"],
-    "pos": ["pos", "position"],
-    "gs": ["gs", "games_started"],
-}
-_CONCEPT_OF = {alias: k for k, aliases in CONCEPTS.items() for alias in aliases}
-
 #: File ids of a stretch (see ``previous_files``).
 BUCKET = 4096
+#: Distinct renames up to which streams are brought together by names on the driver; beyond, each stream keeps its first names.
+RENAMES = 50_000
 
-_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 _INT = r"^[+-]?[0-9]+$"
 _PCT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)%$"
 _DEC = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
+#: What a move of a subtree costs; adding or deleting a field costs 1.
+MOVE = 0.5
+
+
+@dataclass
+class Profile:
+    """Values of a field: how many, the share of numbers, their mean and deviation, the mean length in characters."""
+
+    n: float = 0.0
+    numbers: float = 0.0
+    mean: float = 0.0
+    spread: float = 0.0
+    length: float = 0.0
+
 
 @dataclass
 class Node:
@@ -99,40 +71,79 @@ class Node:
 
     name: str
     type: str = ""
-    mean: float | None = None
-    spread: float | None = None
+    profile: Profile | None = None
     children: list["Node"] = field(default_factory=list)
 
     def size(self) -> int:
         return 1 + sum(c.size() for c in self.children)
 
 
-def _similarity(a: str, b: str) -> float:
-    """Share of common character bigrams (Dice), 1 for equal names."""
-    if a == b:
-        return 1.0
-    grams = lambda s: {s[i:i + 2] for i in range(len(s) - 1)} or {s}
-    x, y = grams(a.replace("_", "")), grams(b.replace("_", ""))
-    return 2 * len(x & y) / (len(x) + len(y))
+@dataclass
+class Evidence:
+    """What all files say about two names: share of the rarer one's files in which both stand, log of how much more often
+    than by chance the one comes when the other goes, and the profiles of all their values."""
+
+    together: float
+    lift: float
+    old: Profile
+    new: Profile
+
 
+def _parts(name: str) -> list[str]:
+    for sign, word in (("%", "_pct"), ("+", "_plus"), ("/", "_per_"), ("-", "_"), (" ", "_")):
+        name = name.replace(sign, word)
+    return [p for p in name.split("_") if p] or [name]
 
-def rename_cost(old: Node, new: Node) -> float:
-    """Cost of a rename, 0 to 2 (2: as dear as delete and add). Two names of one known fact cost next to
-    nothing; two of different known facts are never a rename; else the names' likeness and the values' profile decide."""
-    a, b = _CONCEPT_OF.get(old.name), _CONCEPT_OF.get(new.name)
-    if a and b:
-        return 0.1 if a == b else 2.0
+
+def likeness(a: str, b: str) -> float:
+    """How alike two names are spelled, 0 to 1: shared bigrams, a shared word, initials, or one shortened from the other."""
+    x, y = _parts(a), _parts(b)
+    s, t = "".join(x), "".join(y)
+    if s == t:
+        return 1.0
+    if len(s) > len(t):
+        x, y, s, t = y, x, t, s
+    grams = lambda v: {v[i:i + 2] for i in range(len(v) - 1)} or {v}
+    p, q = grams(s), grams(t)
+    best = 2 * len(p & q) / (len(p) + len(q))
+    if len(y) > 1 and s == "".join(w[0] for w in y):
+        best = max(best, 0.9)
+    if set(x) & set(y) or (len(s) > 1 and s in t):
+        best = max(best, 0.7)
+    rest = iter(t)
+    if s[0] == t[0] and all(c in rest for c in s):
+        best = max(best, 0.5 + 0.3 * len(s) / len(t))
+    return best
+
+
+def overlap(a: Profile | None, b: Profile | None) -> tuple[float, float]:
+    """(how much two profiles overlap, 0 to 1; how far that can be trusted, 0 to 1). Numbers count as normally distributed
+    (Bhattacharyya coefficient), other values by their length."""
+    if a is None or b is None or not a.n or not b.n:
+        return 0.5, 0.0
+    least = lambda p: max(p.spread, abs(p.mean) / 1000, 1e-6)
+    s, t = least(a), least(b)
+    numbers = math.sqrt(2 * s * t / (s * s + t * t)) * math.exp(-((a.mean - b.mean) ** 2) / (4 * (s * s + t * t)))
+    n = min(a.n, b.n)
+    return min(a.numbers, b.numbers) * numbers + min(1 - a.numbers, 1 - b.numbers) * math.exp(-abs(a.length - b.length) / 3), n / (n + 3)
+
+
+def rename_odds(old: Node, new: Node, near: int | None = None, seen: Evidence | None = None) -> float:
+    """Log odds that two fields are one fact. ``near``: how many of the fields that stand before and behind are the same (None: not known)."""
+    alike, trust = overlap(seen.old, seen.new) if seen else overlap(old.profile, new.profile)
+    s = -2.0 + 3.0 * likeness(old.name, new.name) + 2.0 * (2.0 * alike - 1.0) * trust
+    if near is not None:
+        s += (-0.5, 0.5, 1.5)[near]
+    if seen is not None:
+        s += seen.lift + (0.5 if not seen.together else -6.0 * min(1.0, 20.0 * seen.together))
+    return s
+
+
+def rename_cost(old: Node, new: Node, near: int | None = None, seen: Evidence | None = None) -> float:
+    """Cost of a rename, 0 to 2; 2 is as dear as delete and add, and is reached where a rename is less likely than not."""
     if bool(old.children) != bool(new.children):
         return 2.0
-    like = _similarity(old.name, new.name)
-    prof = 0.0
-    if old.mean is not None and new.mean is not None:
-        gap = abs(old.mean - new.mean) / max(old.spread or 0, new.spread or 0, 1e-9)
-        prof = math.exp(-gap)
-    elif old.type and new.type and old.type == new.type:
-        prof = 0.3
-    score = 0.6 * like + 0.4 * prof
-    return 2.0 if score < 0.5 else 2.0 * (1 - score)
+    return min(2.0, 4.0 / (1.0 + math.exp(max(-50.0, min(50.0, rename_odds(old, new, near, seen))))))
 
 
 def _assign(cost: list[list[float]]) -> list[int]:
@@ -169,83 +180,105 @@ def _assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def _match(old: list[Node], new: list[Node]) -> tuple[float, list[tuple[Node | None, Node | None]]]:
-    """The least cost of turning one list of children into the other, and the matched pairs."""
-    by_name = {n.name: n for n in reversed(new)}
-    pairs: list[tuple[Node | None, Node | None]] = []
-    total, left, taken = 0.0, [], set()
-    for o in {n.name: n for n in reversed(old)}.values():
-        if o.name in by_name:
-            pairs.append((o, by_name[o.name]))
-            taken.add(o.name)
-            total += _match(o.children, by_name[o.name].children)[0]
-        else:
-            left.append(o)
-    right = [n for name, n in by_name.items() if name not in taken]
-    left, right = sorted(left, key=lambda n: n.name), sorted(right, key=lambda n: n.name)
-    if left and right:
-        n = len(left) + len(right)
-        cost = [[0.0] * n for _ in range(n)]
-        for i in range(n):
-            for j in range(n):
-                if i < len(left) and j < len(right):
-                    cost[i][j] = rename_cost(left[i], right[j]) + _match(left[i].children, right[j].children)[0]
-                elif i < len(left):
-                    cost[i][j] = float(left[i].size())
-                elif j < len(right):
-                    cost[i][j] = float(right[j].size())
-        chosen = _assign(cost)
-        gone = set()
-        for i, o in enumerate(left):
-            j = chosen[i]
-            if j < len(right) and cost[i][j] < o.size() + right[j].size():
-                pairs.append((o, right[j]))
-                total += cost[i][j]
-                gone.add(j)
+def _first(nodes: list[Node]) -> dict[str, Node]:
+    return {n.name: n for n in reversed(nodes)}
+
+
+def _neighbours(nodes: list[Node], kept: set[str]) -> dict[str, tuple[str, str]]:
+    """(kept name before, kept name behind) of each field."""
+    before, out, behind = "", {}, ""
+    for n in nodes:
+        out[n.name] = before
+        before = n.name if n.name in kept else before
+    both = {}
+    for n in reversed(nodes):
+        both[n.name] = (out[n.name], behind)
+        behind = n.name if n.name in kept else behind
+    return both
+
+
+Change = tuple[str, str, str]
+
+
+def least_script(old: list[Node], new: list[Node], corpus: dict[tuple[str, str], Evidence] | None = None,
+                 old_path: str = "", new_path: str = "") -> tuple[float, list[Change]]:
+    """(cost, script) of turning one list of fields into the other; the script has (change, old path, new path)."""
+    script: list[Change] = []
+    gone: list[tuple[str, Node, tuple[str, str]]] = []
+    come: list[tuple[str, Node, tuple[str, str]]] = []
+
+    def retyped(o: Node, n: Node, a: str, b: str) -> None:
+        if o.type and n.type and o.type != n.type:
+            script.append(("retyped", a, b))
+
+    def walk(a: list[Node], b: list[Node], path: str) -> None:
+        x, y = _first(a), _first(b)
+        kept = x.keys() & y.keys()
+        at, to = _neighbours(list(x.values())[::-1], kept), _neighbours(list(y.values())[::-1], kept)
+        for name, o in x.items():
+            if name in kept:
+                retyped(o, y[name], old_path + path + name, new_path + path + name)
+                walk(o.children, y[name].children, f"{path}{name}.")
             else:
-                pairs.append((o, None))
-                total += o.size()
-        for j, n_ in enumerate(right):
-            if j not in gone:
-                pairs.append((None, n_))
-                total += n_.size()
-    else:
-        pairs += [(o, None) for o in left] + [(None, n_) for n_ in right]
-        total += sum(x.size() for x in left + right)
-    return total, pairs
-
-
-def edit_script(old: list[Node], new: list[Node], path: str = "") -> list[tuple[str, str, str]]:
-    """(change, old path, new path) of a least-cost script; change is added, removed, renamed, retyped or moved."""
-    out: list[tuple[str, str, str]] = []
-    for o, n in _match(old, new)[1]:
-        if o is None:
-            out.append(("added", "", path + n.name))
-        elif n is None:
-            out.append(("removed", path + o.name, ""))
+                gone.append((path, o, at[name]))
+        come.extend((path, n, to[name]) for name, n in y.items() if name not in kept)
+
+    walk(old, new, "")
+    gone.sort(key=lambda g: (g[0], g[1].name))
+    come.sort(key=lambda g: (g[0], g[1].name))
+    total = 0.0
+    inner: dict[tuple[int, int], list[Change]] = {}
+    n = len(gone) + len(come)
+    cost = [[0.0] * n for _ in range(n)]
+    for i in range(n):
+        for j in range(n):
+            if i < len(gone) and j < len(come):
+                (p, o, x), (q, m, y) = gone[i], come[j]
+                below, inner[i, j] = least_script(o.children, m.children, corpus, f"{old_path}{p}{o.name}.", f"{new_path}{q}{m.name}.")
+                near = (x[0] == y[0]) + (x[1] == y[1]) if p == q else None
+                name = 0.0 if o.name == m.name else rename_cost(o, m, near, (corpus or {}).get((p + o.name, q + m.name)))
+                cost[i][j] = name + (0.0 if p == q else MOVE) + below
+            elif i < len(gone):
+                cost[i][j] = float(gone[i][1].size())
+            elif j < len(come):
+                cost[i][j] = float(come[j][1].size())
+    matched = set()
+    for i, j in enumerate(_assign(cost) if n else []):
+        if i >= len(gone):
+            continue
+        p, o, _ = gone[i]
+        if j < len(come) and cost[i][j] < o.size() + come[j][1].size():
+            q, m, _ = come[j]
+            a, b = f"{old_path}{p}{o.name}", f"{new_path}{q}{m.name}"
+            script += [("renamed", a, b)] * (o.name != m.name) + [("moved", a, b)] * (p != q)
+            retyped(o, m, a, b)
+            script += inner[i, j]
+            matched.add(j)
+            total += cost[i][j]
         else:
-            if o.name != n.name:
-                out.append(("renamed", path + o.name, path + n.name))
-            if o.type and n.type and o.type != n.type:
-                out.append(("retyped", path + o.name, path + n.name))
-            if o.children or n.children:
-                out += edit_script(o.children, n.children, f"{path}{n.name}.")
-    if not path:  # a subtree that went and came under another parent by its own name has moved
-        last = lambda p: p.rpartition(".")[2]
-        gone = {last(a): (c, a, b) for c, a, b in out if c == "removed"}
-        for row in [r for r in out if r[0] == "added"]:
-            was = gone.pop(last(row[2]), None)
-            if was and was[1].rpartition(".")[0] != row[2].rpartition(".")[0]:
-                out.remove(row)
-                out.remove(was)
-                out.append(("moved", was[1], row[2]))
-    return out
+            script.append(("removed", f"{old_path}{p}{o.name}", ""))
+            total += o.size()
+    for j, (q, m, _) in enumerate(come):
+        if j not in matched:
+            script.append(("added", "", f"{new_path}{q}{m.name}"))
+            total += m.size()
+    return total, script
+
+
+def edit_script(old: list[Node], new: list[Node], corpus: dict[tuple[str, str], Evidence] | None = None) -> list[Change]:
+    """(change, old path, new path) of a least-cost script; change is added, removed, renamed, retyped or moved."""
+    return least_script(old, new, corpus)[1]
 
 
-def split_line(c):
-    """Fields of a CSV line, quotes taken off; a quoted field may hold commas and doubled quotes."""
-    return F.transform(F.split(c, _COMMA, -1), lambda x: F.when(
-        F.trim(x).rlike(r'^".*"$'), F.replace(F.regexp_replace(F.trim(x), r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(x))
+def split_line(c: Column) -> Column:
+    """Fields of a CSV line, quotes taken off; a quoted field may hold commas and doubled quotes. What stands between an odd
+    and an even quote is quoted, and an empty stretch between two quoted ones is a doubled quote."""
+    bar = "\x01"
+    parts = F.split(c, '"', -1)
+    last = F.size(parts) - 1
+    read = F.transform(parts, lambda x, i: F.when(i % 2 == 1, x).when((x == "") & (i > 0) & (i < last), F.lit('"')).otherwise(F.replace(x, F.lit(","), F.lit(bar))))
+    quoted = F.split(F.array_join(read, ""), bar, -1)
+    return F.when(F.contains(c, F.lit('"')) & (last % 2 == 0), F.transform(quoted, lambda x: F.trim(x))).otherwise(F.split(c, ",", -1))
 
 
 def file_schemas(lines: DataFrame) -> DataFrame:
@@ -260,42 +293,57 @@ def file_schemas(lines: DataFrame) -> DataFrame:
         .select("file_id", "feed", "kind", "season", "pos", F.lower(F.trim(F.regexp_replace("raw", r"(?U)^\s+|\s+$", ""))).alias("name"))
     )
     v = F.trim("v")
-    num = F.when(v.rlike(_INT) | v.rlike(_DEC), v.try_cast("double"))
+    is_int, is_dec, is_pct = v.rlike(_INT), v.rlike(_DEC), v.rlike(_PCT)
+    share = F.replace(v, F.lit("%"), F.lit("")).try_cast("double") / 100
     stats = (
         lines.where((F.col("line_no") > 0) & F.col("line").isNotNull())
         .select("file_id", F.posexplode(split_line(F.col("line"))).alias("pos", "v"))
         .where(~F.lower(v).isin(NULL_MARKERS))
+        .select("file_id", "pos", v.alias("v"), is_int.alias("i"), is_dec.alias("d"), is_pct.alias("p"))
+        .withColumn("x", F.when(F.col("i") | F.col("d"), F.col("v").try_cast("double")).when(F.col("p"), share))
         .groupBy("file_id", "pos")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.count_if(v.rlike(_INT)).alias("n_int"),
-            F.count_if(v.rlike(_DEC)).alias("n_dec"),
-            F.count_if(v.rlike(_PCT)).alias("n_pct"),
-            F.count_if(v.rlike(_INT) & v.try_cast("bigint").isNull()).alias("n_wide"),
-            F.avg(num).alias("mean"),
-            F.stddev_pop(num).alias("spread"),
+            F.count_if("i").alias("n_int"),
+            F.count_if("d").alias("n_dec"),
+            F.count_if("p").alias("n_pct"),
+            F.count_if(F.col("i") & F.col("v").try_cast("bigint").isNull()).alias("n_wide"),
+            F.count("x").alias("n_num"),
+            F.avg("x").alias("mean"),
+            F.stddev_pop("x").alias("spread"),
+            F.avg(F.length("v")).alias("length"),
         )
     )
+    n = F.col("n")
     kind = (
-        F.when(F.col("n").isNull(), F.lit(""))
-        .when(F.col("n_int") == F.col("n"), F.lit("integer"))
-        .when(F.col("n_int") + F.col("n_dec") == F.col("n"), F.lit("decimal"))
+        F.when(n.isNull(), F.lit(""))
+        .when(F.col("n_int") == n, F.lit("integer"))
+        .when(F.col("n_int") + F.col("n_dec") == n, F.lit("decimal"))
         .otherwise(F.lit("text"))
     )
     reads = (
-        F.when(F.col("n").isNull(), F.lit(""))
-        .when((F.col("n_int") == F.col("n")) & (F.col("n_wide") == 0), F.lit("long"))
-        .when((F.col("n_int") + F.col("n_dec") + F.col("n_pct") == F.col("n")) & (F.col("n_wide") == 0), F.lit("double"))
+        F.when(n.isNull(), F.lit(""))
+        .when((F.col("n_int") == n) & (F.col("n_wide") == 0), F.lit("long"))
+        .when((F.col("n_int") + F.col("n_dec") + F.col("n_pct") == n) & (F.col("n_wide") == 0), F.lit("double"))
         .otherwise(F.lit("string"))
     )
     return (
         head.join(stats, ["file_id", "pos"], "left")
-        .select("file_id", "feed", "kind", "season", "pos", "name", kind.alias("type"), "mean", "spread", reads.alias("reads"))
+        .select("file_id", "feed", "kind", "season", "pos", "name", kind.alias("type"), F.coalesce("n", F.lit(0)).alias("n"),
+                F.coalesce("n_num", F.lit(0)).alias("n_num"), "mean", "spread", "length", reads.alias("reads"))
         .groupBy("file_id", "feed", "kind", "season")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "name", "type", "mean", "spread", "reads"))).alias("fields"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "name", "type", "n", "n_num", "mean", "spread", "length", "reads"))).alias("fields"))
     )
 
 
+def _number(x) -> float:
+    return 0.0 if x is None or x != x else float(x)
+
+
+def _profile(n, n_num, mean, spread, length) -> Profile:
+    return Profile(_number(n), _number(n_num) / max(_number(n), 1.0), _number(mean), _number(spread), _number(length))
+
+
 def _nodes(fields: Iterable) -> list[Node]:
     """Fields named with dots become nested nodes."""
     top: list[Node] = []
@@ -311,9 +359,8 @@ def _nodes(fields: Iterable) -> list[Node]:
                 break
             at = seen[key].children
         else:
-            ok = lambda x: None if x is None or x != x else float(x)
             node = seen[".".join(parts)]
-            node.type, node.mean, node.spread = f["type"] or "", ok(f["mean"]), ok(f["spread"])
+            node.type, node.profile = f["type"] or "", _profile(f["n"], f["n_num"], f["mean"], f["spread"], f["length"])
     return top
 
 
@@ -333,49 +380,143 @@ def previous_files(schemas: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return within.where("inner is not null").select("file_id", F.col("inner").alias("prev_file_id")).unionByName(first).where("prev_file_id is not null")
 
 
-def schema_changes(lines: DataFrame) -> DataFrame:
+def _evidence(schemas: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(file_id, known): for each pair of files the evidence on every name that went against every name that came."""
+    cand = pairs.where("size(gone) > 0 and size(come) > 0").select("file_id", F.explode("gone").alias("a"), "come").select(
+        "file_id", "a", F.explode("come").alias("b"))
+    total = pairs.where("size(gone) > 0 or size(come) > 0").count()
+    went = pairs.select(F.explode("gone").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n_gone"))
+    came = pairs.select(F.explode("come").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n_come"))
+    both = cand.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_both"))
+    f = F.col("f")
+    of_name = schemas.select(F.explode("fields").alias("f")).select("f.*").groupBy("name").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("n").alias("n"), F.sum("n_num").alias("n_num"),
+        F.try_divide(F.sum(F.col("mean") * F.col("n_num")), F.sum("n_num")).alias("mean"),
+        F.try_divide(F.sum((F.col("spread") * F.col("spread") + F.col("mean") * F.col("mean")) * F.col("n_num")), F.sum("n_num")).alias("square"),
+        F.try_divide(F.sum(F.col("length") * F.col("n")), F.sum("n")).alias("length"))
+    of_name = of_name.select("name", "files", F.struct(
+        "n", "n_num", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))).alias("spread"), "length").alias("f"))
+    side = lambda k: of_name.select(F.col("name").alias(k), F.col("files").alias(f"files_{k}"), f.alias(f"f_{k}"))
+    # equal headers count once, so this grows with the variety of schemas
+    headers = schemas.select(F.sort_array(F.array_distinct("fields.name")).alias("names")).groupBy("names").agg(F.count(F.lit(1)).alias("n"))
+    together = headers.select(F.explode("names").alias("a"), "names", "n").join(both.select("a", "b"), "a").where(
+        F.array_contains("names", F.col("b"))).groupBy("a", "b").agg(F.sum("n").alias("n_together"))
+    e = (
+        both.join(went, "a").join(came, "b").join(side("a"), "a").join(side("b"), "b").join(together, ["a", "b"], "left")
+        .select("a", "b", "f_a", "f_b",
+                (F.coalesce("n_together", F.lit(0)) / F.least("files_a", "files_b")).alias("together"),
+                F.log((F.col("n_both") + 0.5) / (F.col("n_gone") * F.col("n_come") / F.lit(float(max(total, 1))) + 0.5)).alias("lift"))
+    )
+    return cand.join(e, ["a", "b"]).groupBy("file_id").agg(F.collect_list(F.struct("a", "b", "together", "lift", "f_a", "f_b")).alias("known"))
+
+
+def schema_changes(lines: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """(file_id, prev_file_id, feed, kind, season, column_name, old_name, change) between each file and the one
     before it of the same feed and kind in the order (season, file_id)."""
-    schemas = cut(file_schemas(lines))
+    schemas = cut(file_schemas(lines)) if schemas is None else schemas
     order = previous_files(schemas)
     before = schemas.select(F.col("file_id").alias("prev_file_id"), F.col("fields").alias("prev_fields"))
-    pairs = schemas.join(order, "file_id").join(before, "prev_file_id").select(
-        "file_id", "prev_file_id", "feed", "kind", "season", "fields", "prev_fields")
+    names, old = F.col("fields.name"), F.col("prev_fields.name")
+    pairs = cut(schemas.join(order, "file_id").join(before, "prev_file_id").select(
+        "file_id", "prev_file_id", "feed", "kind", "season", "fields", "prev_fields",
+        F.array_except(old, names).alias("gone"), F.array_except(names, old).alias("come")))
+    facts = pairs.join(_evidence(schemas, pairs), "file_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                for change, old, new in edit_script(_nodes(r.prev_fields), _nodes(r.fields)):
+                known = r.known if r.known is not None else []
+                p = lambda x: _profile(x["n"], x["n_num"], x["mean"], x["spread"], x["length"])
+                corpus = {(k["a"], k["b"]): Evidence(k["together"], k["lift"], p(k["f_a"]), p(k["f_b"])) for k in known}
+                for change, old, new in edit_script(_nodes(r.prev_fields), _nodes(r.fields), corpus):
                     rows.append((r.file_id, r.prev_file_id, r.feed, r.kind, r.season, new or old, old or None, change))
             yield pd.DataFrame(rows, columns=["file_id", "prev_file_id", "feed", "kind", "season", "column_name", "old_name", "change"])
 
-    return pairs.mapInPandas(
+    return facts.select("file_id", "prev_file_id", "feed", "kind", "season", "fields", "prev_fields", "known").mapInPandas(
         run, "file_id bigint, prev_file_id bigint, feed string, kind string, season int, column_name string, old_name string, change string")
 
 
-def canonical(names: list[str]) -> str:
-    """The column that a chain of names stands for: the known fact, or else the first name."""
-    return next((_CONCEPT_OF[n] for n in names if n in _CONCEPT_OF), names[0])
+def first_names(schemas: DataFrame, changes: DataFrame) -> DataFrame:
+    """(file_id, pos, name, first, since): each file's fields with the name under which, and the file in which, the fact began in its stream.
+
+    A stretch is a name's files from the one where it came to the one before it went; a renamed field's stretch leads to
+    the stretch of the old name that holds the file before, so a name used again later for another fact is told apart."""
+    cols = schemas.select("file_id", "feed", "kind", "season", F.explode("fields").alias("f")).select("file_id", "feed", "kind", "season", "f.pos", "f.name")
+    came = changes.where(F.col("change").isin("added", "renamed")).select("file_id", F.col("column_name").alias("name"), F.lit(True).alias("came")).distinct()
+    later = previous_files(schemas).select("file_id", F.lit(True).alias("later"))
+    w = Window.partitionBy("feed", "kind", "name").orderBy("season", "file_id")
+    begin = F.when(F.col("later").isNull() | F.col("came").isNotNull(), F.struct("season", "file_id"))
+    held = cut(cols.join(came, ["file_id", "name"], "left").join(later, "file_id", "left").withColumn("begin", F.last(begin, ignorenulls=True).over(w)).select(
+        "file_id", "pos", "name", F.struct("begin", "name").alias("key")))
+    at = held.select(F.col("file_id").alias("prev_file_id"), F.col("name").alias("old_name"), F.col("key").alias("up")).distinct()
+    now = held.select("file_id", F.col("name").alias("column_name"), "key").distinct()
+    links = changes.where("change = 'renamed'").join(at, ["prev_file_id", "old_name"]).join(now, ["file_id", "column_name"]).select("key", "up")
+    root = F.coalesce("root", "key")
+    return held.join(roots(links), "key", "left").select("file_id", "pos", "name", root["name"].alias("first"), root["begin"].alias("since"))
+
+
+def common_names(schemas: DataFrame, changes: DataFrame) -> dict[str, str]:
+    """The name of most files of each group of names that renames connect, by name. Renames of many files count first, and two
+    names that stand in one file are never brought together."""
+    spark = schemas.sparkSession
+    seen = cut(changes.where("change = 'renamed'").groupBy("old_name", "column_name").agg(F.count(F.lit(1)).alias("n")))
+    if seen.count() > RENAMES:
+        return {}
+    edges = sorted(((r["n"], r["old_name"], r["column_name"]) for r in seen.collect()), key=lambda e: (-e[0], e[1], e[2]))
+    names = sorted({x for _, a, b in edges for x in (a, b)})
+    if not names:
+        return {}
+    of = spark.createDataFrame([(x,) for x in names], "name string")
+    held = schemas.select(F.explode(F.array_distinct("fields.name")).alias("name")).join(of, "name").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    files = {r["name"]: r["n"] for r in held.collect()}
+    sets = schemas.select(F.sort_array(F.array_intersect("fields.name", F.array(*[F.lit(x) for x in names]))).alias("s")).distinct()
+    apart: dict[str, set[str]] = {}
+    for r in sets.toLocalIterator():
+        for x in r["s"]:
+            apart.setdefault(x, set()).update(r["s"])
+    group = {x: {x} for x in names}
+    for _, a, b in edges:
+        if group[a] is not group[b] and not any(apart.get(x, set()) & group[b] for x in group[a]):
+            joined = group[a] | group[b]
+            for x in joined:
+                group[x] = joined
+    return {x: max(g, key=lambda y: (files.get(y, 0), y)) for x, g in group.items()}
+
+
+def unified_positions(schemas: DataFrame, changes: DataFrame) -> DataFrame:
+    """The compiled scripts: (file_id, pos, column) maps each file's every field to a column of the one consistent table, no
+    two of a file to the same one."""
+    named = first_names(schemas, changes)
+    common = common_names(schemas, changes)
+    to = schemas.sparkSession.createDataFrame(sorted(common.items()), "first string, common string")
+    cols = named.join(to, "first", "left").select("file_id", "pos", "name", "since", F.coalesce("common", "first").alias("column"))
+    k = lambda *c: F.row_number().over(Window.partitionBy("file_id", *c).orderBy("since", "pos"))
+    # of two fields of one column the older fact keeps it; the other goes by its own name, and by a number if that is taken too
+    cols = cols.withColumn("column", F.when(k("column") == 1, F.col("column")).otherwise(F.col("name")))
+    cols = cols.withColumn("k", k("column"))
+    cols = cols.select("file_id", "pos", "since", F.when(F.col("k") == 1, F.col("column")).otherwise(F.concat_ws("_", "column", F.col("k").cast("string"))).alias("column"))
+    return cols.select("file_id", "pos", F.when(k("column") == 1, F.col("column")).otherwise(F.concat_ws(" at ", "column", F.col("pos").cast("string"))).alias("column"))
 
 
-def unified_positions(lines: DataFrame) -> DataFrame:
-    """The compiled scripts: (file_id, pos, column) maps each file's field to the one consistent column.
+@dataclass
+class Unified:
+    """The columns of the consistent table with the kind that reads all their values, and where each file has them."""
 
-    Renames are composed along each stream. A chain that touches a known fact carries that fact's name; another
-    keeps its first name. Known facts need no chain, so only the unknown names' renames are walked, a stream at a
-    time; a stream's schemas are tens of names a file."""
-    cols = file_schemas(lines).select("file_id", "feed", "kind", "season", F.explode("fields").alias("f")).select(
-        "file_id", "feed", "kind", "season", "f.pos", "f.name")
-    known = F.create_map(*[F.lit(x) for kv in sorted(_CONCEPT_OF.items()) for x in kv])
-    cols = cols.withColumn("column", known[F.col("name")])
-    renames = schema_changes(lines).where((F.col("change") == "renamed")).select("feed", "kind", "old_name", F.col("column_name").alias("name"))
-    unknown = renames.withColumn("column", F.coalesce(known[F.col("old_name")], F.col("old_name"))).groupBy("feed", "kind", "name").agg(F.min("column").alias("via"))
-    return (
-        cols.join(unknown, ["feed", "kind", "name"], "left")
-        .select("file_id", "pos", F.coalesce("column", "via", "name").alias("column"))
-        .groupBy("file_id", "column").agg(F.min("pos").alias("pos"))
-    )
+    columns: dict[str, str]
+    positions: DataFrame
+
+
+def unify(lines: DataFrame) -> Unified:
+    """Every column that some file has, from one reading of the lines: tens of names."""
+    schemas = cut(file_schemas(lines))
+    positions = cut(unified_positions(schemas, cut(schema_changes(lines, schemas))))
+    fields = schemas.select("file_id", F.explode("fields").alias("f")).select("file_id", "f.pos", "f.reads")
+    kinds = positions.join(fields, ["file_id", "pos"]).groupBy("column").agg(F.collect_set("reads").alias("k"))
+    has = lambda k: F.array_contains("k", k)
+    kind = F.when(has("string") | ~(has("long") | has("double")), "string").when(has("double"), "double").otherwise("long")
+    found = {r["column"]: r["kind"] for r in kinds.select("column", kind.alias("kind")).where("column <> ''").orderBy("column").collect()}
+    return Unified(found, positions)
 
 
 def lenient(raw: Column, kind: str) -> Column:
@@ -398,19 +539,10 @@ def lenient(raw: Column, kind: str) -> Column:
     return v
 
 
-def unified_columns(lines: DataFrame) -> dict[str, str]:
-    """Every column that some file has, by name, with the kind that reads all its values in all files: tens of names."""
-    fields = file_schemas(lines).select("file_id", F.explode("fields").alias("f")).select("file_id", "f.pos", "f.reads")
-    kinds = unified_positions(lines).join(fields, ["file_id", "pos"]).groupBy("column").agg(F.collect_set("reads").alias("k"))
-    has = lambda k: F.array_contains("k", k)
-    kind = F.when(has("string") | ~(has("long") | has("double")), "string").when(has("double"), "double").otherwise("long")
-    return {r["column"]: r["kind"] for r in kinds.select("column", kind.alias("kind")).where("column <> ''").orderBy("column").collect()}
-
-
-def unified_table(lines: DataFrame, columns: list[str], types: dict[str, str]) -> DataFrame:
+def unified_table(lines: DataFrame, plan: Unified, columns: list[str], types: dict[str, str]) -> DataFrame:
     """All lines in one consistent table: (file_id, line_no, feed, kind, season) and ``columns``, read by ``types``
     (see ``lenient``; null where a value cannot be read or a file lacks the column)."""
-    pos = unified_positions(lines).where(F.col("column").isin(columns)).groupBy("file_id").agg(
+    pos = plan.positions.where(F.col("column").isin(columns)).groupBy("file_id").agg(
         F.map_from_entries(F.collect_list(F.struct("column", "pos"))).alias("at"))
     body = lines.where((F.col("line_no") > 0) & F.col("line").isNotNull()).join(pos, "file_id").select(
         "file_id", "line_no", "feed", "kind", "season", "at", split_line(F.col("line")).alias("v"))

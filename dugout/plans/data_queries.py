@@ -67,8 +67,9 @@ UNIFIED = {
 
 def p6_unified(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "batting_files")
-    kinds = {**D.unified_columns(lines), **UNIFIED}
-    return D.unified_table(lines, [*UNIFIED, *(c for c in kinds if c not in UNIFIED)], kinds)
+    plan = D.unify(lines)
+    kinds = {**plan.columns, **UNIFIED}
+    return D.unified_table(lines, plan, [*UNIFIED, *(c for c in kinds if c not in UNIFIED)], kinds)
 
 
 _N = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
