@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,11 @@ def spread(df: DataFrame) -> DataFrame:
     them, as every large one does, is left as it is; only a small one is shuffled."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read back: like ``cut``, but packed and read by
+    column, for wide frames that are read several times."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
