@@ -77,11 +77,12 @@ def parse(name: str | None) -> tuple[str, str, str, str, bool] | None:
 
 @lru_cache(maxsize=100_000)
 def formals(first: str) -> tuple[str, ...]:
-    """Formal names that a typed first name may stand for, itself included; a mistyped formal name stands for it too."""
+    """Formal names that a typed first name may stand for, itself included; a mistyped formal name stands for it too
+    (but for its first letter, which is seldom mistyped: Mason is not Jason)."""
     known = _FORMAL.get(first, [])
     if first in NICKNAMES or known or len(first) < 5:
         return (first, *known)
-    near = [k for k in NICKNAMES if len(k) >= 5 and abs(len(k) - len(first)) <= 1 and osa(first, k, 1) <= 1]
+    near = [k for k in NICKNAMES if len(k) >= 5 and k[0] == first[0] and abs(len(k) - len(first)) <= 1 and osa(first, k, 1) <= 1]
     return (first, *near)
 
 
@@ -97,33 +98,17 @@ def readings(name: str | None) -> list[tuple[str, str, str, str, float]]:
     return out
 
 
-def rewritings(name: str | None) -> tuple[list[tuple[str, str, str, str]], list[tuple[str, str, int]], list[str], list[str]]:
-    """Readings (first, middle, surname, suffix) of a name, its canonical rewritings (form, level, number of the reading),
-    and the heads and tails that these forms are made of, each once.
+def rewritings(name: str | None) -> list[tuple[str, str, str, str, list[str], list[str], list[str]]]:
+    """Every reading of a name with what its canonical rewritings are made of: (first, middle, surname, suffix, formal first
+    names, initials, surnames with at most one letter deleted, which all single typing errors share).
 
-    Level E: formal first name and surname; I: initial and surname; T: formal first name and the surname with at most
-    one letter deleted, which all single typing errors share; K: the same with the initial. A form is level, head and
-    tail; heads are ``E`` (formal names) or ``I`` (initials), tails ``E`` (surnames) or ``T`` (surnames less a letter)."""
-    found: list[tuple[str, str, str, str]] = []
-    out: dict[str, tuple[str, str, int]] = {}
-    heads: dict[str, None] = {}
-    tails: dict[str, None] = {}
+    A rewriting is one of the formal names or initials with the surname or one of its deletions. The pair of initial and
+    deletion is the coarsest: two names that share any rewriting share one of those. By the finest that they share two
+    names agree on level E (formal name and surname), T (formal name and a deletion), I (initial and surname) or K."""
+    out = []
     for first, mid, last, suffix, cost in readings(name):
-        k = len(found)
-        found.append((first, mid, last, suffix))
         names = formals(first) if len(first) > 1 else ()
         initials = sorted({f[0] for f in names or (first or "?",)})
-        less = {last, *(last[:i] + last[i + 1:] for i in range(len(last)))} if cost == 0 and len(last) >= 5 else set()
-        for level, tops, ends in (("E", names, (last,)), ("I", initials, (last,)), ("T", names, sorted(less)), ("K", initials, sorted(less))):
-            for t in tops:
-                heads[f"{'E' if level in 'ET' else 'I'}|{t}"] = None
-                for x in ends:
-                    tails[f"{'E' if level in 'EI' else 'T'}|{x}"] = None
-                    out.setdefault(f"{level}|{t}|{x}", (f"{level}|{t}|{x}", level, k))
-    return found, list(out.values()), list(heads), list(tails)
-
-
-def forms(name: str | None) -> list[tuple[str, str, str, str, str, str]]:
-    """(form, level, first, middle, surname, suffix) of every rewriting."""
-    found, out, _, _ = rewritings(name)
-    return [(form, level, *found[k]) for form, level, k in out]
+        less = {last, *(last[:i] + last[i + 1:] for i in range(len(last)))} if cost == 0 and len(last) >= 5 else {last}
+        out.append((first, mid, last, suffix, sorted(names), initials, sorted(less)))
+    return out

@@ -64,6 +64,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return schools.unionByName(players)
 
 
+@query
+def p1_persons(spark: SparkSession, d: str) -> DataFrame:
+    """The membership form: every draft row with the least row of its person and the person's number of rows."""
+    drafts, links = _player_links(spark, d, _institutions(spark, d))
+    c = drafts.select("ord", "name").join(graph.components(links), F.col("ord") == F.col("node"), "left")
+    c = c.select("ord", "name", F.coalesce("component", "ord").alias("person"))
+    size = c.groupBy("person").agg(F.count(F.lit(1)).alias("n_rows"))
+    return c.join(size, "person").select(F.col("ord").alias("_ord"), F.col("name").alias("player_name"), "person", "n_rows")
+
+
 @query
 def p1_institutions(spark: SparkSession, d: str) -> DataFrame:
     return _institutions(spark, d).where("entered").select("spelling", "institution")
@@ -72,14 +82,19 @@ def p1_institutions(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ 2: mapping to a canonical list
 
 
-def _mapped(spark: SparkSession, d: str) -> DataFrame:
-    """(source_field, value, entry, cost) of every distinct value of the two entry fields."""
+def _entered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(source_field, value) of the two entry fields, each value once, and the reference list."""
     drafts, stats = table(spark, d, "all_drafts"), table(spark, d, "ncaabb_dataset")
     entered = drafts.select(F.lit("all_drafts.Drafted From").alias("source_field"), F.col("Drafted From").alias("value")).unionByName(
         stats.select(F.lit("ncaabb_dataset.team").alias("source_field"), F.col("team").alias("value")))
-    entered = cut(entered.where(F.col("value").isNotNull()).distinct())
     ref = table(spark, d, "unique_teams").select(F.col("Full Name").alias("name"), F.col("Acronym").alias("acronym"))
-    return entered.join(canonical.map_values(entered, ref), "value").select("source_field", "value", "entry", "cost")
+    return cut(entered.where(F.col("value").isNotNull()).distinct()), ref
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    """(source_field, value, entry, cost, n_near, ambiguous) of every distinct value of the two entry fields."""
+    entered, ref = _entered(spark, d)
+    return entered.join(canonical.map_values(entered, ref), "value").select("source_field", "value", "entry", "cost", "n_near", "ambiguous")
 
 
 @query
@@ -91,7 +106,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p2_mapping_report(spark: SparkSession, d: str) -> DataFrame:
     how = F.when(F.col("cost").isNull(), "unmatched").when(F.col("cost") == 0, "exact").when(F.col("cost") < 1, "acronym").otherwise("near")
-    return _mapped(spark, d).groupBy("source_field", how.alias("how")).agg(F.count(F.lit(1)).alias("n_values"))
+    return _mapped(spark, d).groupBy("source_field", how.alias("how")).agg(F.count(F.lit(1)).alias("n_values"), F.count_if("ambiguous").alias("n_ambiguous"))
+
+
+@query
+def p2_near_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry within the distance of each value, not only the nearest."""
+    entered, ref = _entered(spark, d)
+    return canonical.near_entries(entered, ref).select(F.col("value").alias("entered"), F.col("entry").alias("full_name"), F.round("cost", 4).alias("cost"))
 
 
 # ------------------------------------------------------------------ 3: matching without keys
@@ -121,7 +143,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p3_confidences(spark: SparkSession, d: str) -> DataFrame:
-    return _pitcher_matches(spark, d).select(F.col("left_id").alias("playerid"), F.col("ord").alias("draft_ord"), "relation", F.round("confidence", 6).alias("confidence"))
+    return _pitcher_matches(spark, d).select(F.col("left_id").alias("playerid"), F.col("ord").alias("draft_ord"), "relation", F.round("confidence", 6).alias("confidence"), "converged")
 
 
 # ------------------------------------------------------------------ 5: percentiles

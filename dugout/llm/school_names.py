@@ -117,13 +117,13 @@ def tokens_of(s: str) -> list[str]:
 
 
 class Parsed:
-    """Reading of one spelling: ``form``, ``places`` in order, the direction if any."""
+    """Reading of one spelling: ``form``, ``places`` in order, the direction if any, places cut short with a dot."""
 
-    __slots__ = ("form", "places", "direction", "initial", "truncated", "separated")
+    __slots__ = ("form", "places", "direction", "initial", "short", "separated")
 
-    def __init__(self, form: str, places: tuple[str, ...], direction: str, initial: str, truncated: bool, separated: bool):
+    def __init__(self, form: str, places: tuple[str, ...], direction: str, initial: str, short: frozenset[str], separated: bool):
         self.form, self.places, self.direction = form, places, direction
-        self.initial, self.truncated, self.separated = initial, truncated, separated
+        self.initial, self.short, self.separated = initial, short, separated
 
     @property
     def key(self) -> str:
@@ -146,7 +146,7 @@ def parse(s: str | None) -> Parsed | None:
     raw = tokens_of(f)
     seen: set[str] = set()
     places: list[str] = []
-    direction, initial, truncated = "", "", False
+    direction, initial, short = "", "", set()
     bare = [t.strip(".'") for t in raw]
     for i, t in enumerate(bare):
         if t in _FILLER or not t:
@@ -172,8 +172,8 @@ def parse(s: str | None) -> Parsed | None:
             continue
         if len(t) <= 2:  # a state's code or a stray letter
             continue
-        if raw[i].endswith(".") and len(t) == 5:
-            truncated = True
+        if raw[i].endswith("."):
+            short.add(t)
         places.append(t)
     if "saint" in seen:
         places = [p[:-1] if p.endswith("s") and len(p) > 4 else p for p in places]
@@ -207,7 +207,7 @@ def parse(s: str | None) -> Parsed | None:
         form = "college"
     else:
         form = "bare"
-    return Parsed(form, tuple(places), direction, initial, truncated, separated)
+    return Parsed(form, tuple(places), direction, initial, frozenset(short), separated)
 
 
 def deletions(s: str, most: int) -> set[str]:
@@ -223,6 +223,23 @@ def place_slack(n: int) -> int:
     return 0 if n < 4 else 1 if n < 6 else 2
 
 
+#: Letters that a place cut short keeps at least.
+SHORTEST = 3
+
+
+def begins(k: Parsed, h: Parsed) -> bool:
+    """Whether ``k`` is ``h`` with places cut short."""
+    if not k.short or k.form != h.form or len(k.places) != len(h.places):
+        return False
+    left = list(h.places)
+    for x in sorted(k.places, key=len, reverse=True):
+        hit = next((y for y in left if (len(x) >= SHORTEST and y.startswith(x)) if x in k.short or x == y), None)
+        if hit is None:
+            return False
+        left.remove(hit)
+    return True
+
+
 #: What a bare place can stand for, likeliest first.
 BARE_FORMS = ("university", "college", "saint", "military", "christian")
 
@@ -262,8 +279,10 @@ def rewritings(s: str | None) -> list[tuple[str, float]]:
                 add(f"initial~{x[0]} {d}", 0.7)
     if len(p.places) >= 2 and not p.separated:
         spread("university" if p.form == "campus" else p.form, p.places[:1], 1.5)
-    if p.form == "state" and p.places:
-        add(f"prefix|{p.places[0][:5]}", 0.3 if p.truncated else 0.31)
+    for i, x in enumerate(p.places):  # a place cut short with a dot meets every place that begins so
+        rest = " ".join(sorted(p.places[:i] + p.places[i + 1:]))
+        for n in [len(x)] if x in p.short else range(SHORTEST, len(x)):
+            add(f"{p.form}^{x[:n]}^{rest}", 0.3 if x in p.short else 0.31)
     if p.form == "bare":
         for k, f in enumerate(BARE_FORMS):
             spread(f, p.places, 0.3 + 0.01 * k)
@@ -351,7 +370,7 @@ def agree(k: Parsed, h: Parsed, m: Morphology | None = None) -> float | None:
         d = near(k.places, h.places)
         if d is not None:
             return float(d)
-        if k.truncated and h.form == "state" and h.places[0].startswith(k.places[0]):
+        if begins(k, h):
             return 0.3
     if k.form == "bare" and h.form in BARE_FORMS:
         d = near(k.places, h.places)

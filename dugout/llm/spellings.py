@@ -2,9 +2,9 @@
 
 *Institutions*: each distinct spelling is rewritten to every canonical form that its rules allow
 (:func:`dugout.llm.school_names.rewritings`); the forms are exploded and met by an equi-join with
-the best-supported name of each form, so that a form shared by many names costs one row per name
-and never a pair within the form. A name joins the best of its hubs whose rewriting costs least;
-following hubs to the end gives the institution.
+the best-supported names of each form (hubs), a few at first, and the next ones only for names that none of them
+takes. A hub is scored by the typing errors of the rewriting and by its rarity: the fewer names share the rarest form that both
+have, the less likely they share it by chance. Following hubs to the end gives the institution.
 
 *Persons*: a name is rewritten to first name and surname through nicknames, initials, token order
 and typing errors. Draft rows meet on a rewriting together with evidence beside the name (same pick;
@@ -19,15 +19,22 @@ results; only the named columns are read, so further columns of any name are har
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dugout.llm import evidence
 from dugout.llm import person_names as P
 from dugout.llm import school_names as S
-from dugout.session import cut, spread
+from dugout.operators import pointers
+from dugout.session import cut, spread, stage
+
+
+#: Hubs of a form that are judged first; what twice as many names under the rarest shared form weigh, in typing errors.
+HUBS, RARITY = 4, 0.1
 
 
 def spell_support(values: DataFrame) -> DataFrame:
@@ -53,8 +60,8 @@ def _judge(morph: S.Morphology):
                 k, h = S.parse(r.sample), S.parse(r.hub_sample)
                 cost = S.agree(k, h, morph) if k and h else None
                 if cost is not None:
-                    rows.append((r.key, r.hub, float(cost), r.hub_listed, r.hub_spellings))
-            yield pd.DataFrame(rows, columns=["key", "hub", "cost", "hub_listed", "hub_spellings"])
+                    rows.append((r.key, r.hub, cost + RARITY * math.log2(r.names), r.hub_listed, r.hub_spellings))
+            yield pd.DataFrame(rows, columns=["key", "hub", "score", "hub_listed", "hub_spellings"])
 
     return run
 
@@ -85,27 +92,30 @@ def institutions(spellings: DataFrame, listed: DataFrame, acronyms: DataFrame) -
         _rewrite_of_keys(morph),
         "key string, form string, own boolean, sample string, listed boolean, sound boolean, spellings bigint, n bigint"))
     rank = F.struct("listed", "sound", "spellings", "n", "key")
-    hubs = forms.where("own").groupBy("form").agg(F.max(F.struct(rank.alias("r"), F.col("sample").alias("s"))).alias("h"))
-    cand = (
-        forms.where(~F.col("listed")).join(hubs, "form")
-        .where(F.col("h.r") > rank)
-        .select("key", "sample", F.col("h.r.key").alias("hub"), F.col("h.s").alias("hub_sample"), F.col("h.r.listed").alias("hub_listed"),
-                F.col("h.r.spellings").alias("hub_spellings"))
-        .distinct()
-    )
-    judged = cand.mapInPandas(_judge(morph), "key string, hub string, cost double, hub_listed boolean, hub_spellings bigint")
-    best = cut(
-        judged.groupBy("key").agg(F.min(F.struct("cost", (~F.col("hub_listed")).alias("u"), (-F.col("hub_spellings")).alias("s"), "hub")).alias("b"))
-        .select("key", F.col("b.hub").alias("hub"))
-    )
-    roots = keys.select("key").join(best, "key", "left").select("key", F.coalesce("hub", "key").alias("root"))
-    while True:  # each round doubles the reach; hubs always rank higher, so this ends
-        up = roots.select(F.col("key").alias("root"), F.col("root").alias("over"))
-        new = cut(roots.join(up, "root").select("key", F.col("over").alias("root")))
-        moved = new.join(roots.withColumnRenamed("root", "was"), "key").where("root <> was").limit(1).count()
-        roots = new
-        if not moved:
+    own = forms.where("own").select("form", rank.alias("r"), F.col("sample").alias("hub_sample"))
+    # how many names a form may stand for, and their order; a form is a few letters off a few names
+    order = Window.partitionBy("form")
+    hubs = cut(own.withColumn("k", F.row_number().over(order.orderBy(F.desc("r")))).withColumn("names", F.count(F.lit(1)).over(order)))
+    seek = forms.where(~F.col("listed")).select("key", "sample", "form", rank.alias("mine"))
+    settled, lo = None, 0
+    while True:  # the best hubs of each form first; keys that none of them takes go on to the next ones, until there are no more
+        hi = lo + HUBS if lo == 0 else 2 * lo
+        cand = (
+            seek.join(hubs.where(f"k > {lo} and k <= {hi}"), "form").where(F.col("r") > F.col("mine"))
+            .groupBy("key", "sample", F.col("r.key").alias("hub"), "hub_sample", F.col("r.listed").alias("hub_listed"), F.col("r.spellings").alias("hub_spellings"))
+            .agg(F.min("names").alias("names"))
+        )
+        judged = cand.mapInPandas(_judge(morph), "key string, hub string, score double, hub_listed boolean, hub_spellings bigint")
+        best = cut(
+            judged.groupBy("key").agg(F.min(F.struct("score", (~F.col("hub_listed")).alias("u"), (-F.col("hub_spellings")).alias("s"), "hub")).alias("b"))
+            .select("key", F.col("b.hub").alias("up"))
+        )
+        settled = best if settled is None else settled.unionByName(best)
+        if not hubs.where(f"k > {hi}").limit(1).count():
             break
+        seek, lo = cut(seek.join(best, "key", "left_anti")), hi
+    # hubs always rank higher than who follows them, so there is no cycle
+    roots = keys.select("key").join(pointers.roots(settled), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
     full = read.join(roots, "key").select(F.col("spelling").alias("read"), F.col("root").alias("institution"))
     return both.join(full, "read").groupBy("spelling", "institution").agg((~F.every("listed")).alias("entered"))
 
@@ -127,56 +137,96 @@ def _rewrite_of_keys(morph: S.Morphology):
 
 # ---------------------------------------------------------------------------------------------- persons
 
-#: Share of drafts that one and the same person follows up, by what else agrees and the years between; measured on the
-#: test tables sf0.1 and check_l (pairs of equal full names, net of chance). Years not named have no prior and never link:
-#: on sf0.1 rows elsewhere at gaps 3 to 5 (from school: 1, 2, 4, 5) coincide no more often than at gaps 6 to 9, on any level.
+#: Years between two drafts of one person, at most; pairs of up to ``CONTROL`` years are met too and tell what chance alone gives.
+REACH, CONTROL = 5, 9
+#: Where learning starts: shares of drafts that the same person follows up, by what else agrees and the years between
+#: (1, 2, ... REACH). They weigh as much as ``evidence.PRIOR_ROWS`` rows.
 PRIORS = {
-    ("same", 1): 0.07, ("same", 2): 0.003, ("same", 3): 0.0005, ("same", 4): 0.0002, ("same", 5): 0.0002,
-    ("school", 3): 0.2, ("unknown", 1): 0.03, ("unknown", 2): 0.001, ("unknown", 3): 0.01,
-    ("other", 1): 0.002, ("other", 2): 0.0002,
+    "same": (0.05, 0.005, 0.003, 0.001, 0.0005), "school": (0.005, 0.005, 0.1, 0.005, 0.002),
+    "unknown": (0.05, 0.005, 0.01, 0.001, 0.0005), "other": (0.002, 0.0002, 0.0002, 0.0001, 0.00005),
 }
-#: By the strongest level on which two names agree (see ``person_names.forms``): its rank, the share of true pairs that
-#: agree on it, and namesakes per pair that independent first names and surnames would give; the last was measured by
-#: matching against shifted years (full names hardly ever coincide, alike ones do).
+#: By the strongest level on which two names agree (see ``person_names.rewritings``): its rank, the share of true pairs that
+#: agree on it (where learning starts), and namesakes per pair that independent first names and surnames would give (measured by
+#: matching against shifted years: full names hardly ever coincide, alike ones do).
 LEVELS = {"E": (4, 0.75, 0.01), "T": (3, 0.15, 0.2), "I": (2, 0.1, 0.2), "K": (1, 0.02, 0.2)}
+#: No prior times share of a level is taken to be larger than this; from it follows how many rows a rewriting may have before
+#: chance explains every pair of them.
+LARGEST = {"E": 0.5, "T": 0.3, "I": 0.2, "K": 0.05}
+#: Share of namesakes whose middle initials agree; of those with one initial whose first names are within two typing errors.
+MIDDLE, NEAR = 0.08, 0.15
 #: Legal forms of schools that come before college.
 SCHOOL_FORMS = ("high", "prep", "catholic")
 
-_NAME = ("struct<readings:array<struct<first:string,mid:string,last:string,suffix:string>>,"
-         "forms:array<struct<form:string,level:string,k:int>>,heads:array<string>,tails:array<string>>")
+_FIELDS = ("first", "mid", "last", "suffix", "names", "initials", "tails")
+_NAME = "array<struct<first:string,mid:string,last:string,suffix:string,names:array<string>,initials:array<string>,tails:array<string>>>"
 
 
-def _rewritten(names: pd.Series) -> pd.DataFrame:
-    rows = []
+def _rewritten(names: pd.Series) -> pd.Series:
+    known: dict = {}
+    out = []
     for n in names:
-        found, out, heads, tails = P.rewritings(n if isinstance(n, str) else None)
-        rows.append((
-            [dict(zip(("first", "mid", "last", "suffix"), x, strict=True)) for x in found],
-            [dict(zip(("form", "level", "k"), x, strict=True)) for x in out], heads, tails))
-    return pd.DataFrame(rows, columns=["readings", "forms", "heads", "tails"])
+        n = n if isinstance(n, str) else None
+        if n not in known:
+            known[n] = [dict(zip(_FIELDS, x, strict=True)) for x in P.rewritings(n)]
+        out.append(known[n])
+    return pd.Series(out)
 
 
 def rewritten(name: str) -> Column:
-    """A name's readings, rewritings, heads and tails (see ``person_names.rewritings``); empty for null."""
+    """A name's readings (see ``person_names.rewritings``); empty for null."""
     return F.pandas_udf(_rewritten, _NAME)(F.col(name))
 
 
 def rarity(names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """How many rows of ``names`` (n: ``rewritten``) have each head and each tail: (head, n_head), (tail, n_tail)."""
-    def count(c: str) -> DataFrame:
-        return names.select(F.explode(f"n.{c}s").alias(c)).groupBy(c).agg(F.count(F.lit(1)).alias(f"n_{c}"))
+    """How many rows of ``names`` (n: ``rewritten``) have each head and each tail: (head, n_head), (tail, n_tail). Heads are
+    formal names (E) and initials (I), tails surnames (E) and surnames less a letter (T)."""
+    mark = lambda m, c: F.transform(c, lambda x: F.concat(F.lit(m), x))
 
-    return count("head"), count("tail")
+    def count(c: str, *lists: Column) -> DataFrame:
+        flat = F.array_distinct(F.flatten(F.transform("n", lambda r: F.concat(*[f(r) for f in lists]))))
+        return names.select(F.explode(flat).alias(c)).groupBy(c).agg(F.count(F.lit(1)).alias(f"n_{c}"))
 
+    heads = count("head", lambda r: mark("E|", r["names"]), lambda r: mark("I|", r["initials"]))
+    return heads, count("tail", lambda r: F.array(F.concat(F.lit("E|"), r["last"])), lambda r: mark("T|", r["tails"]))
 
-def with_rarity(met: DataFrame, heads: DataFrame, tails: DataFrame) -> DataFrame:
-    """``met`` (form, level, ...) with n_head and n_tail of its form."""
-    part = F.split("form", r"\|")
-    return (
-        met.withColumn("head", F.concat(F.when(F.col("level").isin("E", "T"), "E|").otherwise("I|"), part[1]))
-        .withColumn("tail", F.concat(F.when(F.col("level").isin("E", "I"), "E|").otherwise("T|"), part[2]))
-        .join(heads, "head").join(tails, "tail")
-    )
+
+def most_rows(level: str, n: float, years: float, share: Column | float = 1.0) -> Column:
+    """Rows of a rewriting from which on chance explains every pair that meets on it: its head and its tail have as many
+    rows at least, so ``expected`` exceeds the largest prior."""
+    return F.sqrt(F.lit(LARGEST[level] / LEVELS[level][2] * n * years) / share)
+
+
+def finer_keys(r: str) -> Column:
+    """The rewritings of a reading that are finer than initial and deletion, as structs (level, h)."""
+    c = F.col(r)
+    key = lambda level, a, b: F.struct(F.lit(level).alias("level"), F.xxhash64(F.lit(level), a, b).alias("h"))
+    return F.array_distinct(F.concat(
+        F.transform(c["names"], lambda x: key("E", x, c["last"])), F.transform(c["initials"], lambda x: key("I", x, c["last"])),
+        F.flatten(F.transform(c["names"], lambda x: F.transform(c["tails"], lambda t: key("T", x, t))))))
+
+
+def coarse_keys(r: str) -> Column:
+    """Hashes of every initial with every deletion of a reading."""
+    c = F.col(r)
+    return F.array_distinct(F.flatten(F.transform(c["initials"], lambda x: F.transform(c["tails"], lambda t: F.xxhash64(F.lit("K"), x, t)))))
+
+
+def agreeing(met: DataFrame, heads: DataFrame, tails: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, level, chance, n_head and n_tail of pairs with readings ``l`` and ``r``, for every head and tail that they share on their
+    finest level; pairs that share none or cannot be one person are left out."""
+    l, r = F.col("l"), F.col("r")
+    names, initials, tail = F.array_intersect(l["names"], r["names"]), F.array_intersect(l["initials"], r["initials"]), F.array_intersect(l["tails"], r["tails"])
+    same, full = l["last"] == r["last"], F.size(names) > 0
+    level = F.when(full & same, "E").when(full, "T").when(same, "I").otherwise("K")
+    mark = lambda m, c: F.transform(c, lambda x: F.concat(F.lit(m), x))
+    # what else agrees is rarer still by chance: the middle initial, or most letters of the first names
+    middle = F.when((l["mid"] != "") & (l["mid"] == r["mid"]), MIDDLE).otherwise(1.0)
+    near = F.when(F.col("level").isin("I", "K") & (F.length(l["first"]) > 1) & (F.length(r["first"]) > 1), NEAR).otherwise(1.0)
+    chance = level_maps()[2][F.col("level")] * middle * near
+    d = met.withColumn("level", level).where(names_agree("l", "r")).select(
+        *keep, "level", chance.alias("chance"), F.when(full, mark("E|", names)).otherwise(mark("I|", initials)).alias("hs"),
+        F.when(same, F.array(F.concat(F.lit("E|"), l["last"]))).otherwise(mark("T|", tail)).alias("ts"))
+    return d.withColumn("head", F.explode("hs")).withColumn("tail", F.explode("ts")).drop("hs", "ts").join(heads, "head").join(tails, "tail").drop("head", "tail")
 
 
 def level_maps() -> list[Column]:
@@ -185,7 +235,7 @@ def level_maps() -> list[Column]:
 
 
 def names_agree(a: str, b: str) -> Column:
-    """Whether two readings met on a form of ``level`` can be one person: no conflict of middle initial or suffix, and first
+    """Whether two readings of ``level`` can be one person: no conflict of middle initial or suffix, and first
     names that are equal, related through the form, an initial, or within two typing errors."""
     c = lambda s, k: F.col(f"{s}.{k}")
     clash = lambda k: (c(a, k) != "") & (c(b, k) != "") & (c(a, k) != c(b, k))
@@ -195,51 +245,78 @@ def names_agree(a: str, b: str) -> Column:
     return ~clash("mid") & ~clash("suffix") & first & (F.levenshtein(c(a, "last"), c(b, "last")) <= 2)
 
 
-def draft_evidence(drafts: DataFrame) -> DataFrame:
-    """Candidate links (a, b, relation, gap, level, expected, confidence) between rows (ord, name, year, institution).
+def _near(keys: DataFrame) -> DataFrame:
+    """(a, ka, b, kb, gap) of rows (h, ord, k, year) that share a key, ``a`` one to CONTROL years before ``b``; they meet within
+    stretches of REACH years, of which REACH years touch two, so gaps beyond are met in part only."""
+    stretch = F.floor(F.col("year") / REACH)
+    x = keys.withColumn("s", F.explode(F.array(stretch, stretch + 1))).select(
+        F.xxhash64("h", "s").alias("at"), F.col("ord").alias("a"), F.col("k").alias("ka"), F.col("year").alias("ya"))
+    y = keys.select(F.xxhash64("h", stretch).alias("at"), F.col("ord").alias("b"), F.col("k").alias("kb"), F.col("year").alias("yb"))
+    return x.join(y, "at").where(f"yb between ya + 1 and ya + {CONTROL}").select("a", "ka", "b", "kb", (F.col("yb") - F.col("ya")).alias("gap"))
+
+
+def meetings(rows: DataFrame, n: float, years: float) -> DataFrame:
+    """(a, ka, b, kb, gap): rows (ord, k, year, institution, reading) that share a rewriting.
+
+    Rows meet on the hash of initial and deletion, which every other rewriting implies, and carry numbers only. A rewriting of so many rows that
+    chance explains every pair on its level is taken apart: its rows meet on each finer rewriting, and on each with the
+    institution, that has not too many rows in its turn. So no rewriting brings more pairs than its bound allows, and no
+    pair that could be linked is lost."""
+    keys = rows.select("ord", "k", "year", F.explode(coarse_keys("reading")).alias("h"))
+    hot = cut(keys.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most_rows("K", n, years)).select("h"))
+    if not hot.limit(1).count():
+        return _near(keys).distinct()
+    crowd = keys.join(hot, "h", "left_semi").select("ord", "k").distinct()
+    fine = rows.join(crowd, ["ord", "k"]).select("ord", "k", "year", "institution", F.explode(finer_keys("reading")).alias("f")).select(
+        "ord", "k", "year", "institution", "f.level", "f.h")
+    coarse = keys.join(hot, "h", "left_semi").join(rows.select("ord", "k", "institution"), ["ord", "k"]).select(
+        "ord", "k", "year", "institution", F.lit("K").alias("level"), "h")
+    at = fine.unionByName(coarse).where("institution is not null")
+    at = at.withColumn("share", F.lit(1.0)).withColumn("h", F.xxhash64("h", "institution"))
+    share = rows.where("institution is not null").groupBy("institution").agg((F.countDistinct("ord") / n).alias("s"))
+    at = at.join(share, "institution").withColumn("share", F.col("s")).drop("s")
+    both = fine.withColumn("share", F.lit(1.0)).unionByName(at)
+    limit = F.coalesce(*[F.when(F.col("level") == x, most_rows(x, n, years, F.col("share"))) for x in LEVELS])
+    size = both.groupBy("h", "level").agg(F.count(F.lit(1)).alias("c"), F.max("share").alias("share")).where(F.col("c") <= limit).select("h")
+    return _near(keys.join(hot, "h", "left_anti").unionByName(both.join(size, "h", "left_semi").select("ord", "k", "year", "h"))).distinct()
+
 
-    Rows meet on the hash of a rewriting (with the institution where that has to agree); a meeting carries row numbers
-    only, and readings are fetched for the pairs that met."""
-    base = cut(spread(drafts).select("ord", "year", "institution", F.split("institution", r"\|")[0].isin(list(SCHOOL_FORMS)).alias("school"), rewritten("name").alias("n")))
-    total = drafts.agg(F.count(F.lit(1)), F.countDistinct("year")).first()
-    n, years = max(total[0], 1), max(total[1], 1)
+def draft_evidence(drafts: DataFrame) -> DataFrame:
+    """Candidate links (a, b, relation, gap, level, expected, confidence) between rows (ord, name, year, institution), at most
+    REACH years apart; readings are fetched for the pairs that met."""
+    base = stage(spread(drafts).select("ord", "year", "institution", F.split("institution", r"\|")[0].isin(list(SCHOOL_FORMS)).alias("school"), rewritten("name").alias("n")))
+    total = base.agg(F.count(F.lit(1)), F.countDistinct("year"), F.count_if("school"), F.count("institution")).first()
+    n, years = float(max(total[0], 1)), float(max(total[1], 1))
     heads, tails = rarity(base)
-    share = drafts.where(F.col("institution").isNotNull()).groupBy("institution").agg((F.count(F.lit(1)) / n).alias("share"))
-    rank_of, share_of, chance_of = level_maps()
-    rows = base.where("year is not null").select("ord", "year", "institution", F.explode("n.forms").alias("f")).select("ord", "year", "institution", "f.*")
-    a = lambda h, t=rows: t.select(h.alias("h"), "form", "level", F.col("ord").alias("a"), F.col("k").alias("ka"), F.col("year").alias("ya"))
-    b = lambda h, t=rows: t.select(h.alias("h"), F.col("form").alias("form_b"), F.col("ord").alias("b"), F.col("k").alias("kb"), F.col("year").alias("yb"))
-    pick = ["form", "level", "a", "ka", "b", "kb", (F.col("yb") - F.col("ya")).alias("gap")]
-    near = lambda reach: f"form = form_b and yb between ya + 1 and ya + {reach}"
-    reach, far = max(g for _, g in PRIORS), max(g for rel, g in PRIORS if rel != "same")
-    at_same = F.when(F.col("institution").isNotNull(), F.xxhash64("form", "institution"))
-    same = a(at_same).where("h is not null").join(b(at_same), "h").where(near(reach)).select(*pick)
-    # elsewhere rows meet within stretches of ``far`` years, of which a reach touches two; a form of c rows has heads and
-    # tails of c rows at least, so from some c on no prior lifts its links to one half and its rows need not meet
-    stretch = F.floor(F.col("year") / far)
-    most = F.sqrt(max(PRIORS.values()) * share_of[F.col("level")] / chance_of[F.col("level")] * F.lit(float(n) * years))
-    hot = F.broadcast(rows.groupBy("form", "level").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("form"))
-    kept = rows.join(hot, "form", "left_anti")
-    left = kept.withColumn("at", F.explode(F.array(stretch, stretch + 1)))
-    moved = a(F.xxhash64("form", "at"), left).join(b(F.xxhash64("form", stretch), kept), "h").where(near(far)).select(*pick)
-    met = cut(same.unionByName(moved).distinct())
-    side = lambda x: base.select(F.col("ord").alias(x), F.col("n.readings").alias(f"r{x}"), F.col("institution").alias(f"i{x}"), F.col("school").alias(f"s{x}"))
+    share = base.where(F.col("institution").isNotNull()).groupBy("institution").agg((F.count(F.lit(1)) / n).alias("share"))
+    rank_of = level_maps()[0]
+    rows = base.where("year is not null").select("ord", "year", "institution", F.posexplode("n").alias("k", "reading"))
+    met = cut(meetings(rows, n, years))
+    side = lambda x: base.select(F.col("ord").alias(x), F.col("n").alias(f"r{x}"), F.col("institution").alias(f"i{x}"), F.col("school").alias(f"s{x}"))
     both = F.col("ia").isNotNull() & F.col("ib").isNotNull()
-    relation = F.when(~both, "unknown").when(F.col("ia") == F.col("ib"), "same").when(F.col("sa") & ~F.col("sb") & (F.col("gap") == 3), "school").otherwise("other")
-    prior = F.create_map(*[F.lit(x) for (rel, g), p in PRIORS.items() for x in (f"{rel}{g}", p)])
-    known = (
-        met.join(side("a"), "a").join(side("b"), "b")
-        .withColumns({"l": F.get("ra", F.col("ka")), "r": F.get("rb", F.col("kb")), "relation": relation}).where(names_agree("l", "r"))
-    )
+    relation = F.when(~both, "unknown").when(F.col("ia") == F.col("ib"), "same").when(F.col("sa") & ~F.col("sb"), "school").otherwise("other")
+    known = met.join(side("a"), "a").join(side("b"), "b").withColumns({"l": F.get("ra", F.col("ka")), "r": F.get("rb", F.col("kb")), "relation": relation})
     scored = (
-        with_rarity(known, heads, tails).join(share.withColumnRenamed("institution", "ib"), "ib", "left")
-        .withColumn("prior", F.try_element_at(prior, F.concat("relation", F.col("gap").cast("string"))) * share_of[F.col("level")])
-        .withColumn("expected", chance_of[F.col("level")] * F.col("n_head") * F.col("n_tail") / F.lit(float(n) * years)
+        agreeing(known, heads, tails, ["a", "b", "gap", "relation", "ib"]).join(share.withColumnRenamed("institution", "ib"), "ib", "left")
+        .withColumn("expected", F.col("chance") * F.col("n_head") * F.col("n_tail") / F.lit(n * years)
                     * F.when(F.col("relation") == "same", F.col("share")).otherwise(F.lit(1.0)))
-        .withColumn("confidence", F.col("prior") / (F.col("prior") + F.col("expected")))
+        .groupBy("a", "b", "gap", "relation")
+        .agg(F.max_by(F.struct("level", "expected"), F.struct(rank_of[F.col("level")], -F.col("expected"))).alias("e"))
+        .select("a", "b", "gap", "relation", "e.level", "e.expected")
     )
-    return scored.where(F.col("confidence").isNotNull()).groupBy("a", "b").agg(
-        F.max_by(F.struct("relation", "gap", "level", "expected", "confidence"), F.struct(rank_of[F.col("level")], "confidence")).alias("e")).select("a", "b", "e.*")
+    cell = F.concat("relation", F.when(F.col("gap") <= REACH, F.col("gap").cast("string")).otherwise("-"))
+    scored = cut(scored.withColumn("cell", cell))
+    # of the gaps beyond REACH one in two is met on the whole; nobody is drafted again then
+    start = {f"{r}{g + 1}": p for r, ps in PRIORS.items() for g, p in enumerate(ps)} | {f"{r}-": 0.0 for r in PRIORS}
+    known = total[3] / n
+    size = {"same": total[3], "school": total[2], "unknown": n * (1 - known * known), "other": total[3]}
+    beyond = sum(1 - (g - REACH) / REACH for g in range(REACH + 1, CONTROL + 1))
+    prior, level = evidence.learn(
+        scored, start, {k: v[1] for k, v in LEVELS.items()},
+        lambda c: size[c[:-1]] * (beyond if c[-1] == "-" else 1.0), lambda c: c[:-1] + "-")
+    odds = F.least(evidence.as_map(prior)[F.col("cell")] * evidence.as_map(level)[F.col("level")], evidence.as_map(LARGEST)[F.col("level")]) / F.col("expected")
+    return scored.where(F.col("gap") <= REACH).withColumn("confidence", odds / (1 + odds)).drop("cell").select(
+        "a", "b", "relation", "gap", "level", "expected", "confidence")
 
 
 def same_pick(drafts: DataFrame) -> DataFrame:

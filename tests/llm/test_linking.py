@@ -45,7 +45,7 @@ def test_draft_evidence(spark):
             (4, "Salvador Quillan", 2003, "high|rosk"), (5, "Chava Quillan", 2006, "college|ruddmere"), (6, "Salvador Quillan", 2007, "university|other"),
             (7, "Dane Mortlake Jr.", 2008, "am|x"), (8, "Dane Mortlake III", 2009, "am|x"), (9, None, 2009, "am|x"), (10, "Dane Mortlake", None, None)]
     got = {(r["a"], r["b"]) for r in spellings.draft_evidence(drafts(spark, rows + filler)).where("confidence >= 0.5 and a < 100").collect()}
-    assert got == {(1, 2), (4, 5), (5, 6)}  # (5, 6): a full name so rare outweighs the other school
+    assert {(1, 2), (4, 5), (4, 6)} <= got <= {(1, 2), (4, 5), (4, 6), (5, 6)}  # a full name so rare outweighs the other school
 
 
 def test_draft_evidence_from_school_with_mistyped_first_name_or_initial(spark):
@@ -152,3 +152,54 @@ def test_match_drafts_with_initial_and_mistyped_surname(spark):
     got = {(r["left_id"], r["ord"], r["level"]) for r in matching.match_drafts(seasons, d).collect() if r["confidence"] > 0.5}
     assert got >= {("p1", 1, "K"), ("p2", 2, "K")}
     assert any(r["level"] == "I" and r["left_id"] == "p3" and r["ord"] == 3 for r in matching.candidates(seasons, d).collect())
+
+
+def test_places_cut_short_at_any_length_and_further_hubs_of_a_form(spark):
+    values = ["Winskwater State University", "Winskw. State", "Winskwat. St. Univ.", "Winskwater State", "Hollinbrook Institute of Technology", "Hollin. Tech",
+              "Ashefod High School", "Ashefod High School ", "Ashefod HS", "Ashefod H.S.", "Ashford High School", "Ashford HS", "Axhfozd High School"]
+    got = institutions(spark, values)
+    assert len({got[v] for v in values[:4]}) == 1 and got["Hollin. Tech"] == got["Hollinbrook Institute of Technology"]
+    assert got["Axhfozd High School"] == got["Ashford High School"]  # the best supported name under the form is three letters off
+
+
+def test_learned_priors(spark):
+    from dugout.llm import evidence
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for cell, true in (("a", 4000), ("b", 0), ("c-", 0)):  # 40,000 rows a cell: 0.1, 0 and the control
+        rows += [(cell, "E", float(x)) for x in 10 ** rng.uniform(-5, -3, true)]
+        rows += [(cell, "E", float(x)) for x in 10 ** rng.uniform(-3, -1, 40_000) if rng.random() < x]
+    df = spark.createDataFrame(rows, "cell string, level string, expected double")
+    prior, share = evidence.learn(df, {"a": 0.01, "b": 0.01, "c-": 0.0}, {"E": 0.9}, lambda c: 40_000.0, lambda c: "c-")
+    assert 0.07 < prior["a"] < 0.15 and prior["b"] < 0.01 and "c-" not in prior and share["E"] > 0.5
+    assert evidence.learn(df.limit(0), {"a": 0.01}, {"E": 0.9}, lambda c: 0.0)[0]["a"] == 0.01
+
+
+def test_crowded_rewritings_lose_no_link(spark, monkeypatch):
+    """Rows of a crowded rewriting meet on finer ones instead: only pairs of its own level and of two institutions are not met."""
+    from pyspark.sql import functions as F
+
+    names = ["Ben Okafor", "Benjamin Okafor", "Bruno Okafor", "Brad Okafor", "Benjamin Okafr", "B. Okafor"]
+    data = [(i, names[i % 6], 2000 + i % 7, f"university|q{i % 5}") for i in range(60)] + [(100, "Dane Mortlake", 2001, None), (101, "Dane Mortlakke", 2002, "am|x")]
+    base = drafts(spark, data).withColumn("n", spellings.rewritten("name"))
+    rows = base.select("ord", "year", "institution", F.posexplode("n").alias("k", "reading"))
+    met = lambda: {(r["a"], r["b"]) for r in spellings.meetings(rows, 62.0, 7.0).collect()}
+    monkeypatch.setattr(spellings, "most_rows", lambda level, n, years, share=1.0: F.lit(1e9))
+    want = met()
+    monkeypatch.setattr(spellings, "most_rows", lambda level, n, years, share=1.0: F.lit(5.0 if isinstance(share, float) else 1000.0))
+    got = met()
+    formal = ["benjamin", "benjamin", "bruno", "brad", "benjamin", "b"]
+    lost = want - got
+    assert (100, 101) in got and got <= want and lost
+    for a, b in lost:
+        assert formal[a % 6] != formal[b % 6] and (names[a % 6].endswith("fr") or names[b % 6].endswith("fr")) and a % 5 != b % 5
+
+
+def test_every_near_entry_and_ambiguity(spark):
+    ref = spark.createDataFrame([("Ashwick College", "A"), ("Ashwock College", "B"), ("Ruddmere College", "C")], "name string, acronym string")
+    v = spark.createDataFrame([("Ashwxck College",), ("Rudmere College",)], "value string")
+    near = {(r["value"], r["entry"]) for r in canonical.near_entries(v, ref).collect()}
+    assert near == {("Ashwxck College", "Ashwick College"), ("Ashwxck College", "Ashwock College"), ("Rudmere College", "Ruddmere College")}
+    got = {r["value"]: (r["entry"], r["n_near"], r["ambiguous"]) for r in canonical.map_values(v, ref).collect()}
+    assert got == {"Ashwxck College": ("Ashwick College", 2, True), "Rudmere College": ("Ruddmere College", 1, False)}
