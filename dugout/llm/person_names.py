@@ -98,17 +98,34 @@ def readings(name: str | None) -> list[tuple[str, str, str, str, float]]:
     return out
 
 
-def rewritings(name: str | None) -> list[tuple[str, str, str, str, list[str], list[str], list[str]]]:
+def letters(first: str, names: tuple[str, ...]) -> int:
+    """The letters of a first name as bits; 0 where it says little about others: for initials and short forms. First names within two
+    typing errors differ in at most four bits."""
+    if len(first) < 2 or names != (first,):
+        return 0
+    return sum(1 << (ord(c) - 97) for c in set(first) if "a" <= c <= "z")
+
+
+def rewritings(name: str | None) -> list[tuple[str, str, str, str, list[str], int]]:
     """Every reading of a name with what its canonical rewritings are made of: (first, middle, surname, suffix, formal first
-    names, initials, surnames with at most one letter deleted, which all single typing errors share).
+    names, letters of the first name). The reading as typed is the first one.
 
-    A rewriting is one of the formal names or initials with the surname or one of its deletions. The pair of initial and
-    deletion is the coarsest: two names that share any rewriting share one of those. By the finest that they share two
-    names agree on level E (formal name and surname), T (formal name and a deletion), I (initial and surname) or K."""
+    A rewriting is one of the formal names or of their initials with the surname or with what one deleted letter leaves of it, which all
+    single typing errors share. The pair of initial and deletion is the coarsest: two names that share any rewriting share one of
+    those. By the finest that they share two names agree on level E (formal name and surname), T (formal name and a deletion), I
+    (initial and surname) or K."""
     out = []
-    for first, mid, last, suffix, cost in readings(name):
+    for first, mid, last, suffix, _ in readings(name):
         names = formals(first) if len(first) > 1 else ()
-        initials = sorted({f[0] for f in names or (first or "?",)})
-        less = {last, *(last[:i] + last[i + 1:] for i in range(len(last)))} if cost == 0 and len(last) >= 5 else {last}
-        out.append((first, mid, last, suffix, sorted(names), initials, sorted(less)))
+        out.append((first, mid, last, suffix, sorted(names), letters(first, names)))
     return out
+
+
+def initials(first: str, names: list[str]) -> list[str]:
+    """Initials that a reading may be abbreviated to."""
+    return sorted({f[0] for f in names or (first or "?",)})
+
+
+def tails(last: str, typed: bool) -> list[str]:
+    """The surname and, for a reading as typed of five letters or more, what one deleted letter leaves of it."""
+    return sorted({last, *(last[:i] + last[i + 1:] for i in range(len(last)))}) if typed and len(last) >= 5 else [last]

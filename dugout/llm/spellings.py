@@ -157,8 +157,8 @@ MIDDLE, NEAR = 0.08, 0.15
 #: Legal forms of schools that come before college.
 SCHOOL_FORMS = ("high", "prep", "catholic")
 
-_FIELDS = ("first", "mid", "last", "suffix", "names", "initials", "tails")
-_NAME = "array<struct<first:string,mid:string,last:string,suffix:string,names:array<string>,initials:array<string>,tails:array<string>>>"
+_FIELDS = ("first", "mid", "last", "suffix", "names", "letters")
+_NAME = "array<struct<first:string,mid:string,last:string,suffix:string,names:array<string>,letters:int>>"
 
 
 def _rewritten(names: pd.Series) -> pd.Series:
@@ -177,56 +177,82 @@ def rewritten(name: str) -> Column:
     return F.pandas_udf(_rewritten, _NAME)(F.col(name))
 
 
-def rarity(names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """How many rows of ``names`` (n: ``rewritten``) have each head and each tail: (head, n_head), (tail, n_tail). Heads are
-    formal names (E) and initials (I), tails surnames (E) and surnames less a letter (T)."""
-    mark = lambda m, c: F.transform(c, lambda x: F.concat(F.lit(m), x))
+def initials(r: Column) -> Column:
+    """``person_names.initials`` of a reading."""
+    return F.when(F.size(r["names"]) > 0, F.array_distinct(F.transform(r["names"], lambda x: F.substring(x, 1, 1)))).otherwise(
+        F.array(F.when(F.length(r["first"]) > 0, F.substring(r["first"], 1, 1)).otherwise("?")))
+
+
+def tails(r: Column, k: Column) -> Column:
+    """``person_names.tails`` of a reading, the k-th of its name."""
+    last = r["last"]
+    less = F.transform(F.sequence(F.lit(1), F.length(last)), lambda i: F.concat(F.substring(last, F.lit(1), i - 1), F.substring(last, i + 1, F.length(last))))
+    return F.when((k == 0) & (F.length(last) >= 5), F.array_distinct(F.array_append(less, last))).otherwise(F.array(last))
+
+
+def _hashed(mark: str, c: Column) -> Column:
+    return F.transform(c, lambda x: F.xxhash64(F.lit(mark), x))
+
 
-    def count(c: str, *lists: Column) -> DataFrame:
-        flat = F.array_distinct(F.flatten(F.transform("n", lambda r: F.concat(*[f(r) for f in lists]))))
+def rarity(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How many rows of ``names`` (n: ``rewritten``) have each head and each tail: (head, n_head), (tail, n_tail), as hashes. Heads
+    are formal names (E) and initials (I), tails surnames (E) and surnames less a letter (T)."""
+    def count(c: str, of) -> DataFrame:
+        flat = F.array_distinct(F.flatten(F.transform("n", of)))
         return names.select(F.explode(flat).alias(c)).groupBy(c).agg(F.count(F.lit(1)).alias(f"n_{c}"))
 
-    heads = count("head", lambda r: mark("E|", r["names"]), lambda r: mark("I|", r["initials"]))
-    return heads, count("tail", lambda r: F.array(F.concat(F.lit("E|"), r["last"])), lambda r: mark("T|", r["tails"]))
+    return (count("head", lambda r, k: F.concat(_hashed("E", r["names"]), _hashed("I", initials(r)))),
+            count("tail", lambda r, k: F.concat(_hashed("E", F.array(r["last"])), _hashed("T", tails(r, k)))))
 
 
 def most_rows(level: str, n: float, years: float, share: Column | float = 1.0) -> Column:
     """Rows of a rewriting from which on chance explains every pair that meets on it: its head and its tail have as many
     rows at least, so ``expected`` exceeds the largest prior."""
-    return F.sqrt(F.lit(LARGEST[level] / LEVELS[level][2] * n * years) / share)
+    return F.sqrt(F.lit(LARGEST[level] / (LEVELS[level][2] * least_chance(level)) * n * years) / share)
+
+
+def least_chance(level: str) -> float:
+    """The factor by which other agreement lowers what is expected by chance, at most."""
+    return MIDDLE * (NEAR if level in "IK" else 1.0)
 
 
-def finer_keys(r: str) -> Column:
+def finer_keys(r: str, k: str) -> Column:
     """The rewritings of a reading that are finer than initial and deletion, as structs (level, h)."""
     c = F.col(r)
     key = lambda level, a, b: F.struct(F.lit(level).alias("level"), F.xxhash64(F.lit(level), a, b).alias("h"))
     return F.array_distinct(F.concat(
-        F.transform(c["names"], lambda x: key("E", x, c["last"])), F.transform(c["initials"], lambda x: key("I", x, c["last"])),
-        F.flatten(F.transform(c["names"], lambda x: F.transform(c["tails"], lambda t: key("T", x, t))))))
+        F.transform(c["names"], lambda x: key("E", x, c["last"])), F.transform(initials(c), lambda x: key("I", x, c["last"])),
+        F.flatten(F.transform(c["names"], lambda x: F.transform(tails(c, F.col(k)), lambda t: key("T", x, t))))))
 
 
-def coarse_keys(r: str) -> Column:
+def coarse_keys(r: str, k: str) -> Column:
     """Hashes of every initial with every deletion of a reading."""
     c = F.col(r)
-    return F.array_distinct(F.flatten(F.transform(c["initials"], lambda x: F.transform(c["tails"], lambda t: F.xxhash64(F.lit("K"), x, t)))))
+    return F.array_distinct(F.flatten(F.transform(initials(c), lambda x: F.transform(tails(c, F.col(k)), lambda t: F.xxhash64(F.lit("K"), x, t)))))
+
+
+def letters_agree(a: Column, b: Column) -> Column:
+    """Whether the letters of two first names leave it open that they agree."""
+    return (a == 0) | (b == 0) | (F.bit_count(a.bitwiseXOR(b)) <= 4)
 
 
-def agreeing(met: DataFrame, heads: DataFrame, tails: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, level, chance, n_head and n_tail of pairs with readings ``l`` and ``r``, for every head and tail that they share on their
-    finest level; pairs that share none or cannot be one person are left out."""
+def agreeing(met: DataFrame, heads: DataFrame, tail_counts: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, level, chance, n_head and n_tail of pairs with readings ``l`` and ``r`` (the ``kl``-th and ``kr``-th of their names), for every head and tail that they
+    share on their finest level; pairs that share none or cannot be one person are left out."""
     l, r = F.col("l"), F.col("r")
-    names, initials, tail = F.array_intersect(l["names"], r["names"]), F.array_intersect(l["initials"], r["initials"]), F.array_intersect(l["tails"], r["tails"])
-    same, full = l["last"] == r["last"], F.size(names) > 0
+    names, same = F.array_intersect(l["names"], r["names"]), l["last"] == r["last"]
+    full = F.size(names) > 0
     level = F.when(full & same, "E").when(full, "T").when(same, "I").otherwise("K")
-    mark = lambda m, c: F.transform(c, lambda x: F.concat(F.lit(m), x))
     # what else agrees is rarer still by chance: the middle initial, or most letters of the first names
     middle = F.when((l["mid"] != "") & (l["mid"] == r["mid"]), MIDDLE).otherwise(1.0)
     near = F.when(F.col("level").isin("I", "K") & (F.length(l["first"]) > 1) & (F.length(r["first"]) > 1), NEAR).otherwise(1.0)
     chance = level_maps()[2][F.col("level")] * middle * near
+    common = lambda f: F.array_intersect(f(l, F.col("kl")), f(r, F.col("kr")))
     d = met.withColumn("level", level).where(names_agree("l", "r")).select(
-        *keep, "level", chance.alias("chance"), F.when(full, mark("E|", names)).otherwise(mark("I|", initials)).alias("hs"),
-        F.when(same, F.array(F.concat(F.lit("E|"), l["last"]))).otherwise(mark("T|", tail)).alias("ts"))
-    return d.withColumn("head", F.explode("hs")).withColumn("tail", F.explode("ts")).drop("hs", "ts").join(heads, "head").join(tails, "tail").drop("head", "tail")
+        *keep, "level", chance.alias("chance"),
+        F.when(full, _hashed("E", names)).otherwise(_hashed("I", common(lambda x, k: initials(x)))).alias("hs"),
+        F.when(same, _hashed("E", F.array(l["last"]))).otherwise(_hashed("T", common(tails))).alias("ts"))
+    return d.withColumn("head", F.explode("hs")).withColumn("tail", F.explode("ts")).drop("hs", "ts").join(heads, "head").join(tail_counts, "tail").drop("head", "tail")
 
 
 def level_maps() -> list[Column]:
@@ -246,13 +272,18 @@ def names_agree(a: str, b: str) -> Column:
 
 
 def _near(keys: DataFrame) -> DataFrame:
-    """(a, ka, b, kb, gap) of rows (h, ord, k, year) that share a key, ``a`` one to CONTROL years before ``b``; they meet within
-    stretches of REACH years, of which REACH years touch two, so gaps beyond are met in part only."""
+    """(a, ka, b, kb, gap) of rows (h, ord, k, year, letters) that share a key and may agree in their first names, ``a`` one to CONTROL years
+    before ``b``; they meet within stretches of REACH years, of which REACH years touch two, so gaps beyond are met in part only.
+    What a row carries beside its number is packed into one: 32 bits of letters, 16 of the year, 8 of the reading."""
     stretch = F.floor(F.col("year") / REACH)
-    x = keys.withColumn("s", F.explode(F.array(stretch, stretch + 1))).select(
-        F.xxhash64("h", "s").alias("at"), F.col("ord").alias("a"), F.col("k").alias("ka"), F.col("year").alias("ya"))
-    y = keys.select(F.xxhash64("h", stretch).alias("at"), F.col("ord").alias("b"), F.col("k").alias("kb"), F.col("year").alias("yb"))
-    return x.join(y, "at").where(f"yb between ya + 1 and ya + {CONTROL}").select("a", "ka", "b", "kb", (F.col("yb") - F.col("ya")).alias("gap"))
+    packed = F.shiftleft(F.col("letters").cast("bigint"), 24) + F.shiftleft(F.col("year").cast("bigint"), 8) + F.col("k")
+    part = lambda c, at, bits: F.shiftright(F.col(c), at).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    keys = keys.where("year between 0 and 65535").select("h", "ord", packed.alias("p"), stretch.alias("s"))
+    x = keys.withColumn("s", F.explode(F.array(F.col("s"), F.col("s") + 1))).select(F.xxhash64("h", "s").alias("at"), F.col("ord").alias("a"), F.col("p").alias("pa"))
+    y = keys.select(F.xxhash64("h", "s").alias("at"), F.col("ord").alias("b"), F.col("p").alias("pb"))
+    gap = part("pb", 8, 16) - part("pa", 8, 16)
+    met = x.join(y, "at").where(gap.between(1, CONTROL) & letters_agree(part("pa", 24, 32), part("pb", 24, 32)))
+    return met.select("a", part("pa", 0, 8).alias("ka"), "b", part("pb", 0, 8).alias("kb"), gap.alias("gap"))
 
 
 def meetings(rows: DataFrame, n: float, years: float) -> DataFrame:
@@ -262,23 +293,22 @@ def meetings(rows: DataFrame, n: float, years: float) -> DataFrame:
     chance explains every pair on its level is taken apart: its rows meet on each finer rewriting, and on each with the
     institution, that has not too many rows in its turn. So no rewriting brings more pairs than its bound allows, and no
     pair that could be linked is lost."""
-    keys = rows.select("ord", "k", "year", F.explode(coarse_keys("reading")).alias("h"))
+    rows = rows.withColumn("letters", F.col("reading.letters"))
+    cols = ["ord", "k", "year", "letters"]
+    keys = rows.select(*cols, F.explode(coarse_keys("reading", "k")).alias("h"))
     hot = cut(keys.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most_rows("K", n, years)).select("h"))
     if not hot.limit(1).count():
         return _near(keys).distinct()
     crowd = keys.join(hot, "h", "left_semi").select("ord", "k").distinct()
-    fine = rows.join(crowd, ["ord", "k"]).select("ord", "k", "year", "institution", F.explode(finer_keys("reading")).alias("f")).select(
-        "ord", "k", "year", "institution", "f.level", "f.h")
+    fine = rows.join(crowd, ["ord", "k"]).select(*cols, "institution", F.explode(finer_keys("reading", "k")).alias("f")).select(*cols, "institution", "f.level", "f.h")
     coarse = keys.join(hot, "h", "left_semi").join(rows.select("ord", "k", "institution"), ["ord", "k"]).select(
-        "ord", "k", "year", "institution", F.lit("K").alias("level"), "h")
-    at = fine.unionByName(coarse).where("institution is not null")
-    at = at.withColumn("share", F.lit(1.0)).withColumn("h", F.xxhash64("h", "institution"))
-    share = rows.where("institution is not null").groupBy("institution").agg((F.countDistinct("ord") / n).alias("s"))
-    at = at.join(share, "institution").withColumn("share", F.col("s")).drop("s")
-    both = fine.withColumn("share", F.lit(1.0)).unionByName(at)
+        *cols, "institution", F.lit("K").alias("level"), "h")
+    at = fine.unionByName(coarse).where("institution is not null").withColumn("h", F.xxhash64("h", "institution"))
+    share = rows.where("institution is not null").groupBy("institution").agg((F.countDistinct("ord") / n).alias("share"))
+    both = fine.withColumn("share", F.lit(1.0)).unionByName(at.join(share, "institution"))
     limit = F.coalesce(*[F.when(F.col("level") == x, most_rows(x, n, years, F.col("share"))) for x in LEVELS])
     size = both.groupBy("h", "level").agg(F.count(F.lit(1)).alias("c"), F.max("share").alias("share")).where(F.col("c") <= limit).select("h")
-    return _near(keys.join(hot, "h", "left_anti").unionByName(both.join(size, "h", "left_semi").select("ord", "k", "year", "h"))).distinct()
+    return _near(keys.join(hot, "h", "left_anti").unionByName(both.join(size, "h", "left_semi").select(*cols, "h"))).distinct()
 
 
 def draft_evidence(drafts: DataFrame) -> DataFrame:
@@ -291,11 +321,11 @@ def draft_evidence(drafts: DataFrame) -> DataFrame:
     share = base.where(F.col("institution").isNotNull()).groupBy("institution").agg((F.count(F.lit(1)) / n).alias("share"))
     rank_of = level_maps()[0]
     rows = base.where("year is not null").select("ord", "year", "institution", F.posexplode("n").alias("k", "reading"))
-    met = cut(meetings(rows, n, years))
-    side = lambda x: base.select(F.col("ord").alias(x), F.col("n").alias(f"r{x}"), F.col("institution").alias(f"i{x}"), F.col("school").alias(f"s{x}"))
+    met = meetings(rows, n, years)
+    side = lambda x, y: base.select(F.col("ord").alias(x), F.posexplode("n").alias(f"k{x}", y), F.col("institution").alias(f"i{x}"), F.col("school").alias(f"s{x}"))
     both = F.col("ia").isNotNull() & F.col("ib").isNotNull()
     relation = F.when(~both, "unknown").when(F.col("ia") == F.col("ib"), "same").when(F.col("sa") & ~F.col("sb"), "school").otherwise("other")
-    known = met.join(side("a"), "a").join(side("b"), "b").withColumns({"l": F.get("ra", F.col("ka")), "r": F.get("rb", F.col("kb")), "relation": relation})
+    known = met.join(side("a", "l"), ["a", "ka"]).join(side("b", "r"), ["b", "kb"]).withColumn("relation", relation).withColumnsRenamed({"ka": "kl", "kb": "kr"})
     scored = (
         agreeing(known, heads, tails, ["a", "b", "gap", "relation", "ib"]).join(share.withColumnRenamed("institution", "ib"), "ib", "left")
         .withColumn("expected", F.col("chance") * F.col("n_head") * F.col("n_tail") / F.lit(n * years)

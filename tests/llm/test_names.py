@@ -60,7 +60,7 @@ def test_osa_against_table(a, b):
     ("Benjamin Okafor", "Ben Okafor"), ("Okafor, Benjamin J.", "benjamin okafor"), ("B.J. Okafor", "Benjamin Okafor"), ("Okafor Benjamin", "Benjamin Okafor"),
     ("Benjamin (Ben) Okafor III", "Benjamin Ókafor"), ("Benjamin Okafr", "Benjamin Okafor"), ("BJ Okafor", "Benny Okafor")])
 def test_person_forms_meet(a, b):
-    meet = lambda n: {(i, t) for r in P.rewritings(n) for i in r[5] for t in r[6]}
+    meet = lambda n: {(i, t) for k, r in enumerate(P.rewritings(n)) for i in P.initials(r[0], r[4]) for t in P.tails(r[2], k == 0)}
     assert meet(a) & meet(b)
 
 
@@ -69,3 +69,27 @@ def test_person_parse():
     assert P.parse("Benjamin 'Ben' Okafor Jr.")[:4] == ("benjamin", "", "okafor", "jr")
     assert P.rewritings(None) == [] and P.rewritings("") == []
     assert P.formals("mason") == ("mason",) and "jason" in P.formals("jaspn")
+
+
+def test_parts_of_rewritings_are_the_same_in_columns(spark):
+    from pyspark.sql import functions as F
+
+    from dugout.llm import spellings
+
+    names = ["Benjamin Okafor", "Okafor, Ben", "B. Li", "ÓKAFOR BENJAMIN", "J.P. O'Brien-Smythe Jr.", "x", "", None, "Ana Ng", "Okafor " * 40]
+    df = spark.createDataFrame([(n,) for n in names], "name string").select(F.col("name").alias("typed"), F.posexplode(spellings.rewritten("name")).alias("k", "reading"))
+    got = df.select("typed", "k", "reading.letters", spellings.initials(F.col("reading")).alias("i"), spellings.tails(F.col("reading"), F.col("k")).alias("t")).collect()
+    want = {(n, k): r for n in names for k, r in enumerate(P.rewritings(n))}
+    assert {(r["typed"], r["k"]) for r in got} == set(want)
+    for r in got:
+        w = want[r["typed"], r["k"]]
+        assert sorted(r["i"]) == P.initials(w[0], w[4]) and sorted(r["t"]) == P.tails(w[2], r["k"] == 0) and r["letters"] == w[5]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcdefgh", min_size=2, max_size=8), st.integers(0, 7), st.sampled_from("abxyz"))
+def test_letters_of_mistyped_first_names_are_near(s, i, c):
+    one = s[:i] + c + s[i + 1:]
+    two = one[:1] + c + one[2:]
+    bits = lambda x: P.letters(x, (x,))
+    assert len(two) < 2 or bin(bits(s) ^ bits(two)).count("1") <= 4
