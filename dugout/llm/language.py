@@ -2,12 +2,12 @@
 
 Each language has a codeword; one binary linear classifier on hashed character n-grams predicts each
 bit. A piece of text gets the language whose codeword loses least against the predicted margins
-(logistic loss), with a softmax of the losses as confidence; a small gap between the two best marks
+(logistic loss), with a softmax of the losses as confidence; a confidence under ``AMBIGUOUS`` marks
 ambiguity. Documents are cut into sentences, sentences are decoded one by one, pieces too short or
 ambiguous to tell take their neighbours' language, and runs of one language are the segments.
 
 The classifiers are fitted on the corpus's own labels, on a bounded sample of labelled documents
-(``TRAIN_DOCS`` a language, chosen by hash); sentences whose label the first fit contradicts are left out
+(``TRAIN_DOCS`` a language, chosen by hash); sentences whose label a first, counted fit contradicts are left out
 of the second, as labels may be wrong. Everything else covers all documents.
 
 Defined results: null and blank texts, and texts without a word (score lines only), have no
@@ -42,12 +42,10 @@ _LABEL = {v: k for k, vs in LABELS.items() for v in vs.split()}
 #: Labelled documents a language in the training sample, and characters of a document that may be in it.
 TRAIN_DOCS, TRAIN_CHARS = 100, 20_000
 #: Bits of the codewords, hash buckets (a power of two), n-gram orders, rounds of gradient descent.
-CODE_BITS, BUCKETS, ORDERS, ROUNDS = 15, 1 << 16, (1, 2, 3), 30
-#: Texts of the sample in which a bucket has to occur to get a weight.
-LEAST_TEXTS = 3
+CODE_BITS, BUCKETS, ORDERS, ROUNDS = 15, 1 << 16, (1, 2, 3, 4), 30
 #: Words below which a piece is no segment; confidence below which a piece is ambiguous, and below which a single piece
-#: beside or among sentences of one other language is.
-LEAST_WORDS, AMBIGUOUS, AMBIGUOUS_WITHIN = 5, 0.75, 0.95
+#: beside or among sentences of one other language is (names and cut-off sentences reach 0.8).
+LEAST_WORDS, AMBIGUOUS, AMBIGUOUS_WITHIN = 5, 0.75, 0.85
 SLICE = 200_000
 
 _PIECE = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|(?<=[。！？])|[\r\n]+")
@@ -158,22 +156,21 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, code: np.ndarray, languages: list[str]):
         self.weights, self.bias, self.code, self.languages = weights, bias, code, languages
 
-    def decode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language index, confidence, gap to the runner-up) of each text."""
+    def decode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(language index, confidence) of each text."""
         if not texts:
-            return np.zeros(0, dtype=int), np.zeros(0), np.zeros(0)
+            return np.zeros(0, dtype=int), np.zeros(0)
         s, n = gram_sums(texts, self.weights)
         margin = s / np.maximum(n, 1)[:, None] + self.bias
         loss = np.logaddexp(0, -margin[:, None, :] * self.code[None, :, :]).sum(axis=2)
         p = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
         p /= p.sum(axis=1, keepdims=True)
-        top = np.sort(p, axis=1)
-        return p.argmax(axis=1), top[:, -1], top[:, -1] - (top[:, -2] if p.shape[1] > 1 else 0)
+        return p.argmax(axis=1), p.max(axis=1)
 
 
 def fit(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Model | None:
-    """One logistic classifier a bit by full-batch gradient descent on mean n-gram counts, fitted twice: the second time
-    without the texts that the first fit reads as another language."""
+    """One logistic classifier a bit by full-batch gradient descent on mean n-gram counts, without the texts that a first fit
+    reads as another language. The first one takes each bit's weights from counts alone (log odds of the n-grams of either side), so it costs one pass."""
     languages = [x for x in LANGUAGES if x in set(labels)]
     if not languages:
         return None
@@ -187,37 +184,39 @@ def fit(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Model | No
     h, own = np.concatenate(hs), np.concatenate(os_)
     flat, cnt = np.unique(own * BUCKETS + h, return_counts=True)
     own, h = flat // BUCKETS, flat % BUCKETS
-    total = np.bincount(own, cnt, minlength=len(texts))
-    x = cnt / np.maximum(total, 1)[own]
-    often = np.bincount(h, minlength=BUCKETS)[h] >= min(LEAST_TEXTS, len(texts))
-    own, h, x = own[often], h[often], x[often]
-    keep = np.ones(len(texts), dtype=bool)
-    x = x.astype(np.float32)
-    for attempt in range(2):
-        use = keep[own]
-        hu, ou, xu = h[use], own[use], x[use]
-        # classes of unlike size weigh alike
-        size = np.bincount(y[keep], minlength=len(languages))
-        wt = np.where(keep, 1.0 / np.maximum(size, 1)[y], 0.0).astype(np.float32)[:, None]
-        scale = (np.sqrt(np.bincount(hu, xu * xu * wt[ou, 0], minlength=BUCKETS)) + 1e-6).astype(np.float32)[:, None]
-        # entries come by text; ordered by bucket once, both sums are sums over runs, for all bits together
-        text_at = np.flatnonzero(np.r_[True, ou[1:] != ou[:-1]])
-        by_bucket = np.argsort(hu, kind="stable")
-        hb, ob, xb = hu[by_bucket], ou[by_bucket], xu[by_bucket, None]
-        bucket_at = np.flatnonzero(np.r_[True, hb[1:] != hb[:-1]])
-        xu = xu[:, None]
-        target = code[y].astype(np.float32)
-        w, w0 = np.zeros((BUCKETS, CODE_BITS), dtype=np.float32), np.zeros(CODE_BITS, dtype=np.float32)
-        for _ in range(rounds if attempt else rounds // 2):
-            m = np.zeros((len(texts), CODE_BITS), dtype=np.float32)
-            m[ou[text_at]] = np.add.reduceat(xu * w[hu], text_at, axis=0)
-            g = -target * wt / (1 + np.exp(np.clip(target * (m + w0), -30, 30)))
-            w[hb[bucket_at]] -= 0.9 * np.add.reduceat(xb * g[ob], bucket_at, axis=0) / scale[hb[bucket_at]]
-            w0 -= 0.05 * g.sum(axis=0)
-        model = Model(w, w0.astype(np.float64), code, languages)
-        if attempt == 0:
-            keep = model.decode(texts)[0] == y
-    return model
+    x = (cnt / np.maximum(np.bincount(own, cnt, minlength=len(texts)), 1)[own]).astype(np.float32)
+    target = code[y].astype(np.float32)
+    # first fit: what share of its n-grams each language has in a bucket
+    share = np.bincount(y[own] * BUCKETS + h, x, minlength=len(languages) * BUCKETS).reshape(len(languages), BUCKETS)
+    share = (share + 1e-6) / (share.sum(axis=1, keepdims=True) + 1e-6 * BUCKETS)
+    plus = (code == 1).T.astype(float)
+    odds = np.log((plus / np.maximum(plus.sum(axis=1, keepdims=True), 1)) @ share + 1e-12) - np.log(((1 - plus) / np.maximum((1 - plus).sum(axis=1, keepdims=True), 1)) @ share + 1e-12)
+    counted = np.zeros((len(texts), CODE_BITS), dtype=np.float32)
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    counted[own[starts]] = np.add.reduceat(x[:, None] * odds.T.astype(np.float32)[h], starts, axis=0)
+    keep = np.logaddexp(0, -counted[:, None, :] * code[None, :, :]).sum(axis=2).argmin(axis=1) == y
+    if not keep.any():
+        keep[:] = True
+    use = keep[own]
+    h, own, x = h[use], own[use], x[use]
+    # classes of unlike size weigh alike
+    size = np.bincount(y[keep], minlength=len(languages))
+    wt = np.where(keep, 1.0 / np.maximum(size, 1)[y], 0.0).astype(np.float32)[:, None]
+    scale = (np.sqrt(np.bincount(h, x * x * wt[own, 0], minlength=BUCKETS)) + 1e-6).astype(np.float32)[:, None]
+    # entries come by text; ordered by bucket once, both sums are sums over runs, for all bits together
+    text_at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    by_bucket = np.argsort(h, kind="stable")
+    hb, ob, xb = h[by_bucket], own[by_bucket], x[by_bucket, None]
+    bucket_at = np.flatnonzero(np.r_[True, hb[1:] != hb[:-1]])
+    x = x[:, None]
+    w, w0 = np.zeros((BUCKETS, CODE_BITS), dtype=np.float32), np.zeros(CODE_BITS, dtype=np.float32)
+    for _ in range(rounds):
+        m = np.zeros((len(texts), CODE_BITS), dtype=np.float32)
+        m[own[text_at]] = np.add.reduceat(x * w[h], text_at, axis=0)
+        g = -target * wt / (1 + np.exp(np.clip(target * (m + w0), -30, 30)))
+        w[hb[bucket_at]] -= 0.9 * np.add.reduceat(xb * g[ob], bucket_at, axis=0) / scale[hb[bucket_at]]
+        w0 -= 0.05 * g.sum(axis=0)
+    return Model(w, w0.astype(np.float64), code, languages)
 
 
 def train(docs: DataFrame, per_language: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Model | None:
@@ -247,7 +246,7 @@ def segments(texts: list[str], model: Model) -> list[list[tuple[str, float, str]
         if ps and not any(ok) and any(n_words(p) for p in ps):  # shorter than a sentence: the whole is one piece
             cut_up[k], long[k] = [" ".join(p for p in ps if n_words(p))], [True]
     flat = [p for ps, ok in zip(cut_up, long, strict=True) for p, o in zip(ps, ok, strict=True) if o]
-    lang, conf, _ = model.decode(flat)
+    lang, conf = model.decode(flat)
     out, at = [], 0
     for ps, ok in zip(cut_up, long, strict=True):
         tags: list[tuple[int, float] | None] = []
