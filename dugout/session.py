@@ -18,6 +18,7 @@ def build_session(app: str = "dugout", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     for k, v in {**defaults, **conf}.items():
@@ -26,12 +27,16 @@ def build_session(app: str = "dugout", master: str | None = None, **conf: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is set (tests)."""
+    """The cluster's shared checkpoint folder; a folder of our own only where none is set and all tasks run on this machine."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
-    d = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dugout-checkpoint-")
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="dugout-checkpoint-")
     sc.setCheckpointDir(d)
     return d
 
