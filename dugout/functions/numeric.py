@@ -15,6 +15,11 @@ def expectation(rs: Column, ra: Column, x: Column | float) -> Column:
     return F.try_divide(a, a + b)
 
 
+def share_of(c: Column) -> Column:
+    """A share from 0 to 1 that may be given in per cent (above 1) or per mille (above 100); null beyond."""
+    return F.when(c <= 1, c).when(c <= 100, c / 100).when(c <= 1000, c / 1000)
+
+
 def rmse(actual: Column, predicted: Column) -> Column:
     """Root mean squared error over the pairs without null; null if there are none."""
     return F.sqrt(F.avg(F.pow(actual - predicted, 2)))

@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dugout.operators.relational import q
 
 
+#: The features that an earlier selection by L1 penalty kept, and those that repeat others.
+SELECTED = [
+    "age", "fip", "K/9", "WHIP", "so", "g", "L", "hr/9", "wp", "l", "ER", "HRPG", "SF", "babip", "SHO", "A", "bk", "BB (Pitching)", "PE", "3B",
+    "ip", "FPCT", "CS", "w", "HB", "DPPG", "SH", "T", "SO", "BBPG (Pitching)", "SBPG", "cg", "RPG", "k-bb%", "HBP", "2BPG", "sho", "e-f", "lob%", "sv", "E",
+]
+REDUNDANT = ["k%", "bb%", "K/BB", "k/bb"]
+
+
+def without(features: list[str], gone: list[str]) -> list[str]:
+    """The features that are not listed as gone, in their order."""
+    return [f for f in features if f not in gone]
+
+
 def one_hot(df: DataFrame, column: str, categories: list[str] | None = None, prefix: str | None = None) -> DataFrame:
     """0/1 columns for all categories but the first in order; null is all zeros. Categories not given are read from the
     data and have to be few: more than 1,000 are refused."""
@@ -55,3 +69,8 @@ def assemble(df: DataFrame, features: list[str], out: str = "features", fill: st
 def standardise(df: DataFrame, column: str = "features", out: str = "scaled") -> DataFrame:
     """Mean 0 and (sample) deviation 1."""
     return StandardScaler(inputCol=column, outputCol=out, withMean=True).fit(df).transform(df)
+
+
+def values_of(df: DataFrame, vector: str, names: list[str]) -> DataFrame:
+    """``df`` with the first values of a vector as columns."""
+    return df.withColumn("_v", vector_to_array(vector)).select(*[q(c) for c in df.columns], *[F.get("_v", F.lit(i)).alias(n) for i, n in enumerate(names)])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dugout.functions.text import split_team_league
+
 
 def q(name: str) -> Column:
     """A column by its literal name, symbols and dots included."""
@@ -108,10 +110,51 @@ def not_containing(c: Column, text: str) -> Column:
     return ~F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
 
 
+def valid_labels(df: DataFrame, label: str) -> DataFrame:
+    """``df`` with team and league of labels ``Team (League)``; malformed ones, those without a team or a league, and divisions are left out."""
+    team, league = split_team_league(q(label))
+    d = df.withColumns({"team": team, "league": league})
+    return d.where((F.col("team") != "") & (F.col("league") != "") & ~F.lower("team").startswith("division"))
+
+
+#: Letters of the pieces on which texts and the names that hold them meet.
+PIECE = 3
+
+
+def _pieces(c: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (n - 1))), lambda i: F.substring(c, i, F.lit(n))))
+
+
 def contains_first(values: DataFrame, value: str, names: DataFrame, name: str, order: str) -> DataFrame:
-    """(value, name): for each value the first name, by ``order``, that contains it literally. Names are a reference list."""
-    v, n = values.select(q(value).alias("_v")).distinct(), names.select(q(name).alias("_n"), q(order).alias("_o"))
-    return v.join(n, F.col("_n").contains(F.col("_v"))).groupBy("_v").agg(F.min_by("_n", "_o").alias(name)).withColumnRenamed("_v", value)
+    """(value, name): for each value the first name, by ``order``, that contains it literally; values that none contains are left out.
+
+    A name that contains a value has all the value's pieces of ``PIECE`` letters, so both meet on the one of them that
+    fewest names have; shorter values meet on themselves and an empty one on the first letters. No pair is formed without a piece in common."""
+    v = values.select(q(value).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    n = names.select(q(name).alias("_n"), q(order).alias("_o")).where(F.col("_n").isNotNull())
+    long = F.length("_v") >= PIECE
+    held = n.select("_n", "_o", F.explode(F.array_union(F.array(F.lit("")), F.flatten(F.array(*[_pieces(F.col("_n"), k) for k in range(1, PIECE + 1)])))).alias("_p")).distinct()
+    rare = held.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    asked = v.select("_v", F.explode(F.when(long, _pieces(F.col("_v"), PIECE)).otherwise(F.array("_v"))).alias("_p"))
+    # a piece that no name has rules the value out; else the rarest one is asked for
+    best = asked.join(rare, "_p", "left").groupBy("_v").agg(F.every(F.col("_c").isNotNull()).alias("_ok"), F.min(F.struct("_c", "_p")).alias("_b"))
+    met = best.where("_ok").select("_v", F.col("_b._p").alias("_p")).join(held, "_p").where(F.col("_n").contains(F.col("_v")))
+    return met.groupBy("_v").agg(F.min_by("_n", "_o").alias(name)).withColumnRenamed("_v", value)
+
+
+def fallback_names(df: DataFrame, column: str, full: str, names: DataFrame, name: str, order: str, mapping: DataFrame, old: str, new: str, mapping_order: str) -> DataFrame:
+    """``df`` with ``full`` filled where it is null: the key in ``column`` is looked up in ``mapping`` (first of repeated old names), and the
+    first of ``names`` that contains the new name literally is taken. Keys compare without case and surrounding blanks; a blank
+    key or new name finds nothing."""
+    key = lambda c: F.lower(F.trim(q(c)))
+    gone = df.where(q(full).isNull() & (key(column) != "")).select(key(column).alias("_k")).distinct()
+    m = mapping.where((key(old) != "") & (F.trim(q(new)) != "")).groupBy(key(old).alias("_k")).agg(F.min_by(q(new), q(mapping_order)).alias("_new"))
+    wanted = gone.join(m, "_k")
+    hits = contains_first(wanted, "_new", names, name, order).withColumnRenamed(name, "_hit")
+    found = wanted.join(hits, "_new").select("_k", "_hit")
+    on = (key(column) == F.col("_k")) & q(full).isNull()
+    out = df.join(found, on, "left").withColumn(full, F.coalesce(q(full), F.col("_hit")))
+    return out.select(*[q(c) for c in df.columns])
 
 
 def frequent(df: DataFrame, key: str, more_than: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,34 @@ from dugout.session import cut
 
 
 def summary(c: str) -> list[Column]:
-    """mean, exact median, sample standard deviation, min and max of a column."""
-    return [F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
+    """mean, sample standard deviation, min and max of a column; for the median see ``medians``."""
+    return [F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
+
+
+def medians(df: DataFrame, c: str, by: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """(by..., median): the exact median of a column, nulls left out; with ``by`` for every group that has a value.
+
+    Distinct values are counted, dealt out by range of (group, value) and summed within each range; the ranges' totals
+    (one row a group and partition) give the offsets, so no task holds a whole group."""
+    by = by or []
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = [q(k).alias(f"_g{i}") for i, k in enumerate(by)]
+    keys = [f"_g{i}" for i in range(len(by))]
+    counts = df.where(q(c).isNotNull()).groupBy(*g, q(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = cut(counts.repartitionByRange(n, *keys, "_v").withColumn("_p", F.spark_partition_id()))
+    totals = placed.groupBy(*keys, "_p").agg(F.sum("_n").alias("_t"))
+    whole = Window.partitionBy(*keys)
+    before = totals.select(*[F.col(k).alias(f"{k}b") for k in keys], F.col("_p").alias("_pb"), F.sum("_t").over(whole).alias("_all"),
+                           (F.sum("_t").over(whole.orderBy("_p")) - F.col("_t")).alias("_before"))
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}b")) for k in keys], F.col("_p") == F.col("_pb"))
+    upto = F.sum("_n").over(Window.partitionBy("_p", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = F.col("_before") + F.col("_u")
+    at = placed.withColumn("_u", upto).join(before, on).withColumns({"_hi": last, "_lo": last - F.col("_n")})
+    # the values at positions (n + 1) // 2 and n // 2 + 1, which are one for odd n
+    holds = lambda k: (F.col("_lo") < k) & (F.col("_hi") >= k)
+    a, b = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    two = F.max(F.when(holds(a), F.col("_v"))).cast("double") + F.max(F.when(holds(b), F.col("_v"))).cast("double")
+    return at.where(holds(a) | holds(b)).groupBy(*keys).agg((two / 2).alias("median")).select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], "median")
 
 
 def regression(y: Column, x: Column) -> list[Column]:

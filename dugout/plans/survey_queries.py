@@ -38,10 +38,11 @@ def fin(x: str) -> str:
 # ------------------------------------------------------------------ exponent fits
 
 FIRST, LAST, LEAST = 2021, 2025, 3
+_SHARE = '(CASE WHEN "WPCT" <= 1 THEN "WPCT" WHEN "WPCT" <= 100 THEN "WPCT" / 100 WHEN "WPCT" <= 1000 THEN "WPCT" / 1000 END)'
 
 
 def _seasons(spark: SparkSession, d: str, recent: bool = False) -> DataFrame:
-    t = table(spark, d, "ncaabb_dataset").where("WPCT <= 1")
+    t = table(spark, d, "ncaabb_dataset").withColumn("WPCT", N.share_of(F.col("WPCT")))
     return pyth.usable_seasons(t, "R (Batting)", "R (Pitching)", "WPCT", *((FIRST, LAST) if recent else (None, None)))
 
 
@@ -55,8 +56,8 @@ def _fit_sql(keys: list[str], recent: bool, least: int) -> str:
     null = "".join(f" AND {x} IS NOT NULL" for x in keys)
     years = f" AND year BETWEEN {FIRST} AND {LAST}" if recent else ""
     return f"""
-s AS (SELECT year, league, "R (Batting)" AS rs, "R (Pitching)" AS ra, "WPCT" AS wpct FROM ncaabb_dataset
-  WHERE isfinite("R (Batting)") AND isfinite("R (Pitching)") AND isfinite("WPCT") AND "WPCT" <= 1 AND "R (Batting)" + "R (Pitching)" > 0{years}{null}),
+s AS (SELECT year, league, "R (Batting)" AS rs, "R (Pitching)" AS ra, {_SHARE} AS wpct FROM ncaabb_dataset
+  WHERE isfinite("R (Batting)") AND isfinite("R (Pitching)") AND isfinite({_SHARE}) AND "R (Batting)" + "R (Pitching)" > 0{years}{null}),
 e AS (SELECT {k}x, count(*) AS n, sqrt(avg(pow(wpct - pow(rs, x) / (pow(rs, x) + pow(ra, x)), 2))) AS e
   FROM s, (SELECT CAST(i AS DOUBLE) / 100 AS x FROM range(50, 351) t(i)) GROUP BY {k}x),
 b AS (SELECT *, row_number() OVER ({part} ORDER BY e, x) AS k, max(CASE WHEN x = 1.83 THEN e END) OVER ({part}) AS m FROM e),
@@ -120,8 +121,12 @@ def pyth_max_deviation(spark, d):
 min(best_x) AS min, max(best_x) AS max, count(*) FILTER (best_x < 1.83) AS below, count(*) FILTER (best_x > 1.83) AS above, count(*) FILTER (best_x BETWEEN 1.73 AND 1.93) AS near FROM fit""")
 def pyth_exponent_summary(spark, d):
     f = pyth.fit_exponent(_seasons(spark, d), ["year", "league"], LEAST)
+    f = cut(f)
     s = f.agg(*stats.summary("best_x"), F.count_if(F.col("best_x") < 1.83).alias("below"), F.count_if(F.col("best_x") > 1.83).alias("above"),
               F.count_if(F.col("best_x").between(1.73, 1.93)).alias("near"))
+    # two rows become one without a join
+    both = s.unionByName(stats.medians(f, "best_x"), allowMissingColumns=True)
+    s = both.agg(*[F.max(c).alias(c) for c in both.columns])
     return s.select(*[r6(F.col(c), c) for c in ("mean", "median", "std")], "min", "max", "below", "above", "near")
 
 
@@ -132,8 +137,8 @@ def exponent_colour(spark, d):
         "league", "best_x", F.when(x < N.MLB_EXPONENT, "green").when(x > N.MLB_EXPONENT, "red").otherwise("blue").alias("colour"))
 
 
-_S = """s AS (SELECT year, league, "R (Batting)" AS rs, "R (Pitching)" AS ra, "WPCT" AS wpct FROM ncaabb_dataset
-  WHERE isfinite("R (Batting)") AND isfinite("R (Pitching)") AND isfinite("WPCT") AND "WPCT" <= 1 AND "R (Batting)" + "R (Pitching)" > 0)"""
+_S = f"""s AS (SELECT year, league, "R (Batting)" AS rs, "R (Pitching)" AS ra, {_SHARE} AS wpct FROM ncaabb_dataset
+  WHERE isfinite("R (Batting)") AND isfinite("R (Pitching)") AND isfinite({_SHARE}) AND "R (Batting)" + "R (Pitching)" > 0)"""
 _PE = "pow(rs, 1.83::DOUBLE) / (pow(rs, 1.83::DOUBLE) + pow(ra, 1.83::DOUBLE))"
 
 
@@ -181,9 +186,9 @@ def year_team_grid(spark, d):
     return files.year_grid(table(spark, d, "unique_teams").select(F.col("Acronym").alias("team")), 2002, 2025)
 
 
-@query("SELECT name, team, age, playerid, year, row_id, \"k/9\" AS k_per_9, 'pitching' AS source FROM pitching_combined_all")
+@query("SELECT name, team, age, playerid, year, row_id, " + fin('"k/9"') + " AS k_per_9, 'pitching' AS source FROM pitching_combined_all")
 def normalised_players(spark, d):
-    t = relational.normalise_header(table(spark, d, "pitching_combined_all").select("row_id", "year", "k/9", "name", "playerid", "team", "age"))
+    t = relational.normalise_header(nan_to_null(table(spark, d, "pitching_combined_all")).select("row_id", "year", "k/9", "name", "playerid", "team", "age"))
     t = relational.reorder(t.withColumnRenamed("k/9", "k_per_9").withColumn("source", F.lit("pitching")), ["name", "team", "age", "playerid", "year"])
     return t
 
@@ -245,6 +250,28 @@ def contains_first_hit(spark, d):
         F.col("New name").alias("new_name"), F.col("Full Name").alias("full_name"))
 
 
+@query("""WITH a AS (SELECT "Acronym" AS a, min("Full Name") AS f FROM unique_teams GROUP BY 1),
+m AS (SELECT o, n FROM (SELECT lower(trim("Old name")) AS o, "New name" AS n, row_number() OVER (PARTITION BY lower(trim("Old name")) ORDER BY row_id) AS k FROM missing_schools
+  WHERE trim("Old name") <> '' AND trim("New name") <> '') WHERE k = 1),
+h AS (SELECT n, f FROM (SELECT n, "Full Name" AS f, row_number() OVER (PARTITION BY n ORDER BY "Acronym") AS k FROM (SELECT DISTINCT n FROM m) JOIN unique_teams ON contains("Full Name", n)) WHERE k = 1)
+SELECT d._ord, d."Drafted From" AS entered, coalesce(a.f, h.f) AS full_name FROM all_drafts d LEFT JOIN a ON d."Drafted From" = a.a
+LEFT JOIN m ON lower(trim(d."Drafted From")) = m.o LEFT JOIN h ON m.n = h.n""")
+def fallback_full_name(spark, d):
+    """Full names by acronym, and where there is none by the correction of the entry and the first name that contains it."""
+    u = table(spark, d, "unique_teams")
+    a = u.groupBy(q("Acronym").alias("a")).agg(F.min(q("Full Name")).alias("full_name"))
+    t = table(spark, d, "all_drafts").select("_ord", q("Drafted From").alias("entered")).join(a, F.col("entered") == F.col("a"), "left").drop("a")
+    return relational.fallback_names(t, "entered", "full_name", u, "Full Name", "Acronym", table(spark, d, "missing_schools"), "Old name", "New name", "row_id")
+
+
+@query(r"""WITH v AS (SELECT DISTINCT "Drafted From" AS s FROM all_drafts WHERE contains("Drafted From", '(') AND contains("Drafted From", ')')),
+p AS (SELECT s, trim(split_part(s, '(', 1)) AS team, trim(replace(split_part(s, '(', 2), ')', '')) AS league FROM v)
+SELECT s AS entered, team, league FROM p WHERE team <> '' AND league <> '' AND NOT starts_with(lower(team), 'division')""")
+def valid_labels(spark, d):
+    t = table(spark, d, "all_drafts").select(F.col("Drafted From").alias("entered")).distinct()
+    return relational.valid_labels(t, "entered")
+
+
 @query("SELECT team, count(*) AS n FROM pitching_combined_all WHERE team IS NOT NULL GROUP BY team HAVING count(*) > 20")
 def value_counts_threshold(spark, d):
     return relational.frequent(table(spark, d, "pitching_combined_all"), "team", 20)
@@ -358,6 +385,20 @@ def two_way_rows(spark, d):
     return t.select("playerid", "year", "h", "hr", "role")
 
 
+_SHARED = ["g", "h", "r", "hr", "bb", "hbp", "so", "avg", "bb%", "k%", "babip"]
+
+
+@query("SELECT coalesce(a.playerid, b.playerid) AS playerid, coalesce(a.year, b.year) AS year, " + ", ".join(
+    (f"coalesce({fin('a.' + chr(34) + c + chr(34))}, {fin('b.' + chr(34) + c + chr(34))})" if c in ("avg", "bb%", "k%", "babip") else f'coalesce(a."{c}", b."{c}")') + f' AS "{c}"'
+    for c in _SHARED) + f" {_TWO}")
+def two_way_all_shared(spark, d):
+    """Every statistic that both tables have, of one or the other side, whatever the tables' columns are."""
+    a, b = nan_to_null(table(spark, d, "pitching_combined_all")).drop("row_id", "loaded_at"), nan_to_null(table(spark, d, "batting_combined_all")).drop("row_id", "loaded_at")
+    shared = [c for c in a.columns if c in b.columns and c not in _KEYS]
+    t = relational.coalesce_pairs(relational.null_safe_merge(a, b, _KEYS, ("_pitch", "_bat")), shared)
+    return t.select("playerid", "year", *[q(c) for c in shared])
+
+
 @query("""SELECT p.row_id, p.team, u."Full Name" AS full_name FROM pitching_combined_all p LEFT JOIN unique_teams u ON upper(trim(p.team)) = u."Acronym" """)
 def acronym_lookup(spark, d):
     u = table(spark, d, "unique_teams").select(q("Acronym").alias("a"), q("Full Name").alias("full_name"))
@@ -391,6 +432,29 @@ def fanout_join(spark, d):
     return m.join(r, F.col("conf") == F.col("conference"), "left").select("row_id", "league", "year", "conf_rank")
 
 
+_MAPPED = """SELECT p.row_id, u."Full Name" AS full_name, m."Old name" AS team_old, {0} FROM pitching_combined_all p LEFT JOIN unique_teams u ON upper(trim(p.team)) = u."Acronym"
+LEFT JOIN (SELECT * FROM missing_schools WHERE trim("Old name") <> '') m ON u."Full Name" = m."New name\" LEFT JOIN ncaabb_dataset n ON n.team = coalesce(m."Old name", u."Full Name"){1}"""
+
+
+def _mapped_seasons(spark, d, on: list[str]) -> DataFrame:
+    old = table(spark, d, "missing_schools").where(F.trim("Old name") != "").select(q("Old name").alias("team_old"), q("New name").alias("team_new"))
+    p = table(spark, d, "pitching_combined_all").select("row_id", "team", "year")
+    s = table(spark, d, "ncaabb_dataset").select(F.col("row_id").alias("season_id"), F.col("team").alias("season_team"), F.col("year").alias("season_year"))
+    return draft.enrich_mapped(p, table(spark, d, "unique_teams"), old, s, with_year="year" in on)
+
+
+@query(_MAPPED.format("n.row_id AS season_id", " AND n.year = p.year"))
+def mapped_team_season(spark, d):
+    """Players with their team's season of the year, through a mapping that fans out where a team has several old names."""
+    return _mapped_seasons(spark, d, ["team", "year"]).select("row_id", "full_name", "team_old", "season_id")
+
+
+@query("SELECT full_name, count(*) AS n_rows, count(season_id) AS n_seasons FROM (" + _MAPPED.format("n.row_id AS season_id", "") + ") GROUP BY full_name")
+def team_only_fanout(spark, d):
+    """The same join on the team alone: a player gets every season of the team."""
+    return _mapped_seasons(spark, d, ["team"]).groupBy("full_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count("season_id").alias("n_seasons"))
+
+
 @query("""SELECT p.row_id, a._ord AS ord, coalesce(a."Round", 0) AS round, coalesce(a."Pick", 0) AS pick, CAST(a._ord IS NOT NULL AS INTEGER) AS drafted FROM pitching_combined_all p
 LEFT JOIN all_drafts a ON p.name = a."Player Name" AND p.year = a."Year" """)
 def draft_join(spark, d):
@@ -420,7 +484,7 @@ def fuzzy_match(spark, d):
 min({fin('era')}) AS min, max({fin('era')}) AS max FROM pitching_combined_all WHERE year IS NOT NULL GROUP BY year""")
 def summary_by_year(spark, d):
     t = nan_to_null(table(spark, d, "pitching_combined_all").select("year", "era")).where("year is not null")
-    g = t.groupBy("year").agg(F.count(F.lit(1)).alias("n"), *stats.summary("era"))
+    g = t.groupBy("year").agg(F.count(F.lit(1)).alias("n"), *stats.summary("era")).join(stats.medians(t, "era", ["year"]), "year", "left")
     return g.select("year", "n", *[r6(F.col(c), c) for c in ("mean", "median", "std")], "min", "max")
 
 
@@ -443,6 +507,17 @@ def pick_allocator(spark, d):
     return draft.pick_allocation(a)
 
 
+@query("""WITH s AS (SELECT "Year" AS year, "Round" AS round, max("Pick") AS picks FROM all_drafts WHERE "Round" IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT *, coalesce(sum(picks) OVER (PARTITION BY year ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+y AS (SELECT DISTINCT "Year" AS year FROM all_drafts WHERE "Year" IS NOT NULL), g AS (SELECT year, CAST(r AS INTEGER) AS round FROM y, range(1, 61) t(r))
+SELECT g.year, g.round, CAST(coalesce(w.picks, 30) AS INTEGER) AS picks, CAST(coalesce(least(w.picks, before + 1), 1) AS BIGINT) AS pick FROM g LEFT JOIN w ON g.year = w.year AND g.round = w.round""")
+def pick_of_any_round(spark, d):
+    """Picks and pick of rounds 1 to 60 of every year; rounds that a year does not have get the fallback."""
+    a = table(spark, d, "all_drafts").select(q("Year").alias("year"), q("Round").alias("round"), q("Pick").alias("pick"))
+    asked = a.where("year is not null").select("year").distinct().withColumn("predicted_round", F.explode(F.sequence(F.lit(1), F.lit(60))))
+    return draft.with_pick(asked, a).select("year", F.col("predicted_round").alias("round"), "picks", "pick")
+
+
 @query("SELECT DISTINCT year FROM pitching_combined_all")
 def distinct_years(spark, d):
     return table(spark, d, "pitching_combined_all").select("year").distinct()
@@ -500,6 +575,19 @@ def undersample(spark, d):
     return sampling.undersample(_labelled(spark, d).select("row_id", "label"), "label", "row_id")
 
 
+@query("""WITH l AS (SELECT p.row_id, a.round, a.pick FROM pitching_combined_all p JOIN (SELECT "Player Name" AS n, "Year" AS y, min("Round") AS round, min("Pick") AS pick FROM all_drafts GROUP BY 1, 2) a
+  ON p.name = a.n AND p.year = a.y),
+r AS (SELECT *, row_number() OVER (ORDER BY md5(row_id::VARCHAR || '-42'), row_id) AS k, count(*) OVER () AS n FROM l) SELECT row_id, round, pick, k <= ceil(n * 0.2) AS is_test FROM r""")
+def split_for_two_targets(spark, d):
+    """One split serves both targets, so a row is on the same side for the round and for the pick."""
+    return sampling.split(_labelled(spark, d).where("label = 1").select("row_id", "round", "pick"), "row_id")
+
+
+@query("SELECT x AS feature FROM (SELECT unnest([" + ", ".join("'" + f + "'" for f in features.SELECTED) + "]) AS x) WHERE x NOT IN ('k%', 'bb%', 'K/BB', 'k/bb')")
+def selected_features(spark, d):
+    return spark.createDataFrame([(f,) for f in features.without(features.SELECTED, features.REDUNDANT)], "feature string")
+
+
 @query(f"WITH {_LAB} SELECT row_id, label, CASE WHEN label = 1 THEN round((SELECT count(*) FILTER (label = 0) / greatest(count(*) FILTER (label = 1), 1) FROM l), 6) ELSE 1.0 END AS weight FROM l")
 def class_weight(spark, d):
     return features.class_weight(_labelled(spark, d).select("row_id", "label"), "label").withColumn("weight", F.round("weight", 6))
@@ -523,9 +611,42 @@ def target_encode_mean(spark, d):
     return features.target_encode(t, "team", "era", "team_era").select("row_id", r6(F.col("team_era"), "team_era"))
 
 
+@query("SELECT row_id, team, year, CAST(row_number() OVER (PARTITION BY team, year ORDER BY row_id) AS INTEGER) AS n FROM pitching_combined_all")
+def row_numbers(spark, d):
+    return files.with_ordinal(table(spark, d, "pitching_combined_all").select("row_id", "team", "year"), "row_id", "n", ["team", "year"])
+
+
+@query(f"""WITH u AS (SELECT row_id, {fin('era')} AS era, {fin('whip')} AS whip FROM pitching_combined_all), v AS (SELECT * FROM u WHERE era IS NOT NULL AND whip IS NOT NULL),
+m AS (SELECT avg(era) AS a, stddev_samp(era) AS b, avg(whip) AS c, stddev_samp(whip) AS d FROM v) SELECT row_id, round((era - a) / b, 5) AS era, round((whip - c) / d, 5) AS whip FROM v, m""")
+def standardised(spark, d):
+    t = nan_to_null(table(spark, d, "pitching_combined_all").select("row_id", "era", "whip")).na.drop(subset=["era", "whip"])
+    v = features.values_of(features.standardise(features.assemble(t, ["era", "whip"], fill="zero").select("row_id", "features")), "scaled", ["era", "whip"])
+    return v.select("row_id", F.round("era", 5).alias("era"), F.round("whip", 5).alias("whip"))
+
+
+_FEATURES_SQL = " AND ".join((fin(f'"{f}"') if f in ("era", "k/9", "whip", "fip", "ip", "avg") else f'"{f}"') + " IS NOT NULL" for f in ["era", "bb", "k/9", "whip", "fip", "ip", "so", "hr", "age", "avg"])
+
+
+@query(f"SELECT row_id, year FROM pitching_combined_all WHERE {_FEATURES_SQL}")
+def complete_cases(spark, d):
+    return nan_to_null(table(spark, d, "pitching_combined_all")).na.drop(subset=FEATURES).select("row_id", "year")
+
+
+@query("""SELECT p.row_id, a.round, a.pick FROM pitching_combined_all p JOIN (SELECT "Player Name" AS n, "Year" AS y, min("Round") AS round, min("Pick") AS pick FROM all_drafts GROUP BY 1, 2) a
+ON p.name = a.n AND p.year = a.y WHERE a.round IS NOT NULL AND a.pick IS NOT NULL""")
+def drafted_positives(spark, d):
+    return _labelled(spark, d).where("label = 1").na.drop(subset=["round", "pick"]).select("row_id", "round", "pick")
+
+
+@query(f"SELECT row_id, CAST(round_even({fin('era')} * 2, 0) AS INTEGER) AS halves FROM pitching_combined_all WHERE isfinite(era)")
+def rounded_to_int(spark, d):
+    t = nan_to_null(table(spark, d, "pitching_combined_all").select("row_id", "era")).where("era is not null")
+    return t.select("row_id", F.rint(F.col("era") * 2).cast("int").alias("halves"))
+
+
 # ------------------------------------------------------------------ evaluation
 
-_RULE = """r AS (SELECT CAST("W" > "L" AS INTEGER) AS y, CAST("R (Batting)" > "R (Pitching)" AS INTEGER) AS p, "R (Batting)" - "R (Pitching)" AS s, "WPCT" AS w, "PE" AS e FROM ncaabb_dataset
+_RULE = """r AS (SELECT CAST("W" > "L" AS INTEGER) AS y, CAST("R (Batting)" > "R (Pitching)" AS INTEGER) AS p, "R (Batting)" - "R (Pitching)" AS s, """ + _SHARE + """ AS w, "PE" AS e FROM ncaabb_dataset
 WHERE isfinite("W") AND isfinite("L") AND isfinite("R (Batting)") AND isfinite("R (Pitching)"))"""
 
 
@@ -533,7 +654,7 @@ def _ruled(spark, d) -> DataFrame:
     t = nan_to_null(table(spark, d, "ncaabb_dataset"))
     b, p = q("R (Batting)"), q("R (Pitching)")
     t = t.where(F.col("W").isNotNull() & F.col("L").isNotNull() & b.isNotNull() & p.isNotNull())
-    return t.select((F.col("W") > F.col("L")).cast("int").alias("y"), (b > p).cast("int").alias("p"), (b - p).alias("s"), F.col("WPCT").alias("w"), F.col("PE").alias("e"))
+    return t.select((F.col("W") > F.col("L")).cast("int").alias("y"), (b > p).cast("int").alias("p"), (b - p).alias("s"), N.share_of(F.col("WPCT")).alias("w"), F.col("PE").alias("e"))
 
 
 @query(f"""WITH {_RULE}, c AS (SELECT unnest([0, 1]) AS k), o AS (SELECT CAST(k AS VARCHAR) AS class, count(*) FILTER (y = k AND p = k) AS tp, count(*) FILTER (y = k) AS support, count(*) FILTER (p = k) AS claimed FROM r, c GROUP BY k),
@@ -552,9 +673,9 @@ def accuracy(spark, d):
     return _ruled(spark, d).agg(r6(metrics.accuracy("y", "p"), "accuracy"))
 
 
-@query(f"""WITH {_RULE}, u AS (SELECT w, e FROM r WHERE isfinite(w) AND isfinite(e) AND w <= 1) SELECT round(avg(abs(w - e)), 6) AS mae, round(1 - sum(pow(w - e, 2)) / (var_pop(w) * count(*)), 6) AS r2 FROM u""")
+@query(f"""WITH {_RULE}, u AS (SELECT w, e FROM r WHERE isfinite(w) AND isfinite(e)) SELECT round(avg(abs(w - e)), 6) AS mae, round(1 - sum(pow(w - e, 2)) / (var_pop(w) * count(*)), 6) AS r2 FROM u""")
 def mae_r2(spark, d):
-    return metrics.r2(_ruled(spark, d).where("w <= 1"), "w", "e").select(r6(F.col("mae"), "mae"), r6(F.col("r2"), "r2"))
+    return metrics.r2(_ruled(spark, d), "w", "e").select(r6(F.col("mae"), "mae"), r6(F.col("r2"), "r2"))
 
 
 @query(f"""WITH {_RULE}, k AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r FROM r), c AS (SELECT count(*) FILTER (y = 1) AS a, count(*) FILTER (y <> 1) AS b, sum(r) FILTER (y = 1) AS t FROM k)
@@ -568,6 +689,7 @@ def roc_auc(spark, d):
 #: Player features of the models, and the size at which the queries fit them; the operators' defaults are larger.
 FEATURES = ["era", "bb", "k/9", "whip", "fip", "ip", "so", "hr", "age", "avg"]
 SMALL = {"trees": 20, "depth": 5}
+SEARCH_TREES = 10
 
 
 def _split_features(spark, d, balance: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -627,12 +749,60 @@ def logreg_importance(spark, d):
     return metrics.coefficients(spark, lr, FEATURES).join(imp, "feature").orderBy(F.desc("magnitude"), "feature")
 
 
+CATEGORIES = ["team"]
+
+
+def _encoded(spark, d) -> tuple[DataFrame, DataFrame]:
+    t = sampling.stratified_split(sampling.undersample(_labelled(spark, d), "label", "row_id"), "label", "row_id")
+    t = cut(t.select("row_id", "label", "is_test", F.upper(F.trim("team")).alias("team"), *[F.coalesce(q(f).cast("double"), F.lit(0.0)).alias(f.replace("/", "_per_")) for f in FEATURES]))
+    return t.where("not is_test"), t.where("is_test")
+
+
+@query()
+def encoder_pipeline(spark, d):
+    """Team encoded by its mean label, then boosted trees."""
+    train, test = _encoded(spark, d)
+    m = models.encoder_pipeline("label", CATEGORIES, [f.replace("/", "_per_") for f in FEATURES], trees=SMALL["trees"], depth=SMALL["depth"]).fit(train)
+    return metrics.roc_auc(models.predict(m, test), "label", "predicted_p1")
+
+
 @query()
 def model_search(spark, d):
-    train, test = _split_features(spark, d)
-    m = models.search(train, "label", n_iter=2, folds=3, trees=5)
-    auc = metrics.roc_auc(models.predict(m.bestModel.stages[-1], test), "label", "predicted_p1")
-    return auc.select("auc", F.lit(float(max(m.avgMetrics))).alias("cv_auc"))
+    """Ten steps of the model-based search, then the pipeline of the best values."""
+    train, test = _encoded(spark, d)
+    numbers = [f.replace("/", "_per_") for f in FEATURES]
+    v, cv = models.bayes_search(train, "label", CATEGORIES, numbers, trees=SEARCH_TREES)
+    m = models.encoder_pipeline("label", CATEGORIES, numbers, SEARCH_TREES, v["depth"], v["rate"], rows=v["rows"], columns=v["by_tree"] * v["by_level"] * v["by_node"]).fit(train)
+    auc = metrics.roc_auc(models.predict(m, test), "label", "predicted_p1")
+    return auc.select("auc", F.lit(cv).alias("cv_auc"), *[F.lit(float(x)).alias(k) for k, x in v.items()])
+
+
+#: Features of the two served models.
+PITCHING, BATTING = ["era", "bb", "k/9", "hr", "whip"], ["slg", "avg", "hr", "bb", "obp"]
+
+
+def _served(spark, d, source: str, names: list[str], allocate: bool) -> DataFrame:
+    a = table(spark, d, "all_drafts").select(q("Player Name").alias("pn"), q("Year").alias("y"), q("Round").alias("round"), q("Pick").alias("pick"))
+    first = a.groupBy("pn", "y").agg(F.min("round").alias("round"))
+    t = nan_to_null(table(spark, d, source)).where("name is not null").join(first, (F.col("name") == F.col("pn")) & (F.col("year") == F.col("y")), "left")
+    t = t.withColumn("label", F.col("pn").isNotNull().cast("int")).select("row_id", "name", "year", "team", "label", "round", *[q(f) for f in names])
+    t = cut(features.assemble(t, names, fill="zero").select("row_id", "name", "year", "team", "label", "round", "features"))
+    drafted = models.forest("label", **SMALL).fit(sampling.undersample(t, "label", "row_id"))
+    rounds = models.forest("round", **SMALL).fit(t.where("label = 1 and round is not null"))
+    return draft.serve(t, drafted, rounds, a.select(F.col("y").alias("year"), "round", "pick") if allocate else None)
+
+
+@query()
+def predict_pitcher(spark, d):
+    """Every pitcher season scored: drafted or not, the round, the sentence; a point query filters on name, year and team."""
+    return _served(spark, d, "pitching_combined_all", PITCHING, False).select("row_id", "name", "year", "team", F.round("drafted_p1", 6).alias("p_drafted"), "drafted", "predicted_round", "said")
+
+
+@query()
+def predict_batter(spark, d):
+    """The same for batters, with the pick that the allocator gives the predicted round."""
+    return _served(spark, d, "batting_combined_all", BATTING, True).select(
+        "row_id", "name", "year", "team", F.round("drafted_p1", 6).alias("p_drafted"), "drafted", "predicted_round", "picks", "pick", "said")
 
 
 @query()
