@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +61,23 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def long_rows(spark: SparkSession, most: int = 1000) -> None:
+    """Fewer rows in an Arrow batch, for steps whose rows may be long texts; a smaller setting is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(key, "10000"))
+    if have <= 0 or have > most:
+        spark.conf.set(key, str(most))
+
+
+def slices(texts: list[str], characters: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """(first, behind the last) of runs of texts of at most so many characters in all, or of one longer text."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t) > characters:
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    if first < len(texts):
+        yield first, len(texts)
