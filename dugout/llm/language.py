@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dugout.session import spread
+from dugout.session import long_rows, slices, spread
 
 LANGUAGES = ["en", "es", "fr", "de", "pt", "it", "ja"]
 
@@ -99,7 +99,7 @@ def gram_sums(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.nda
     for first, codes, owner in _coded(texts):
         for h, own in _grams(codes, owner):
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            out[first + own[starts]] += np.add.reduceat(weights[h], starts, axis=0)
+            out[first + own[starts]] += np.add.reduceat(np.take(weights, h, axis=0), starts, axis=0)
             count[first + own[starts]] += np.diff(np.r_[starts, len(own)])
     return out, count
 
@@ -133,21 +133,19 @@ def _coded(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _grams(codes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, owner) of the n-grams that begin in a text, an order at a time."""
+    """(bucket, owner) of the n-grams that begin in a text, an order at a time; each order's hashes go on from those of the one before."""
     c = codes.astype(np.uint64)
-    for n in ORDERS:
-        if len(c) < n:
-            continue
-        h = np.full(len(c) - n + 1, n * 0x9E3779B1, dtype=np.uint64)
-        whole = np.ones(len(h), dtype=bool)
-        for k in range(n):
-            x = c[k:len(c) - n + 1 + k]
-            h = (h ^ x) * np.uint64(0x100000001B3)
-            h ^= h >> np.uint64(29)
-            whole &= x != 0
-        own = owner[: len(h)][whole]
-        if len(own):
-            yield (h[whole] & np.uint64(BUCKETS - 1)).astype(np.int64), own
+    inside = c != 0
+    h, whole = np.zeros(len(c), dtype=np.uint64), np.ones(len(c), dtype=bool)
+    for n in range(1, min(max(ORDERS), len(c)) + 1):
+        m = len(c) - n + 1
+        h = (h[:m] ^ c[n - 1:]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        whole = whole[:m] & inside[n - 1:]
+        if n in ORDERS:
+            own = owner[:m][whole]
+            if len(own):
+                yield ((h[whole] >> np.uint64(5)) + np.uint64(n * 0x9E3779B1) & np.uint64(BUCKETS - 1)).astype(np.int64), own
 
 
 class Model:
@@ -193,7 +191,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Model | No
     odds = np.log((plus / np.maximum(plus.sum(axis=1, keepdims=True), 1)) @ share + 1e-12) - np.log(((1 - plus) / np.maximum((1 - plus).sum(axis=1, keepdims=True), 1)) @ share + 1e-12)
     counted = np.zeros((len(texts), CODE_BITS), dtype=np.float32)
     starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    counted[own[starts]] = np.add.reduceat(x[:, None] * odds.T.astype(np.float32)[h], starts, axis=0)
+    counted[own[starts]] = np.add.reduceat(x[:, None] * np.take(odds.T.astype(np.float32), h, axis=0), starts, axis=0)
     keep = np.logaddexp(0, -counted[:, None, :] * code[None, :, :]).sum(axis=2).argmin(axis=1) == y
     if not keep.any():
         keep[:] = True
@@ -212,9 +210,9 @@ def fit(texts: list[str], labels: list[str], rounds: int = ROUNDS) -> Model | No
     w, w0 = np.zeros((BUCKETS, CODE_BITS), dtype=np.float32), np.zeros(CODE_BITS, dtype=np.float32)
     for _ in range(rounds):
         m = np.zeros((len(texts), CODE_BITS), dtype=np.float32)
-        m[own[text_at]] = np.add.reduceat(x * w[h], text_at, axis=0)
+        m[own[text_at]] = np.add.reduceat(x * np.take(w, h, axis=0), text_at, axis=0)
         g = -target * wt / (1 + np.exp(np.clip(target * (m + w0), -30, 30)))
-        w[hb[bucket_at]] -= 0.9 * np.add.reduceat(xb * g[ob], bucket_at, axis=0) / scale[hb[bucket_at]]
+        w[hb[bucket_at]] -= 0.9 * np.add.reduceat(xb * np.take(g, ob, axis=0), bucket_at, axis=0) / scale[hb[bucket_at]]
         w0 -= 0.05 * g.sum(axis=0)
     return Model(w, w0.astype(np.float64), code, languages)
 
@@ -293,13 +291,14 @@ def label_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     spark = docs.sparkSession
     if model is None:
         return spark.createDataFrame([], schema)
+    long_rows(spark)
     sent = spark.sparkContext.broadcast(model)  # BUCKETS x CODE_BITS numbers, whatever the data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for pdf in batches:
-            for k in range(0, len(pdf), 500):
-                part = pdf.iloc[k:k + 500]
+            for k, end in slices(list(pdf["text"])):
+                part = pdf.iloc[k:end]
                 rows = []
                 for doc, label, segs in zip(part["doc_id"], part["lang"], segments(list(part["text"]), m), strict=True):
                     name = canonical_label(label if isinstance(label, str) else None)

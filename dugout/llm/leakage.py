@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dugout.session import cut, spread
+from dugout.session import cut, long_rows, slices, spread
 
 #: Words of a gram, grams of a window, words that make a case, changed words that a passage may hold between two runs.
 K, WINDOW, WORDS, GAP = 3, 2, 12, 2
@@ -294,9 +294,11 @@ def tokenised(df: DataFrame, key: str) -> DataFrame:
     """(key, w): the word hashes of (key, text)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            w, at = hashed(list(pdf["text"]))
-            w = w.view(np.int64)
-            yield pd.DataFrame({key: pdf[key], "w": [w[at[i]:at[i + 1]] for i in range(len(pdf))]})
+            texts = list(pdf["text"])
+            for k, end in slices(texts):
+                w, at = hashed(texts[k:end])
+                w = w.view(np.int64)
+                yield pd.DataFrame({key: pdf[key].iloc[k:end].to_numpy(), "w": [w[at[i]:at[i + 1]] for i in range(end - k)]})
 
     return df.select(key, "text").where(F.col("text").isNotNull()).mapInPandas(run, f"{key} bigint, w array<bigint>")
 
@@ -355,8 +357,8 @@ def _streamed(docs: DataFrame, items: DataFrame, form: np.ndarray) -> DataFrame:
         index = sent.value
         for pdf in batches:
             ids, texts = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
-            for k in range(0, len(texts), 500):
-                found = index.leaks(texts[k:k + 500])
+            for k, end in slices(texts):
+                found = index.leaks(texts[k:end])
                 yield pd.DataFrame([(ids[k + d], index.ids[i], n) for d, i, n in found], columns=["doc_id", "item_id", "n_words"])
 
     return docs.mapInPandas(run, _FOUND)
@@ -384,6 +386,7 @@ def _shuffled(docs: DataFrame, items: DataFrame, form: np.ndarray) -> DataFrame:
 
 def leaks(docs: DataFrame, items: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_id, item_id, n_words) of documents (doc_id, text) that hold a passage of items (item_id, text)."""
+    long_rows(docs.sparkSession)
     d = spread(docs.select("doc_id", "text").where(F.col("text").isNotNull()))
     t = cut(tokenised(items, "item_id").where(F.size("w") >= WORDS))
     size = t.agg(F.sum(F.size("w"))).first()[0] or 0

@@ -18,13 +18,15 @@ together; null sources are a source without target; empty tables give a report o
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dugout.session import cut, spread
+from dugout.session import cut, long_rows, slices, spread
 
 #: Buckets of a level and levels: 3 x 12 bits of the hash.
 BITS, LEVELS = 12, 3
@@ -50,13 +52,18 @@ def _counter(path: str):
 
 
 def with_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens) of (doc_id, source, text)."""
+    """(doc_id, source, tokens) of (doc_id, source, text). The tokenizer's file is sent along where the driver has it; else
+    every executor must have it under its path."""
+    long_rows(docs.sparkSession)
+    here = os.path.exists(tokenizer)
+    if here:
+        docs.sparkSession.sparkContext.addFile(tokenizer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = _counter(tokenizer)
+        count = _counter(SparkFiles.get(os.path.basename(tokenizer)) if here else tokenizer)
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            yield pdf[["doc_id", "source"]].assign(tokens=count(texts))
+            yield pdf[["doc_id", "source"]].assign(tokens=[n for k, end in slices(texts) for n in count(texts[k:end])])
 
     return spread(docs.select("doc_id", "source", "text")).mapInPandas(run, "doc_id bigint, source string, tokens bigint")
 

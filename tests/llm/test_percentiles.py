@@ -52,3 +52,13 @@ def test_slices_and_bound(frame):
     for r in P.percentiles([u], [0.25, 0.5], depth=1).collect():
         assert r["value"] <= a[(r["g"], r["q"])] + 1e-300 and abs(a[(r["g"], r["q"])] - r["value"]) <= abs(r["error"]) + 1e-12
     assert P.percentiles([u.limit(0)], [0.5]).count() == 0
+
+
+def test_the_stated_error_of_the_query_holds(spark, data):
+    from dugout.llm import queries
+
+    exact = {(r["year"], r["q"]): r for r in queries.p5_era_by_year(spark, data).collect()}
+    near = {(r["year"], r["q"]): r for r in queries.p5_era_bounded_error(spark, data).collect()}
+    assert near.keys() == exact.keys() and any(r["error"] > 0 for r in near.values())
+    for k, r in near.items():
+        assert r["n"] == exact[k]["n"] and abs(r["value"] - exact[k]["value"]) <= abs(r["error"]) + 1e-9
