@@ -86,10 +86,8 @@ def n_words(piece: str) -> int:
     """Words that tell a language; two Chinese or Japanese characters count as one, a score line has none."""
     if _SCORE.match(piece):
         return 0
-    cjk = len(_CJK.findall(piece))
-    if cjk:
-        return cjk // 2 + 1
-    return sum(1 for w in _WORD.findall(piece))
+    cjk = 0 if piece.isascii() else len(_CJK.findall(piece))
+    return cjk // 2 + 1 if cjk else len(_WORD.findall(piece))
 
 
 def gram_sums(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
