@@ -281,17 +281,31 @@ def split_line(c: Column) -> Column:
     return F.when(F.contains(c, F.lit('"')) & (last % 2 == 0), F.transform(quoted, lambda x: F.trim(x))).otherwise(F.split(c, ",", -1))
 
 
-def file_schemas(lines: DataFrame) -> DataFrame:
-    """One row a file: its place in the stream and its fields with type and profile of values, from raw CSV lines
-    (file_id, line_no, line, feed, kind, season). Types are integer, decimal and text; ``reads`` is the column kind that
-    reads every value (see ``lenient``): long, double (per cent included) or string, empty if there is no value."""
-    head = (
+def headers(lines: DataFrame) -> DataFrame:
+    """(file_id, feed, kind, season, names) from the header lines."""
+    tidy = lambda x: F.lower(F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
+    return (
         lines.where((F.col("line_no") == 0) & F.col("line").isNotNull())
         .groupBy("file_id")
         .agg(F.min_by(F.struct("feed", "kind", "season", "line"), "line_no").alias("f"))
-        .select("file_id", "f.feed", "f.kind", "f.season", F.posexplode(split_line(F.col("f.line"))).alias("pos", "raw"))
-        .select("file_id", "feed", "kind", "season", "pos", F.lower(F.trim(F.regexp_replace("raw", r"(?U)^\s+|\s+$", ""))).alias("name"))
+        .select("file_id", "f.feed", "f.kind", "f.season", F.transform(split_line(F.col("f.line")), tidy).alias("names"))
     )
+
+
+def name_differences(lines: DataFrame) -> DataFrame:
+    """(file_id, column_name, side): the names that a file has (``came``) or lacks (``went``) against the one before it, whatever they stand for."""
+    h = cut(headers(lines))
+    before = h.select(F.col("file_id").alias("prev_file_id"), F.col("names").alias("old"))
+    both = h.join(previous_files(h), "file_id").join(before, "prev_file_id")
+    side = lambda x, y, name: both.select("file_id", F.explode(F.array_except(x, y)).alias("column_name"), F.lit(name).alias("side"))
+    return side("names", "old", "came").unionByName(side("old", "names", "went"))
+
+
+def file_schemas(lines: DataFrame) -> DataFrame:
+    """One row a file: its place in the stream and its fields with type and profile of values, from raw CSV lines
+    (file_id, line_no, line, feed, kind, season). Types are integer, decimal and text; ``reads`` is the column kind that
+    reads every value (see ``lenient``): long, double (per cent included) or string, empty if there is no value."""
+    head = headers(lines).select("file_id", "feed", "kind", "season", F.posexplode("names").alias("pos", "name"))
     v = F.trim("v")
     is_int, is_dec, is_pct = v.rlike(_INT), v.rlike(_DEC), v.rlike(_PCT)
     share = F.replace(v, F.lit("%"), F.lit("")).try_cast("double") / 100

@@ -57,6 +57,10 @@ def p6_change_report(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
+def p6_name_differences(spark: SparkSession, d: str) -> DataFrame:
+    return D.name_differences(table(spark, d, "batting_files"))
+
+
 #: Kinds of the columns that every season has; all further ones come from the files.
 UNIFIED = {
     "name": "string", "team": "string", "age": "int", "playerid": "id", "year": "season",
@@ -100,6 +104,7 @@ QUERIES = {
     "p4_orphan_counts": p4_orphan_counts,
     "p6_found": p6_found,
     "p6_change_report": p6_change_report,
+    "p6_name_differences": p6_name_differences,
     "p6_unified": p6_unified,
 }
 
@@ -107,4 +112,10 @@ ORACLE = {
     "p4_found": _p4_sql("source_table, row_id, CAST(period AS INTEGER) AS period", ""),
     "p4_orphan_counts": _p4_sql(
         "source_table, CAST(period AS INTEGER) AS period, count(DISTINCT k) AS n_keys, count(*) AS n_rows", "GROUP BY source_table, period"),
+    "p6_name_differences": """
+WITH h AS (SELECT file_id, feed, kind, season, list_distinct([lower(trim(x)) for x in string_split(line, ',')]) AS names FROM batting_files WHERE line_no = 0 AND line IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY line) = 1),
+o AS (SELECT file_id, names, lag(names) OVER (PARTITION BY feed, kind ORDER BY season NULLS FIRST, file_id) AS old FROM h)
+SELECT file_id, unnest([x for x in names if NOT list_contains(old, x)]) AS column_name, 'came' AS side FROM o WHERE old IS NOT NULL
+UNION ALL SELECT file_id, unnest([x for x in old if NOT list_contains(names, x)]), 'went' FROM o WHERE old IS NOT NULL""",
 }
