@@ -13,18 +13,20 @@ from dugout.operators.relational import q
 ALIKE = 90.0
 
 
-def _rare_pieces(tokens: Column, alike: float) -> Column:
-    """Of the letter pairs of a text's tokens (each token with a mark before it), numbered where they repeat, so many in the order of
+def _rare_pieces(df: DataFrame, keep: list[str], alike: float) -> DataFrame:
+    """``keep`` and ``k`` of (tokens, ...): of the letter pairs of a text's tokens (each token with a mark before it), numbered where they repeat, so many in the order of
     their hashes that two texts of at least this ratio share one. A text has at most d differences from one so alike, each spoils two
     pairs, so 2 d + 1 of them suffice; under a ratio of about 89 there may not be as many, and all texts get one piece."""
     slack = (100.0 - alike) / 100.0
     worst = 2 * slack / (1 - slack) if slack < 1 else 1.0
     if worst > 0.25:
-        return F.array(F.lit(0).cast("bigint"))
-    pairs = F.flatten(F.transform(tokens, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit("^"), w), i, F.lit(2)))))
-    numbered = F.transform(pairs, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda y: y == x))))
-    d = F.floor((F.size(pairs) + F.size(tokens) - 1) * worst + 1e-9).cast("int")
-    return F.slice(F.array_sort(numbered), F.lit(1), 2 * d + 1)
+        return df.select(*keep, F.lit(0).cast("bigint").alias("k"))
+    pairs = F.flatten(F.transform("tokens", lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit("^"), w), i, F.lit(2)))))
+    # a column of its own, so that it is made once a text and not once a pair
+    d = df.select(*keep, "tokens", F.array_sort(pairs).alias("pairs"))
+    numbered = F.transform("pairs", lambda x, i: F.xxhash64(x, i - F.array_position("pairs", x)))
+    most = F.floor((F.size("pairs") + F.size("tokens") - 1) * worst + 1e-9).cast("int")
+    return d.select(*keep, F.explode(F.slice(F.array_sort(numbered), F.lit(1), 2 * most + 1)).alias("k"))
 
 
 def _near(x: DataFrame, y: DataFrame, by: list[str], a: str, b: str, alike: float) -> DataFrame:
@@ -33,7 +35,7 @@ def _near(x: DataFrame, y: DataFrame, by: list[str], a: str, b: str, alike: floa
     A token-set ratio is reached by the tokens in common, which then hold the longest token of one side (any token, where
     none has a fifth of the letters), or by all tokens, which then share a rare piece (see ``_rare_pieces``) and differ little in length."""
     def keyed(t: DataFrame, c: str, o: str) -> DataFrame:
-        t = t.withColumn("tokens", F.array_distinct(F.filter(F.split(F.col(c), " "), lambda w: w != ""))).where(F.size("tokens") > 0)
+        t = t.withColumn("tokens", F.array_distinct(F.array_remove(F.split(F.col(c), " "), ""))).where(F.size("tokens") > 0)
         tokens = F.col("tokens")
         longest = F.array_max(F.transform(tokens, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
         size = F.length(F.array_join(tokens, " "))
@@ -44,8 +46,7 @@ def _near(x: DataFrame, y: DataFrame, by: list[str], a: str, b: str, alike: floa
     pick = lambda t, c, what: t.select(*by, c, F.explode(what).alias("k"))
     shared = pick(l, a, "ask").join(pick(r, b, "tokens"), [*by, "k"]).select(*by, a, b).unionByName(
         pick(l, a, "tokens").join(pick(r, b, "ask"), [*by, "k"]).select(*by, a, b))
-    piece = lambda t, c, o: t.select(*by, c, o, F.explode(_rare_pieces(F.col("tokens"), alike)).alias("k"))
-    close = piece(l, a, "na").join(piece(r, b, "nb"), [*by, "k"]).where(
+    close = _rare_pieces(l, [*by, a, "na"], alike).join(_rare_pieces(r, [*by, b, "nb"], alike), [*by, "k"]).where(
         F.abs(F.col("na") - F.col("nb")) <= (F.col("na") + F.col("nb")) * ((100.0 - alike) / 100.0) + 1e-9).select(*by, a, b)
     return shared.unionByName(close).distinct()
 

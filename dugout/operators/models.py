@@ -17,9 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Megabytes for the statistics of nodes that are split in one pass; deep forests take fewer passes with more.
+MEMORY = 1024
+
+
 def forest(label: str, trees: int = 200, depth: int = 30, seed: int = 42, features: str = "features") -> RandomForestClassifier:
     """Random forest, binary or multiclass."""
-    return RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=trees, maxDepth=depth, seed=seed)
+    return RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=trees, maxDepth=depth, seed=seed,
+                                  maxMemoryInMB=MEMORY, cacheNodeIds=True)
 
 
 def boosted_classifier(label: str, trees: int = 500, depth: int = 6, rate: float = 0.05, rows: float = 0.8, columns: float = 0.8,

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dugout.operators.pointers import roots
-from dugout.session import cut
+from dugout.session import cut, spread
 
 #: Spellings of null in the files.
 NULL_MARKERS = ["", "na", "n/a", "nan", "null", "-", "--"]
@@ -310,7 +310,7 @@ def file_schemas(lines: DataFrame) -> DataFrame:
     is_int, is_dec, is_pct = v.rlike(_INT), v.rlike(_DEC), v.rlike(_PCT)
     share = F.replace(v, F.lit("%"), F.lit("")).try_cast("double") / 100
     stats = (
-        lines.where((F.col("line_no") > 0) & F.col("line").isNotNull())
+        spread(lines.select("file_id", "line_no", "line").where((F.col("line_no") > 0) & F.col("line").isNotNull()))
         .select("file_id", F.posexplode(split_line(F.col("line"))).alias("pos", "v"))
         .where(~F.lower(v).isin(NULL_MARKERS))
         .select("file_id", "pos", v.alias("v"), is_int.alias("i"), is_dec.alias("d"), is_pct.alias("p"))
@@ -424,11 +424,11 @@ def _evidence(schemas: DataFrame, pairs: DataFrame) -> DataFrame:
     return cand.join(e, ["a", "b"]).groupBy("file_id").agg(F.collect_list(F.struct("a", "b", "together", "lift", "f_a", "f_b")).alias("known"))
 
 
-def schema_changes(lines: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
+def schema_changes(lines: DataFrame, schemas: DataFrame | None = None, order: DataFrame | None = None) -> DataFrame:
     """(file_id, prev_file_id, feed, kind, season, column_name, old_name, change) between each file and the one
     before it of the same feed and kind in the order (season, file_id)."""
     schemas = cut(file_schemas(lines)) if schemas is None else schemas
-    order = previous_files(schemas)
+    order = previous_files(schemas) if order is None else order
     before = schemas.select(F.col("file_id").alias("prev_file_id"), F.col("fields").alias("prev_fields"))
     names, old = F.col("fields.name"), F.col("prev_fields.name")
     pairs = cut(schemas.join(order, "file_id").join(before, "prev_file_id").select(
@@ -451,14 +451,14 @@ def schema_changes(lines: DataFrame, schemas: DataFrame | None = None) -> DataFr
         run, "file_id bigint, prev_file_id bigint, feed string, kind string, season int, column_name string, old_name string, change string")
 
 
-def first_names(schemas: DataFrame, changes: DataFrame) -> DataFrame:
+def first_names(schemas: DataFrame, changes: DataFrame, order: DataFrame) -> DataFrame:
     """(file_id, pos, name, first, since): each file's fields with the name under which, and the file in which, the fact began in its stream.
 
     A stretch is a name's files from the one where it came to the one before it went; a renamed field's stretch leads to
     the stretch of the old name that holds the file before, so a name used again later for another fact is told apart."""
     cols = schemas.select("file_id", "feed", "kind", "season", F.explode("fields").alias("f")).select("file_id", "feed", "kind", "season", "f.pos", "f.name")
     came = changes.where(F.col("change").isin("added", "renamed")).select("file_id", F.col("column_name").alias("name"), F.lit(True).alias("came")).distinct()
-    later = previous_files(schemas).select("file_id", F.lit(True).alias("later"))
+    later = order.select("file_id", F.lit(True).alias("later"))
     w = Window.partitionBy("feed", "kind", "name").orderBy("season", "file_id")
     begin = F.when(F.col("later").isNull() | F.col("came").isNotNull(), F.struct("season", "file_id"))
     held = cut(cols.join(came, ["file_id", "name"], "left").join(later, "file_id", "left").withColumn("begin", F.last(begin, ignorenulls=True).over(w)).select(
@@ -498,10 +498,10 @@ def common_names(schemas: DataFrame, changes: DataFrame) -> dict[str, str]:
     return {x: max(g, key=lambda y: (files.get(y, 0), y)) for x, g in group.items()}
 
 
-def unified_positions(schemas: DataFrame, changes: DataFrame) -> DataFrame:
+def unified_positions(schemas: DataFrame, changes: DataFrame, order: DataFrame) -> DataFrame:
     """The compiled scripts: (file_id, pos, column) maps each file's every field to a column of the one consistent table, no
     two of a file to the same one."""
-    named = first_names(schemas, changes)
+    named = first_names(schemas, changes, order)
     common = common_names(schemas, changes)
     to = schemas.sparkSession.createDataFrame(sorted(common.items()), "first string, common string")
     cols = named.join(to, "first", "left").select("file_id", "pos", "name", "since", F.coalesce("common", "first").alias("column"))
@@ -524,7 +524,8 @@ class Unified:
 def unify(lines: DataFrame) -> Unified:
     """Every column that some file has, from one reading of the lines: tens of names."""
     schemas = cut(file_schemas(lines))
-    positions = cut(unified_positions(schemas, cut(schema_changes(lines, schemas))))
+    order = cut(previous_files(schemas))
+    positions = cut(unified_positions(schemas, cut(schema_changes(lines, schemas, order)), order))
     fields = schemas.select("file_id", F.explode("fields").alias("f")).select("file_id", "f.pos", "f.reads")
     kinds = positions.join(fields, ["file_id", "pos"]).groupBy("column").agg(F.collect_set("reads").alias("k"))
     has = lambda k: F.array_contains("k", k)
@@ -558,7 +559,7 @@ def unified_table(lines: DataFrame, plan: Unified, columns: list[str], types: di
     (see ``lenient``; null where a value cannot be read or a file lacks the column)."""
     pos = plan.positions.where(F.col("column").isin(columns)).groupBy("file_id").agg(
         F.map_from_entries(F.collect_list(F.struct("column", "pos"))).alias("at"))
-    body = lines.where((F.col("line_no") > 0) & F.col("line").isNotNull()).join(pos, "file_id").select(
+    body = spread(lines.where((F.col("line_no") > 0) & F.col("line").isNotNull())).join(pos, "file_id").select(
         "file_id", "line_no", "feed", "kind", "season", "at", split_line(F.col("line")).alias("v"))
 
     keys = ["file_id", "line_no", "feed", "kind", "season"]  # a column of such a name gets an underscore
