@@ -44,7 +44,7 @@ NULL_MARKERS = ["", "na", "n/a", "nan", "null", "-", "--"]
 #: File ids of a stretch (see ``previous_files``).
 BUCKET = 4096
 #: Distinct renames up to which streams are brought together by names on the driver; beyond, each stream keeps its first names.
-RENAMES = 50_000
+RENAMES = 5_000
 
 _INT = r"^[+-]?[0-9]+$"
 _PCT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)%$"
@@ -473,22 +473,21 @@ def first_names(schemas: DataFrame, changes: DataFrame, order: DataFrame) -> Dat
 def common_names(schemas: DataFrame, changes: DataFrame) -> dict[str, str]:
     """The name of most files of each group of names that renames connect, by name. Renames of many files count first, and two
     names that stand in one file are never brought together."""
-    spark = schemas.sparkSession
-    seen = cut(changes.where("change = 'renamed'").groupBy("old_name", "column_name").agg(F.count(F.lit(1)).alias("n")))
-    if seen.count() > RENAMES:
+    seen = changes.where("change = 'renamed'").groupBy("old_name", "column_name").agg(F.count(F.lit(1)).alias("n")).limit(RENAMES + 1).collect()
+    if not seen or len(seen) > RENAMES:
         return {}
-    edges = sorted(((r["n"], r["old_name"], r["column_name"]) for r in seen.collect()), key=lambda e: (-e[0], e[1], e[2]))
+    edges = sorted(((r["n"], r["old_name"], r["column_name"]) for r in seen), key=lambda e: (-e[0], e[1], e[2]))
     names = sorted({x for _, a, b in edges for x in (a, b)})
-    if not names:
-        return {}
-    of = spark.createDataFrame([(x,) for x in names], "name string")
-    held = schemas.select(F.explode(F.array_distinct("fields.name")).alias("name")).join(of, "name").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    files = {r["name"]: r["n"] for r in held.collect()}
-    sets = schemas.select(F.sort_array(F.array_intersect("fields.name", F.array(*[F.lit(x) for x in names]))).alias("s")).distinct()
+    # files of every two of these names: equal headers count once, and the result grows with the vocabulary only
+    held = F.sort_array(F.array_intersect("fields.name", F.array(*[F.lit(x) for x in names])))
+    sets = schemas.select(held.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    pairs = sets.select(F.explode("s").alias("x"), "s", "n").select("x", F.explode("s").alias("y"), "n").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    files: dict[str, int] = {}
     apart: dict[str, set[str]] = {}
-    for r in sets.toLocalIterator():
-        for x in r["s"]:
-            apart.setdefault(x, set()).update(r["s"])
+    for r in pairs.collect():
+        apart.setdefault(r["x"], set()).add(r["y"])
+        if r["x"] == r["y"]:
+            files[r["x"]] = r["n"]
     group = {x: {x} for x in names}
     for _, a, b in edges:
         if group[a] is not group[b] and not any(apart.get(x, set()) & group[b] for x in group[a]):
