@@ -57,7 +57,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     schools = x.join(y, "institution").where("key_a < key_b").select(F.lit("school").alias("kind"), "key_a", "key_b")
     drafts, links = _player_links(spark, d, inst)
     comp = graph.components(links).join(drafts.select(F.col("ord").alias("node"), "name"), "node")
-    comp = cut(comp.select("component", F.lpad(F.col("node").cast("string"), 12, "0").alias("key"), "name"))
+    comp = cut(comp.select("component", F.lpad(F.col("node").cast("string"), 12, "0").alias("key"), "name").distinct())
     a, b = comp.select("component", F.col("key").alias("key_a"), F.col("name").alias("name_a")), comp.select(
         "component", F.col("key").alias("key_b"), F.col("name").alias("name_b"))
     players = a.join(b, "component").where("key_a < key_b and name_a <> name_b").select(F.lit("player").alias("kind"), "key_a", "key_b")
