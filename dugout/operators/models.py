@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator
@@ -88,12 +88,15 @@ def next_point(tried: np.ndarray, scores: np.ndarray, rng: np.random.Generator,
 
 
 def encoder_pipeline(label: str, categories: list[str], numbers: list[str], trees: int = 100, depth: int = 6, rate: float = 0.3, seed: int = 8, **more) -> Pipeline:
-    """Target-encoded categories and numbers into boosted trees; categories not seen in training get the mean of all."""
-    indexed, encoded = [f"{c}_index" for c in categories], [f"{c}_mean" for c in categories]
+    """Target-encoded categories and numbers into boosted trees; categories not seen in training get the mean of all. The encoder
+    marks its means as nominal, and trees would take them for numbers of categories; as plain sums they are numbers."""
+    indexed, encoded, plain = [f"{c}_index" for c in categories], [f"{c}_mean" for c in categories], [f"{c}_number" for c in categories]
+    numeric = ", ".join(f"`{e}` + 0D AS `{x}`" for e, x in zip(encoded, plain, strict=True))
     return Pipeline(stages=[
         StringIndexer(inputCols=categories, outputCols=indexed, handleInvalid="keep"),
         TargetEncoder(inputCols=indexed, outputCols=encoded, labelCol=label, targetType="binary", handleInvalid="keep"),
-        VectorAssembler(inputCols=encoded + numbers, outputCol="encoded", handleInvalid="keep"),
+        SQLTransformer(statement=f"SELECT *, {numeric} FROM __THIS__"),
+        VectorAssembler(inputCols=plain + numbers, outputCol="encoded", handleInvalid="keep"),
         boosted_classifier(label, trees=trees, depth=depth, rate=rate, rows=more.pop("rows", 1.0), columns=more.pop("columns", 1.0), features="encoded", seed=seed),
     ])
 

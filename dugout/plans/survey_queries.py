@@ -9,7 +9,7 @@ from dugout.functions import numeric as N
 from dugout.functions import text as T
 from dugout.operators import draft, features, metrics, models, pyth, relational, sampling, stats
 from dugout.operators.relational import q
-from dugout.session import cut
+from dugout.session import cut, evenly
 from dugout.sources import files, sinks
 from dugout.sources.tables import nan_to_null, table
 
@@ -694,10 +694,10 @@ SEARCH_TREES = 10
 
 
 def _split_features(spark, d, balance: bool = True) -> tuple[DataFrame, DataFrame]:
-    t = _labelled(spark, d)
+    t = cut(_labelled(spark, d).select("row_id", "year", "label", "pick", "round", *[q(f) for f in FEATURES]))  # sampling reads it several times
     if balance:
-        t = sampling.undersample(t, "label", "row_id")
-    t = cut(features.assemble(sampling.stratified_split(t, "label", "row_id"), FEATURES).select("row_id", "year", "label", "pick", "round", "is_test", "features"))
+        t = cut(sampling.undersample(t, "label", "row_id"))
+    t = evenly(features.assemble(sampling.stratified_split(t, "label", "row_id"), FEATURES).select("row_id", "year", "label", "pick", "round", "is_test", "features"))
     return t.where("not is_test"), t.where("is_test")
 
 
@@ -754,8 +754,9 @@ CATEGORIES = ["team"]
 
 
 def _encoded(spark, d) -> tuple[DataFrame, DataFrame]:
-    t = sampling.stratified_split(sampling.undersample(_labelled(spark, d), "label", "row_id"), "label", "row_id")
-    t = cut(t.select("row_id", "label", "is_test", F.upper(F.trim("team")).alias("team"), *[F.coalesce(q(f).cast("double"), F.lit(0.0)).alias(f.replace("/", "_per_")) for f in FEATURES]))
+    t = cut(_labelled(spark, d).select("row_id", "label", "team", *[q(f) for f in FEATURES]))  # sampling reads it several times
+    t = sampling.stratified_split(cut(sampling.undersample(t, "label", "row_id")), "label", "row_id")
+    t = evenly(t.select("row_id", "label", "is_test", F.upper(F.trim("team")).alias("team"), *[F.coalesce(q(f).cast("double"), F.lit(0.0)).alias(f.replace("/", "_per_")) for f in FEATURES]))
     return t.where("not is_test"), t.where("is_test")
 
 
@@ -787,7 +788,7 @@ def _served(spark, d, source: str, names: list[str], allocate: bool) -> DataFram
     first = a.groupBy("pn", "y").agg(F.min("round").alias("round"))
     t = nan_to_null(table(spark, d, source)).where("name is not null").join(first, (F.col("name") == F.col("pn")) & (F.col("year") == F.col("y")), "left")
     t = t.withColumn("label", F.col("pn").isNotNull().cast("int")).select("row_id", "name", "year", "team", "label", "round", *[q(f) for f in names])
-    t = cut(features.assemble(t, names, fill="zero").select("row_id", "name", "year", "team", "label", "round", "features"))
+    t = evenly(features.assemble(t, names, fill="zero").select("row_id", "name", "year", "team", "label", "round", "features"))
     drafted = models.forest("label").fit(sampling.undersample(t, "label", "row_id"))
     rounds = models.forest("round").fit(t.where("label = 1 and round is not null"))
     return draft.serve(t, drafted, rounds, a.select(F.col("y").alias("year"), "round", "pick") if allocate else None)

@@ -110,6 +110,16 @@ def test_models_and_two_stage(spark):
     assert metrics.importance(spark, a, ["v"]).count() == 1
 
 
+def test_encoded_categories_are_numbers(spark):
+    """More distinct means than a tree has bins: the encoded column is no category."""
+    df = spark.range(4000).select(F.concat(F.lit("t"), (F.col("id") % 50).cast("string")).alias("team"), (F.pmod(F.xxhash64("id"), F.lit(60)) < F.col("id") % 50).cast("int").alias("y"),
+                                 (F.col("id") % 9).cast("double").alias("v"))
+    fitted = models.encoder_pipeline("y", ["team"], ["v"], 2, 2).fit(df)
+    out = fitted.transform(df)
+    assert out.select("team_mean").distinct().count() > 32 and out.count() == 4000
+    assert "nominal" not in str(out.schema["encoded"].metadata)
+
+
 def test_draft_operators(spark):
     p = spark.createDataFrame([(1, "Jon Smith", "Tech", 2000), (2, "Al Doe", None, 2000)], "pid long, name string, school string, year int")
     a = spark.createDataFrame([(5, "Jon Smith Jr", "Tech", 2000), (3, "Jon A Smith", "TECH", 2000), (4, "Al Doe", None, 2000), (1, "Jon Smith", "Tech", 1999)], "ord long, name string, school string, year int")
