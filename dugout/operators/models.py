@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,16 +15,14 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from dugout.operators.forest import Forest
 
-#: Megabytes for the statistics of nodes that are split in one pass; deep forests take fewer passes with more.
-MEMORY = 1024
 
-
-def forest(label: str, trees: int = 200, depth: int = 30, seed: int = 42, features: str = "features") -> RandomForestClassifier:
+def forest(label: str, trees: int = 200, depth: int = 30, seed: int = 42, features: str = "features") -> Forest:
     """Random forest, binary or multiclass."""
-    return RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=trees, maxDepth=depth, seed=seed,
-                                  maxMemoryInMB=MEMORY, cacheNodeIds=True)
+    return Forest(label, features, trees, depth, seed)
 
 
 def boosted_classifier(label: str, trees: int = 500, depth: int = 6, rate: float = 0.05, rows: float = 0.8, columns: float = 0.8,
@@ -139,6 +137,7 @@ def predict(model, df: DataFrame, out: str = "predicted", threshold: float | Non
     label is whether that probability is above it."""
     d = model.transform(df)
     if "probability" in d.columns:
-        d = d.withColumn(f"{out}_p1", F.try_element_at(vector_to_array("probability"), F.lit(2)))
+        p = F.col("probability") if isinstance(d.schema["probability"].dataType, T.ArrayType) else vector_to_array("probability")
+        d = d.withColumn(f"{out}_p1", F.try_element_at(p, F.lit(2)))
     label = F.col("prediction") if threshold is None else (F.col(f"{out}_p1") > threshold).cast("double")
     return d.withColumn(out, label).drop("prediction", "probability", "rawPrediction")
