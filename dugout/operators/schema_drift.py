@@ -43,8 +43,6 @@ NULL_MARKERS = ["", "na", "n/a", "nan", "null", "-", "--"]
 
 #: File ids of a stretch (see ``previous_files``).
 BUCKET = 4096
-#: Distinct renames up to which streams are brought together by names on the driver; beyond, each stream keeps its first names.
-RENAMES = 5_000
 
 _INT = r"^[+-]?[0-9]+$"
 _PCT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)%$"
@@ -472,29 +470,44 @@ def first_names(schemas: DataFrame, changes: DataFrame, order: DataFrame) -> Dat
 
 def common_names(schemas: DataFrame, changes: DataFrame) -> dict[str, str]:
     """The name of most files of each group of names that renames connect, by name. Renames of many files count first, and two
-    names that stand in one file are never brought together."""
-    seen = changes.where("change = 'renamed'").groupBy("old_name", "column_name").agg(F.count(F.lit(1)).alias("n")).limit(RENAMES + 1).collect()
-    if not seen or len(seen) > RENAMES:
+    names that stand in one file are never brought together. What the driver sees grows with the vocabulary of renamed columns."""
+    seen = changes.where("change = 'renamed'").groupBy("old_name", "column_name").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not seen:
         return {}
     edges = sorted(((r["n"], r["old_name"], r["column_name"]) for r in seen), key=lambda e: (-e[0], e[1], e[2]))
     names = sorted({x for _, a, b in edges for x in (a, b)})
-    # files of every two of these names: equal headers count once, and the result grows with the vocabulary only
-    held = F.sort_array(F.array_intersect("fields.name", F.array(*[F.lit(x) for x in names])))
-    sets = schemas.select(held.alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    pairs = sets.select(F.explode("s").alias("x"), "s", "n").select("x", F.explode("s").alias("y"), "n").groupBy("x", "y").agg(F.sum("n").alias("n"))
+
+    def find(up: dict[str, str], x: str) -> str:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    linked = {x: x for x in names}
+    for _, a, b in edges:
+        linked[find(linked, a)] = find(linked, b)
+    # files of every two names that some renames connect; others are never compared, and equal headers count once
+    of = schemas.sparkSession.createDataFrame([(x, find(linked, x)) for x in names], "x string, part string")
+    sets = schemas.select(F.sort_array(F.array_distinct("fields.name")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    sets = sets.select("s", "n", F.explode("s").alias("x")).join(of, "x").groupBy("s", "part").agg(F.sort_array(F.collect_set("x")).alias("t"), F.first("n").alias("n"))
+    pairs = sets.select(F.explode("t").alias("x"), "t", "n").select("x", F.explode("t").alias("y"), "n").groupBy("x", "y").agg(F.sum("n").alias("n"))
     files: dict[str, int] = {}
-    apart: dict[str, set[str]] = {}
-    for r in pairs.collect():
-        apart.setdefault(r["x"], set()).add(r["y"])
+    apart: dict[str, set[str]] = {x: set() for x in names}
+    for r in pairs.toLocalIterator():
+        apart[r["x"]].add(r["y"])
         if r["x"] == r["y"]:
             files[r["x"]] = r["n"]
-    group = {x: {x} for x in names}
+    up, group = {x: x for x in names}, {x: {x} for x in names}
     for _, a, b in edges:
-        if group[a] is not group[b] and not any(apart.get(x, set()) & group[b] for x in group[a]):
-            joined = group[a] | group[b]
-            for x in joined:
-                group[x] = joined
-    return {x: max(g, key=lambda y: (files.get(y, 0), y)) for x, g in group.items()}
+        a, b = find(up, a), find(up, b)
+        if len(group[a]) < len(group[b]):
+            a, b = b, a
+        # a name is in one file with itself; only names of the other group count
+        if a != b and apart[a].isdisjoint(group[b]):
+            up[b] = a
+            group[a] |= group.pop(b)
+            apart[a] |= apart.pop(b)
+    return {x: max(g, key=lambda y: (files.get(y, 0), y)) for g in group.values() for x in g}
 
 
 def unified_positions(schemas: DataFrame, changes: DataFrame, order: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from dugout.operators import schema_drift as D
 
 N = D.Node
@@ -206,3 +208,17 @@ def test_recall_and_precision_on_invented_names(spark):
     # a name that went and came again in one step is one that stays
     got = {(r["file_id"], r["column_name"]) for r in D.schema_changes(lines(spark, data)).where("change = 'renamed'").collect()}
     assert len(truth) > 100 and len(got & truth) >= 0.9 * len(truth) and len(got & truth) >= 0.9 * len(got), (len(truth), len(got), len(got & truth))
+
+
+def test_names_are_brought_together_however_many_there_are(spark):
+    """More than 5,000 distinct renames; two names of one file stay apart however renames lead from one to the other."""
+    n = 5003
+    changes = spark.range(n).select(F.concat(F.lit("a"), "id").alias("old_name"), F.concat(F.lit("b"), "id").alias("column_name"), F.lit("renamed").alias("change"))
+    chain = spark.createDataFrame([("x", "y", "renamed"), ("y", "z", "renamed"), ("x", "y", "renamed")], "old_name string, column_name string, change string")
+    field = lambda *c: F.array(*[F.struct(x.alias("name")) for x in c])
+    one = lambda k: spark.range(n).select(field(F.concat(F.lit(k), "id")).alias("fields"))
+    schemas = one("a").unionByName(one("b")).unionByName(one("b")).unionByName(spark.range(2).select(field(F.lit("x"), F.lit("z")).alias("fields"))).unionByName(
+        spark.range(5).select(field(F.lit("y")).alias("fields")))
+    got = D.common_names(schemas, changes.unionByName(chain))
+    assert len(got) == 2 * n + 3 and all(got[f"a{i}"] == got[f"b{i}"] == f"b{i}" for i in (0, 17, n - 1))
+    assert got["x"] == got["y"] == "y" and got["z"] == "z"
