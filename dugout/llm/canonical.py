@@ -184,7 +184,7 @@ def near_entries(values: DataFrame, reference: DataFrame, chunk: int = CHUNK) ->
     distinct = values.where(F.col("value").isNotNull()).select("value").distinct()
     ref = reference.where(F.col("name").isNotNull()).groupBy("name").agg(F.sort_array(F.collect_set("acronym")).alias("acronyms"))
     n = ref.count()
-    morph = S.Morphology.fit(r[0] for r in ref.select("name").limit(S.MORPHOLOGY_SAMPLE).collect())
+    morph = S.Morphology.of(ref)
     chunks = max(1, -(-n // chunk))
     hits = None
     # the search is CPU-bound and its input small: a count of partitions that AQE leaves alone

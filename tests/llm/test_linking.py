@@ -203,3 +203,20 @@ def test_every_near_entry_and_ambiguity(spark):
     assert near == {("Ashwxck College", "Ashwick College"), ("Ashwxck College", "Ashwock College"), ("Rudmere College", "Ruddmere College")}
     got = {r["value"]: (r["entry"], r["n_near"], r["ambiguous"]) for r in canonical.map_values(v, ref).collect()}
     assert got == {"Ashwxck College": ("Ashwick College", 2, True), "Rudmere College": ("Ruddmere College", 1, False)}
+
+
+def test_places_are_learned_from_every_name_of_the_list(spark, monkeypatch):
+    """A list of more than 20,000 names: each of its places is known, so that none is taken for another one mistyped."""
+    letters = "abcdefghij"
+    place = lambda i: "q" + "".join(letters[int(x)] for x in f"{i:05d}") + "x"
+    names = spark.createDataFrame([(f"University of {place(i).capitalize()}", None) for i in range(20_005)] + [(None, "X")], "name string, acronym string")
+    seen = {}
+
+    def searcher(entries, morph):
+        seen["known"] = morph.known
+        return lambda batches: iter(())
+
+    monkeypatch.setattr(canonical, "_searcher", searcher)
+    values = spark.createDataFrame([("Univ. of Qaaaaax",)], "value string")
+    assert canonical.near_entries(values, names).count() == 0
+    assert seen["known"] == {place(i) for i in range(20_005)}
