@@ -43,10 +43,11 @@ def _near(x: DataFrame, y: DataFrame, by: list[str], a: str, b: str, alike: floa
         return t.select(*by, c, "tokens", ask.alias("ask"), size.alias(o))
 
     l, r = keyed(x, a, "na"), keyed(y, b, "nb")
-    pick = lambda t, c, what: t.select(*by, c, F.explode(what).alias("k"))
+    # exploded tokens and pieces are many times what the planner thinks from the tables' files: none is ever broadcast
+    pick = lambda t, c, what: t.select(*by, c, F.explode(what).alias("k")).hint("merge")
     shared = pick(l, a, "ask").join(pick(r, b, "tokens"), [*by, "k"]).select(*by, a, b).unionByName(
         pick(l, a, "tokens").join(pick(r, b, "ask"), [*by, "k"]).select(*by, a, b))
-    close = _rare_pieces(l, [*by, a, "na"], alike).join(_rare_pieces(r, [*by, b, "nb"], alike), [*by, "k"]).where(
+    close = _rare_pieces(l, [*by, a, "na"], alike).hint("merge").join(_rare_pieces(r, [*by, b, "nb"], alike), [*by, "k"]).where(
         F.abs(F.col("na") - F.col("nb")) <= (F.col("na") + F.col("nb")) * ((100.0 - alike) / 100.0) + 1e-9).select(*by, a, b)
     return shared.unionByName(close).distinct()
 
@@ -64,10 +65,11 @@ def fuzzy_match(players: DataFrame, drafts: DataFrame, alike: float = ALIKE, bes
         y = d.where((F.col(same_b) != "") & F.col("year").isNotNull()).select("year", F.col(same_b).alias("s"), b).distinct()
         pairs = _near(x, y, ["year", "s"], a, b, alike)
         s = pairs.select(a, b).distinct().withColumn("score", token_set_ratio(F.col(a), F.col(b))).where(F.col("score") >= alike)
-        return pairs.join(s, [a, b]).withColumns({same_a: F.col("s"), same_b: F.col("s")}).select("year", "ps", "pn", "ds", "dn", "score")
+        return pairs.join(s.hint("merge"), [a, b]).withColumns({same_a: F.col("s"), same_b: F.col("s")}).select("year", "ps", "pn", "ds", "dn", "score")
 
     hits = scored("ps", "ds", "pn", "dn").unionByName(scored("pn", "dn", "ps", "ds")).groupBy("year", "ps", "pn", "ds", "dn").agg(F.max("score").alias("score"))
-    rows = p.select("pid", "year", "ps", "pn").join(hits, ["year", "ps", "pn"]).join(d.select("ord", "year", "ds", "dn"), ["year", "ds", "dn"])
+    rows = p.select("pid", "year", "ps", "pn").hint("merge").join(hits, ["year", "ps", "pn"]).join(
+        d.select("ord", "year", "ds", "dn").hint("merge"), ["year", "ds", "dn"])
     order = F.struct((-F.col("score")).alias("s"), "ord") if best else F.struct("ord", "score")
     return rows.groupBy("pid").agg(F.min(order).alias("b")).select("pid", F.col("b.ord").alias("ord"))
 

@@ -134,3 +134,12 @@ def stat(name, team, year, division):
     spark.sparkContext.addPyFile(str(tmp_path / "dugout_fake_stats.py"))
     df = spark.read.format("team_stats").options(module="dugout_fake_stats", stats="w,era,l", first="2002", last="2003", division="1").load()
     assert [tuple(r) for r in df.collect()] == [("Calvenia", "ACC", 2002, 12.5, None, None)]
+
+
+def test_fuzzy_match_broadcasts_nothing(spark):
+    """Exploded tokens outgrow what the planner reads from the files' sizes, so even small tables are not broadcast."""
+    p = spark.createDataFrame([(1, "Jon Smith", "Tech", 2000)], "pid long, name string, school string, year int")
+    a = spark.createDataFrame([(5, "Jon Smith Jr", "Tech", 2000)], "ord long, name string, school string, year int")
+    m = draft.fuzzy_match(p, a)
+    assert "Broadcast" not in m._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in m.collect()] == [(1, 5)]
