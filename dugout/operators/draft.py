@@ -118,7 +118,7 @@ def serve(df: DataFrame, drafted, round_model, rounds: DataFrame | None = None,
     ``rounds`` (year, round, pick) are given, the pick; and the sentence that says so. A point query is a filter on ``df``."""
     d = predict(drafted, df, "drafted")
     d = d.withColumn("drafted", (F.col("drafted_p1") >= threshold).cast("int"))
-    d = predict(round_model, d, "_round").drop("_round_p1").withColumn("predicted_round", F.when(F.col("drafted") == 1, F.col("_round").cast("int"))).drop("_round")
+    d = predict(round_model, d, "_round", where=F.col("drafted") == 1).drop("_round_p1").withColumn("predicted_round", F.when(F.col("drafted") == 1, F.col("_round").cast("int"))).drop("_round")
     said = F.format_string("Drafted (prob=%.2f), round %d", "drafted_p1", "predicted_round")
     if rounds is not None:
         d = with_pick(d, rounds)

@@ -13,7 +13,7 @@ from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,10 +132,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def predict(model, df: DataFrame, out: str = "predicted", threshold: float | None = None) -> DataFrame:
+def predict(model, df: DataFrame, out: str = "predicted", threshold: float | None = None, where: Column | None = None) -> DataFrame:
     """``df`` with the prediction, and for classifiers the probability of class 1 (``{out}_p1``); with a threshold the
-    label is whether that probability is above it."""
-    d = model.transform(df)
+    label is whether that probability is above it. A forest scores only the rows of ``where``, if given; the others get nulls."""
+    d = model.transform(df) if where is None else model.transform(df, where)
     if "probability" in d.columns:
         p = F.col("probability") if isinstance(d.schema["probability"].dataType, T.ArrayType) else vector_to_array("probability")
         d = d.withColumn(f"{out}_p1", F.try_element_at(p, F.lit(2)))
