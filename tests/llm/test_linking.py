@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from dugout.llm import canonical, graph, matching, spellings
 from dugout.llm import school_names as S
@@ -220,3 +221,13 @@ def test_places_are_learned_from_every_name_of_the_list(spark, monkeypatch):
     values = spark.createDataFrame([("Univ. of Qaaaaax",)], "value string")
     assert canonical.near_entries(values, names).count() == 0
     assert seen["known"] == {place(i) for i in range(20_005)}
+
+
+def test_a_crowd_of_namesakes_loses_no_candidate(spark):
+    """So many drafts of one name that chance explains a pair by name alone; the school still counts, and no pair is left out."""
+    drafts = spark.range(1500).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("pick_id"), F.lit("Jon Smithson").alias("name"), F.lit(2000).alias("year"),
+                                      F.when(F.col("id") == 7, "college|tech").otherwise(F.concat(F.lit("college|x"), "id")).alias("institution"))
+    seasons = spark.createDataFrame([("sa1", "Jon Smithson", 2000, "college|tech")], "left_id string, name string, year int, institution string")
+    c = matching.candidates(seasons, drafts)
+    assert c.count() == 1500
+    assert c.orderBy(F.desc("odds")).first()["ord"] == 7
