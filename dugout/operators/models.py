@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dugout.operators.forest import Forest
+from dugout.session import cut
 
 
 def forest(label: str, trees: int = 200, depth: int = 30, seed: int = 42, features: str = "features") -> Forest:
@@ -85,42 +88,62 @@ def next_point(tried: np.ndarray, scores: np.ndarray, rng: np.random.Generator,
     return at[int(gain.argmax())]
 
 
-def encoder_pipeline(label: str, categories: list[str], numbers: list[str], trees: int = 100, depth: int = 6, rate: float = 0.3, seed: int = 8, **more) -> Pipeline:
-    """Target-encoded categories and numbers into boosted trees; categories not seen in training get the mean of all. The encoder
+def encoder(label: str, categories: list[str], numbers: list[str]) -> list:
+    """Stages that give ``encoded``: target-encoded categories and numbers; categories not seen in training get the mean of all. The encoder
     marks its means as nominal, and trees would take them for numbers of categories; as plain sums they are numbers."""
     indexed, encoded, plain = [f"{c}_index" for c in categories], [f"{c}_mean" for c in categories], [f"{c}_number" for c in categories]
     numeric = ", ".join(f"`{e}` + 0D AS `{x}`" for e, x in zip(encoded, plain, strict=True))
-    return Pipeline(stages=[
+    return [
         StringIndexer(inputCols=categories, outputCols=indexed, handleInvalid="keep"),
         TargetEncoder(inputCols=indexed, outputCols=encoded, labelCol=label, targetType="binary", handleInvalid="keep"),
         SQLTransformer(statement=f"SELECT *, {numeric} FROM __THIS__"),
         VectorAssembler(inputCols=plain + numbers, outputCol="encoded", handleInvalid="keep"),
+    ]
+
+
+def encoder_pipeline(label: str, categories: list[str], numbers: list[str], trees: int = 100, depth: int = 6, rate: float = 0.3, seed: int = 8, **more) -> Pipeline:
+    """``encoder`` into boosted trees."""
+    return Pipeline(stages=[
+        *encoder(label, categories, numbers),
         boosted_classifier(label, trees=trees, depth=depth, rate=rate, rows=more.pop("rows", 1.0), columns=more.pop("columns", 1.0), features="encoded", seed=seed),
     ])
 
 
+def boosted_at(v: dict[str, float], label: str, trees: int, seed: int = 8) -> GBTClassifier:
+    """Boosted trees over ``encoded`` with the values of a point of ``SPACE``. Spark's trees know no penalties and one column share: the three shares are multiplied, ``alpha`` is
+    taken as the least rows of a leaf, ``lambda`` and ``gamma`` as thousandths of the least weight of a leaf and of the least gain."""
+    m = boosted_classifier(label, trees=trees, depth=v["depth"], rate=v["rate"], rows=v["rows"], columns=round(v["by_tree"] * v["by_level"] * v["by_node"], 3), features="encoded", seed=seed)
+    return m.setMinInstancesPerNode(1 + int(v["alpha"])).setMinWeightFractionPerNode(v["lambda"] / 1000).setMinInfoGain(v["gamma"] / 1000)
+
+
 def bayes_search(train: DataFrame, label: str, categories: list[str], numbers: list[str], n_iter: int = 10, folds: int = 3, trees: int = 100,
                  random_first: int = 4, seed: int = 8) -> tuple[dict[str, float], float]:
     """(best values, its score) of a model-based search over ``SPACE`` for the encoder pipeline, scored by ROC-AUC in ``folds``
-    folds. Spark's trees know no penalties and one column share: the three shares are multiplied, ``alpha`` is taken as the
-    least rows of a leaf, ``lambda`` and ``gamma`` as thousandths of the least weight of a leaf and of the least gain."""
+    folds. What the encoder makes of a fold is the same for every point and made once; fits that do not wait for each other run side by side."""
     rng = np.random.default_rng(seed)
     score = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
     points: list[np.ndarray] = []
     scores: list[float] = []
     parts = train.randomSplit([1.0] * folds, seed)
-    for k in range(n_iter):
-        u = rng.random(len(SPACE)) if k < random_first else next_point(np.array(points), np.array(scores), rng)
-        v = in_space(u)
-        pipe = encoder_pipeline(label, categories, numbers, trees, v["depth"], v["rate"], seed, rows=v["rows"], columns=round(v["by_tree"] * v["by_level"] * v["by_node"], 3))
-        pipe.getStages()[-1].setMinInstancesPerNode(1 + int(v["alpha"])).setMinWeightFractionPerNode(v["lambda"] / 1000).setMinInfoGain(v["gamma"] / 1000)
-        found = []
-        for i in range(folds):
-            rest = [p for j, p in enumerate(parts) if j != i]
-            fit = pipe.fit(_union(rest))
-            found.append(score.evaluate(fit.transform(parts[i])))
-        points.append(u)
-        scores.append(float(np.mean(found)))
+    made = []
+    for i in range(folds):
+        rest = _union([p for j, p in enumerate(parts) if j != i])
+        enc = Pipeline(stages=encoder(label, categories, numbers)).fit(rest)
+        made.append([cut(enc.transform(t).select(label, "encoded")) for t in (rest, parts[i])])
+
+    def judge(u: np.ndarray, fold: int) -> float:
+        rest, out = made[fold]
+        return score.evaluate(boosted_at(in_space(u), label, trees, seed).fit(rest).transform(out))
+
+    with ThreadPoolExecutor(folds) as pool:
+        while len(points) < n_iter:
+            if len(points) < random_first:
+                new = [rng.random(len(SPACE)) for _ in range(min(random_first, n_iter))]
+            else:
+                new = [next_point(np.array(points), np.array(scores), rng)]
+            found = [[pool.submit(inheritable_thread_target(train.sparkSession)(judge), u, i) for i in range(folds)] for u in new]
+            points += new
+            scores += [float(np.mean([f.result() for f in fs])) for fs in found]
     best = int(np.argmax(scores))
     return in_space(points[best]), scores[best]
 

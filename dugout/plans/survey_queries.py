@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -774,7 +775,7 @@ def model_search(spark, d):
     train, test = _encoded(spark, d)
     numbers = [f.replace("/", "_per_") for f in FEATURES]
     v, cv = models.bayes_search(train, "label", CATEGORIES, numbers, trees=SEARCH_TREES)
-    m = models.encoder_pipeline("label", CATEGORIES, numbers, SEARCH_TREES, v["depth"], v["rate"], rows=v["rows"], columns=v["by_tree"] * v["by_level"] * v["by_node"]).fit(train)
+    m = Pipeline(stages=[*models.encoder("label", CATEGORIES, numbers), models.boosted_at(v, "label", SEARCH_TREES)]).fit(train)
     auc = metrics.roc_auc(models.predict(m, test), "label", "predicted_p1")
     return auc.select("auc", F.lit(cv).alias("cv_auc"), *[F.lit(float(x)).alias(k) for k, x in v.items()])
 

@@ -120,6 +120,19 @@ def test_encoded_categories_are_numbers(spark):
     assert "nominal" not in str(out.schema["encoded"].metadata)
 
 
+def test_search_encodes_a_fold_once_and_keeps_all_values(spark, monkeypatch):
+    """More categories than a tree has bins; a fold is encoded once for all points, and the trees of a point get its nine values."""
+    df = spark.range(900).select(F.concat(F.lit("t"), (F.col("id") % 45).cast("string")).alias("team"), (F.pmod(F.xxhash64("id"), F.lit(60)) < F.col("id") % 45).cast("int").alias("y"),
+                                 (F.col("id") % 9).cast("double").alias("v"))
+    made, encoder = [], models.encoder
+    monkeypatch.setattr(models, "encoder", lambda *a: made.append(1) or encoder(*a))
+    v, auc = models.bayes_search(df, "y", ["team"], ["v"], n_iter=3, folds=2, trees=1, random_first=2)
+    assert len(made) == 2 and 0.5 < auc <= 1
+    assert (v, auc) == models.bayes_search(df, "y", ["team"], ["v"], n_iter=3, folds=2, trees=1, random_first=2)
+    m = models.boosted_at(v, "y", 1)
+    assert (m.getMinInstancesPerNode(), m.getMinWeightFractionPerNode(), m.getMinInfoGain()) == (1 + int(v["alpha"]), v["lambda"] / 1000, v["gamma"] / 1000)
+
+
 def test_draft_operators(spark):
     p = spark.createDataFrame([(1, "Jon Smith", "Tech", 2000), (2, "Al Doe", None, 2000)], "pid long, name string, school string, year int")
     a = spark.createDataFrame([(5, "Jon Smith Jr", "Tech", 2000), (3, "Jon A Smith", "TECH", 2000), (4, "Al Doe", None, 2000), (1, "Jon Smith", "Tech", 1999)], "ord long, name string, school string, year int")
