@@ -197,6 +197,26 @@ def test_crowded_rewritings_lose_no_link(spark, monkeypatch):
         assert formal[a % 6] != formal[b % 6] and (names[a % 6].endswith("fr") or names[b % 6].endswith("fr")) and a % 5 != b % 5
 
 
+def test_rows_met_in_runs_are_all_met(spark, monkeypatch):
+    """Pairs of p1 and p3 are met run by run of years; the runs give the pairs that one run gives, and first names that cannot agree are turned down."""
+    names = ["Ben Okafor", "Benjamin Okafor", "Bruno Okafor", "B. Okafor", "Benjamin Okafr", "Marlow Tessing", "Marlowe Tessing", "Quentin Tessing"]
+    base = drafts(spark, [(i, names[i % 8], 2000 + i * 7 % 24, None) for i in range(96)]).withColumn("n", spellings.rewritten("name"))
+    rows = base.select("ord", "year", "institution", F.posexplode("n").alias("k", "reading"))
+    people = spark.createDataFrame([(i, [2000 + i % 24, 2001 + i % 24]) for i in range(96)], "row bigint, years array<int>").join(
+        base.select(F.col("ord").alias("row"), F.posexplode("n").alias("k", "reading")), "row")
+    got = []
+    for at_a_time in (1000, 8):
+        monkeypatch.setattr(spellings, "AT_A_TIME", at_a_time)
+        got.append((sorted(spellings.meetings(rows, 96.0, 24.0).collect()), sorted(matching.distinct_pairs(people, base, 96.0).collect())))
+    runs = spellings.slices(base, 5, 96.0)
+    assert 1 < len(runs) <= spellings.RUNS and runs[0][0] == 400 and runs[-1][1] == 404
+    assert got[0] == got[1] and got[0][0] and got[0][1]
+    assert len({r["year"] for r in base.collect()}) == 24 and len(spellings.slices(base.selectExpr("year * 1000 year"), 5, 96.0)) <= spellings.RUNS
+    name = lambda i: names[i % 8]
+    assert not any({name(r["a"]), name(r["b"])} == {"Marlow Tessing", "Quentin Tessing"} for r in got[0][0])
+    assert any({name(r["a"]), name(r["b"])} == {"Marlow Tessing", "Marlowe Tessing"} for r in got[0][0])
+
+
 def test_every_near_entry_and_ambiguity(spark):
     ref = spark.createDataFrame([("Ashwick College", "A"), ("Ashwock College", "B"), ("Ruddmere College", "C")], "name string, acronym string")
     v = spark.createDataFrame([("Ashwxck College",), ("Rudmere College",)], "value string")

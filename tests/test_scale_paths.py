@@ -143,3 +143,23 @@ def test_fuzzy_match_broadcasts_nothing(spark):
     m = draft.fuzzy_match(p, a)
     assert "Broadcast" not in m._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in m.collect()] == [(1, 5)]
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """What a step shuffled is deleted when its result stands, not when the driver collects its garbage; the setting is put back."""
+    import pathlib
+
+    from dugout.session import cut, stage
+
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p for d in dirs for p in pathlib.Path(d).rglob("shuffle_*")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(key)
+    df = spark.range(1000).withColumn("g", F.col("id") % 7).groupBy("g").agg(F.sum("id").alias("s")).join(spark.range(7).withColumnRenamed("id", "g").hint("merge"), "g")
+    for step in (cut, stage):
+        d = step(df)
+        assert d.count() == 7 and spark.conf.get(key) == was
+        del d
+    left = [p for p in files() - before if p.stat().st_size and p.suffix == ".data"]
+    want = df.groupBy().agg(F.sum("s")).first()[0]
+    assert len(left) <= 2 and want == sum(range(1000)), left  # the two counts shuffle one row each
