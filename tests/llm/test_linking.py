@@ -251,3 +251,33 @@ def test_a_crowd_of_namesakes_loses_no_candidate(spark):
     c = matching.candidates(seasons, drafts)
     assert c.count() == 1500
     assert c.orderBy(F.desc("odds")).first()["ord"] == 7
+
+
+def _sent(spark, since):
+    """The trees of the broadcasts of all plans run since then."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = spark._jsparkSession.sharedState().statusStore().executionsList()
+    out = []
+    for i in range(ran.size()):
+        if ran.apply(i).executionId() <= since:
+            continue
+        lines = ran.apply(i).physicalPlanDescription().split("== Initial Plan ==")[0].split("\n")
+        depth = [next((k for k, c in enumerate(x) if c.isalpha()), 0) for x in lines]
+        for k in [k for k, x in enumerate(lines) if "BroadcastExchange" in x]:
+            out.append("\n".join(itertools.takewhile(lambda x: x.strip(), [lines[k]] + [x for _, x in itertools.takewhile(lambda y: y[0] > depth[k], zip(depth[k + 1:], lines[k + 1:], strict=True))])))
+    return max([since, *(ran.apply(i).executionId() for i in range(ran.size()))]), out
+
+
+def test_rows_that_were_not_measured_are_not_sent_through_the_driver(spark):
+    """No exploded rows, nor packed tables, are broadcast because the planner takes them for small; what a shuffle has measured may be."""
+    since, _ = _sent(spark, -1)
+    values = ["Calvenia", "U. of Calvnia", "University of Calvenia", "Ruddmere Col.", "Ruddmere College", "Wrestcrest CC", "Wrestcrst C.C."]
+    assert len({institutions(spark, values)[v] for v in values}) == 3
+    people = drafts(spark, [(i, f"{n} Okafor{chr(97 + i % 7)}", 2000 + i % 9, f"university|p{i % 5}") for i, n in enumerate(["Benjamin", "Ben", "Bruno"] * 40)])
+    links = spellings.draft_evidence(people).select("a", "b")
+    assert graph.components(links).count()
+    since, sent = _sent(spark, since)
+    assert not [x for x in sent if "Shuffle" not in x], sent
+    pairs = spark.createDataFrame([([1, 2], [3])], "hs array<bigint>, ts array<bigint>")
+    heads, tails = spellings.rarity(people.withColumn("n", spellings.rewritten("name")))
+    assert "Broadcast" not in spellings.chances(pairs, heads, tails)._jdf.queryExecution().executedPlan().toString()
