@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 import random
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -19,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dugout.operators import boosting
 from dugout.operators.forest import Forest
 from dugout.session import cut
 
@@ -109,7 +108,7 @@ def encoder_pipeline(label: str, categories: list[str], numbers: list[str], tree
     ])
 
 
-def boosted_at(v: dict[str, float], label: str, trees: int, seed: int = 8) -> GBTClassifier:
+def boosted_at(v: dict[str, float], label: str, trees: int = 100, seed: int = 8) -> GBTClassifier:
     """Boosted trees over ``encoded`` with the values of a point of ``SPACE``. Spark's trees know no penalties and one column share: the three shares are multiplied, ``alpha`` is
     taken as the least rows of a leaf, ``lambda`` and ``gamma`` as thousandths of the least weight of a leaf and of the least gain."""
     m = boosted_classifier(label, trees=trees, depth=v["depth"], rate=v["rate"], rows=v["rows"], columns=round(v["by_tree"] * v["by_level"] * v["by_node"], 3), features="encoded", seed=seed)
@@ -119,9 +118,8 @@ def boosted_at(v: dict[str, float], label: str, trees: int, seed: int = 8) -> GB
 def bayes_search(train: DataFrame, label: str, categories: list[str], numbers: list[str], n_iter: int = 10, folds: int = 3, trees: int = 100,
                  random_first: int = 4, seed: int = 8) -> tuple[dict[str, float], float]:
     """(best values, its score) of a model-based search over ``SPACE`` for the encoder pipeline, scored by ROC-AUC in ``folds``
-    folds. What the encoder makes of a fold is the same for every point and made once; fits that do not wait for each other run side by side."""
+    folds. What the encoder makes of a fold is the same for every point and made once; each fit is a task, and fits that do not wait for each other run side by side."""
     rng = np.random.default_rng(seed)
-    score = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
     points: list[np.ndarray] = []
     scores: list[float] = []
     parts = train.randomSplit([1.0] * folds, seed)
@@ -129,21 +127,14 @@ def bayes_search(train: DataFrame, label: str, categories: list[str], numbers: l
     for i in range(folds):
         rest = _union([p for j, p in enumerate(parts) if j != i])
         enc = Pipeline(stages=encoder(label, categories, numbers)).fit(rest)
-        made.append([cut(enc.transform(t).select(label, "encoded")) for t in (rest, parts[i])])
-
-    def judge(u: np.ndarray, fold: int) -> float:
-        rest, out = made[fold]
-        return score.evaluate(boosted_at(in_space(u), label, trees, seed).fit(rest).transform(out))
-
-    with ThreadPoolExecutor(folds) as pool:
-        while len(points) < n_iter:
-            if len(points) < random_first:
-                new = [rng.random(len(SPACE)) for _ in range(min(random_first, n_iter))]
-            else:
-                new = [next_point(np.array(points), np.array(scores), rng)]
-            found = [[pool.submit(inheritable_thread_target(train.sparkSession)(judge), u, i) for i in range(folds)] for u in new]
-            points += new
-            scores += [float(np.mean([f.result() for f in fs])) for fs in found]
+        made.append(boosting.Sent(label, "encoded", *[enc.transform(t) for t in (rest, parts[i])]))
+    while len(points) < n_iter:
+        if len(points) < random_first:
+            new = [rng.random(len(SPACE)) for _ in range(min(random_first, n_iter))]
+        else:
+            new = [next_point(np.array(points), np.array(scores), rng)]
+        points += new
+        scores += [float(np.mean(s)) for s in boosting.judged(train.sparkSession, made, [boosting.Values.of(boosted_at(in_space(u), label, trees, seed)) for u in new])]
     best = int(np.argmax(scores))
     return in_space(points[best]), scores[best]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dugout.functions import numeric as N
 from dugout.functions import text as T
-from dugout.operators import draft, features, metrics, models, pyth, relational, sampling, stats
+from dugout.operators import boosting, draft, features, metrics, models, pyth, relational, sampling, stats
 from dugout.operators.relational import q
 from dugout.session import cut, evenly
 from dugout.sources import files, sinks
@@ -687,11 +687,10 @@ def roc_auc(spark, d):
 
 # ------------------------------------------------------------------ models (rows only: no SQL twin exists)
 
-#: Player features of the models. Forests and the logistic regression are fitted at the operators' defaults, boosted trees at fewer
-#: (README has the times), those of the search at fewest.
+#: Player features of the models. Forests, the logistic regression and the search are fitted at the operators' defaults, other boosted trees at fewer
+#: (README has the times).
 FEATURES = ["era", "bb", "k/9", "whip", "fip", "ip", "so", "hr", "age", "avg"]
 BOOSTED = {"trees": 50, "depth": 6}
-SEARCH_TREES = 10
 
 
 def _split_features(spark, d, balance: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -774,9 +773,10 @@ def model_search(spark, d):
     """Ten steps of the model-based search, then the pipeline of the best values."""
     train, test = _encoded(spark, d)
     numbers = [f.replace("/", "_per_") for f in FEATURES]
-    v, cv = models.bayes_search(train, "label", CATEGORIES, numbers, trees=SEARCH_TREES)
-    m = Pipeline(stages=[*models.encoder("label", CATEGORIES, numbers), models.boosted_at(v, "label", SEARCH_TREES)]).fit(train)
-    auc = metrics.roc_auc(models.predict(m, test), "label", "predicted_p1")
+    v, cv = models.bayes_search(train, "label", CATEGORIES, numbers)
+    enc = Pipeline(stages=models.encoder("label", CATEGORIES, numbers)).fit(train)
+    m = boosting.fit(enc.transform(train), models.boosted_at(v, "label"))
+    auc = metrics.roc_auc(models.predict(m, enc.transform(test)), "label", "predicted_p1")
     return auc.select("auc", F.lit(cv).alias("cv_auc"), *[F.lit(float(x)).alias(k) for k, x in v.items()])
 
 
