@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
-from dugout.llm import canonical, graph, matching, spellings
+from dugout.llm import canonical, graph, matching, queries, spellings
 from dugout.llm import school_names as S
 
 TEAMS = [("CAL", "University of Calvenia"), ("RUD", "Ruddmere College"), ("SWU", "Saint Wendred University"), ("CVE", "University of Calvenia-Verddale"), ("KT", "Kordane Institute of Technology")]
@@ -281,3 +281,19 @@ def test_rows_that_were_not_measured_are_not_sent_through_the_driver(spark):
     pairs = spark.createDataFrame([([1, 2], [3])], "hs array<bigint>, ts array<bigint>")
     heads, tails = spellings.rarity(people.withColumn("n", spellings.rewritten("name")))
     assert "Broadcast" not in spellings.chances(pairs, heads, tails)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_persons_are_not_sent_through_the_driver(spark, data, monkeypatch):
+    """Labels and rows of persons grow with the rows; a shuffle measures them compressed, so they are not broadcast on its word either."""
+    cuts, real = [], queries.cut
+    monkeypatch.setattr(queries, "cut", lambda df: cuts.append(df) or real(df))
+    found = queries.p1_found(spark, data)
+    persons = queries.p1_persons(spark, data)
+    people = spark.createDataFrame([(1, 2000, 1, 1), (2, 2000, 1, 1), (3, 2000, 1, 2)], "ord long, year int, round int, pick int")
+    same = spellings.same_pick(people)
+    assert [tuple(r) for r in same.collect()] == [(1, 2)]
+    ran = [d for d in cuts if "component" in d.columns] + [found, persons, same]
+    assert len(ran) == 4
+    for d in ran:
+        assert d.collect() is not None
+        assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
